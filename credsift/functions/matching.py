@@ -75,13 +75,13 @@ def _secret_matches(line: str, rules: Sequence[Rule]) -> str:
     return f"filter({matches}, s -> length(s.raw) > 0 AND NOT rlike(s.raw, {_quoted(to_java(PLACEHOLDER_PATTERN))}))"
 
 
-def _redact_line(line: str, rules: Sequence[Rule]) -> str:
+def _masked_line(line: str, found: str) -> str:
+    """The line with every value in ``found`` masked, longest first."""
     by_length = (
-        "array_sort(transform(array_distinct(transform(found, f -> f.raw)), "
+        f"array_sort(transform(array_distinct(transform({found}, f -> f.raw)), "
         "v -> struct(-length(v) AS n, v AS raw)))"
     )
-    masked = f"aggregate({by_length}, {line}, (text, v) -> replace(text, v.raw, {_mask('v.raw')}))"
-    return f"if({_may_match(line, rules)}, {_let('found', _secret_matches(line, rules), masked)}, {line})"
+    return f"aggregate({by_length}, {line}, (text, v) -> replace(text, v.raw, {_mask('v.raw')}))"
 
 
 def _line_fits(line: str, max_bytes: int | None) -> str:
@@ -96,27 +96,36 @@ def _text_lines(text: str) -> str:
     return f"if(is_valid_utf8({text}), split({text}, '\\n', -1), {bytewise})"
 
 
-def _line_context(lines: str, line_idx: str, options: ScanOptions, rules: Sequence[Rule]) -> str:
-    if options.context == "none":
-        return "cast(null AS string)"
-    first = f"greatest({line_idx}, 1)"
-    around = (
-        f"filter(slice({lines}, {first}, least({line_idx} + 2, size({lines})) - {first} + 1), y -> is_valid_utf8(y))"
-    )
-    if options.context == "redacted":
-        around = (
-            f"transform(filter({around}, y -> {_line_fits('y', options.max_line_bytes)}), "
-            f"y -> {_redact_line('y', rules)})"
-        )
-    return f"array_join({around}, '\\n')"
+def _context_idxs(lines: str, line_idx: str) -> str:
+    """Positions of the line before, the line and the line after, without invalid UTF-8."""
+    around = f"sequence(greatest({line_idx} - 1, 0), least({line_idx} + 1, size({lines}) - 1))"
+    return f"filter({around}, y -> is_valid_utf8(get({lines}, y)))"
 
 
-def _candidate_line(line: str, rules: Sequence[Rule], options: ScanOptions) -> str:
-    code_like = _quoted(to_java(LINE_FILTER_PATTERNS[options.line_filter]))
-    return (
-        f"{_line_fits(line, options.max_line_bytes)} AND {_may_match(line, rules)} "
-        f"AND NOT rlike({line}, {code_like})"
+def _raw_context(lines: str, line_idx: str) -> str:
+    return f"array_join(transform({_context_idxs(lines, line_idx)}, y -> get({lines}, y)), '\\n')"
+
+
+def _redacted_context(lines: str, secrets: str, line_idx: str, options: ScanOptions) -> str:
+    """``secrets`` holds at each line's position what was found there, or NULL."""
+    examined = f"filter({_context_idxs(lines, line_idx)}, y -> {_line_fits(f'get({lines}, y)', options.max_line_bytes)})"
+    redacted = (
+        f"transform({examined}, y -> if(get({secrets}, y) IS NULL, get({lines}, y), "
+        f"{_masked_line(f'get({lines}, y)', f'get({secrets}, y)')}))"
     )
+    return f"array_join({redacted}, '\\n')"
+
+
+def _line_secrets(line: str, rules: Sequence[Rule], options: ScanOptions, code_lines: bool) -> str:
+    """What a line holds, NULL for a line that is too long, cannot match or is left out as code."""
+    examined = f"{_line_fits(line, options.max_line_bytes)} AND {_may_match(line, rules)}"
+    if not code_lines:
+        examined += f" AND NOT {_looks_like_code(line, options)}"
+    return f"CASE WHEN {examined} THEN {_secret_matches(line, rules)} END"
+
+
+def _looks_like_code(line: str, options: ScanOptions) -> str:
+    return f"rlike({line}, {_quoted(to_java(LINE_FILTER_PATTERNS[options.line_filter]))})"
 
 
 # The first hit of each (rule, mask), in scan order: a sort, no pairwise test.
@@ -163,16 +172,10 @@ def secret_matches(line: Column, rules: Sequence[Rule] = DEFAULT_RULES) -> Colum
     return _apply(line, "line", _secret_matches("line", rules))
 
 
-def line_context(
-    lines: Column, line_idx: Column, options: ScanOptions = ScanOptions(), rules: Sequence[Rule] = DEFAULT_RULES
-) -> Column:
-    """The line before, the line and the line after, joined by LF.
-
-    Lines that are not valid UTF-8 are left out.  In a redacted context a line
-    over the length limit is left out too: no rule has looked at it.
-    """
+def line_context(lines: Column, line_idx: Column) -> Column:
+    """The line before, the line and the line after, joined by LF; invalid UTF-8 left out."""
     at = F.struct(lines.alias("lines"), line_idx.alias("idx"))
-    return _apply(at, "at", _line_context("at.lines", "at.idx", options, rules))
+    return _apply(at, "at", _raw_context("at.lines", "at.idx"))
 
 
 def redact_text(
@@ -184,7 +187,8 @@ def redact_text(
     leak, so neither the line filter nor any cap applies, and long lines are
     redacted as well unless a limit is given.
     """
-    redacted = f"if({_line_fits('line', max_line_bytes)}, {_redact_line('line', rules)}, line)"
+    secrets = _line_secrets("line", rules, ScanOptions(max_line_bytes=max_line_bytes), code_lines=True)
+    redacted = _let("found", secrets, f"if(found IS NULL, line, {_masked_line('line', 'found')})")
     body = f"if({_may_match('t', rules)}, array_join(transform({_text_lines('t')}, line -> {redacted}), '\\n'), t)"
     return _apply(text, "t", body)
 
@@ -202,25 +206,29 @@ def content_hits(
     each (rule, mask) is kept, so what leaves the row is bounded by the distinct
     secrets in it; under an exact entry cap it is bounded by the two caps.
     """
-    candidates = (
-        "filter(transform(lines, (line, i) -> struct(i AS line_idx, line AS line)), "
-        f"c -> {_candidate_line('c.line', rules, options)})"
-    )
-    matched = f"transform({candidates}, c -> struct(c.line_idx AS line_idx, {_secret_matches('c.line', rules)} AS found))"
+    redacted = options.context == "redacted"
+    secrets = f"transform(lines, line -> {_line_secrets('line', rules, options, code_lines=redacted)})"
+    # A redacted context masks what stands on code lines too; such lines give no hits.
+    on_hit_line = "size(found) > 0" + (f" AND NOT {_looks_like_code('get(lines, i)', options)}" if redacted else "")
     masked = (
-        f"flatten(transform({matched}, c -> transform(c.found, m -> struct(c.line_idx AS line_idx, "
-        f"m.rule_ord AS rule_ord, m.match_ord AS match_ord, {_mask('m.raw')} AS masked))))"
+        f"flatten(transform(secrets, (found, i) -> CASE WHEN {on_hit_line} THEN transform(found, m -> "
+        f"struct(i AS line_idx, m.rule_ord AS rule_ord, m.match_ord AS match_ord, {_mask('m.raw')} AS masked)) "
+        "ELSE array() END))"
     )
     kept = _let("hits", masked, _FIRST_PER_KEY) if first_per_key else masked
     if first_per_key and (bound := entry_bound(options)) is not None:
         kept = f"slice({kept}, 1, {bound})"
+    context = {
+        "redacted": _redacted_context("lines", "secrets", "h.line_idx", options),
+        "raw": _raw_context("lines", "h.line_idx"),
+        "none": "cast(null AS string)",
+    }[options.context]
     in_context = (
         f"transform({kept}, h -> struct(h.line_idx AS line_idx, h.rule_ord AS rule_ord, h.match_ord AS match_ord, "
-        f"h.masked AS masked, {_line_context('lines', 'h.line_idx', options, rules)} AS context))"
-    )
-    return _apply(
-        text, "t", f"CASE WHEN {_may_match('t', rules)} THEN {_let('lines', _text_lines('t'), in_context)} END"
+        f"h.masked AS masked, {context} AS context))"
     )
+    body = _let("lines", _text_lines("t"), _let("secrets", secrets, in_context))
+    return _apply(text, "t", f"CASE WHEN {_may_match('t', rules)} THEN {body} END")
 
 
 def entry_bound(options: ScanOptions) -> int | None:

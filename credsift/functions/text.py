@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ MASK_STARS = 20
 MESSAGE_LENGTH = 120
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def mask_secret(value: Column) -> Column:
     """All stars up to 8 characters, else 4 characters, at most 20 stars, 4 characters."""
     n = F.length(value)

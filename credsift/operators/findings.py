@@ -41,30 +41,19 @@ def dedupe_and_cap(hits: DataFrame, n: int | None = 50) -> DataFrame:
     """Repeats and entry cap in one, entry after entry as a scan meets them.
 
     A key that the cap cuts off has not been reported, so a later entry of the
-    same path may report it.  That differs from ``dedupe_findings`` followed by
-    ``cap_per_entry`` only for paths with an entry of more than ``n`` keys; only
-    those are folded in order, the others need a window.
+    same path may report it; ``dedupe_findings`` followed by ``cap_per_entry``
+    would lose it.
 
     ``hits`` holds each key of an entry once, as ``content_hits`` leaves it.
-    All of it needs one exchange, on (repository, path).  What meets there are
-    the versions of one file: at most the entry cap times the bound on hits per
-    entry, and the fold keeps only the reported keys of one path in memory.
+    They need one exchange, on (repository, path).  What meets there are the
+    versions of one file: at most the entry cap times the bound on hits per
+    entry, however large the table is.  They stream through the fold, which
+    keeps the reported keys of one path in memory.
     """
     if n is None:
         return dedupe_findings(hits)
-    per_entry = Window.partitionBy("repo", "path", "entry_seq")
-    per_path = Window.partitionBy("repo", "path")
-    sized = (
-        hits.repartition("repo", "path")
-        .withColumn("_entry_hits", F.count(F.lit(1)).over(per_entry))
-        .withColumn("_most", F.max("_entry_hits").over(per_path))
-        .drop("_entry_hits")
-    )
-    within = dedupe_findings(sized.where(F.col("_most") <= n).drop("_most"))
-    beyond = sized.where(F.col("_most") > n).drop("_most")
-
-    ordered = beyond.sortWithinPartitions("repo", "path", "entry_seq", *IN_ENTRY)
-    return within.unionByName(ordered.mapInArrow(_reported_in_turn(n), beyond.schema))
+    in_turn = hits.repartition("repo", "path").sortWithinPartitions("repo", "path", "entry_seq", *IN_ENTRY)
+    return in_turn.mapInArrow(_reported_in_turn(n), hits.schema)
 
 
 def _reported_in_turn(n: int):
@@ -121,40 +110,30 @@ def scan_stats(
     ``entries`` are the scannable ones.  Those after the entry that filled the
     total cap have not been processed and do not count.
     """
-    processed = entries.select("repo", "entry_seq", "path")
+    found = findings.groupBy(F.col("repo").alias("_repo")).agg(
+        F.count(F.lit(1)).alias("_found"), F.max("entry_seq").alias("_last")
+    )
+    processed = entries.select("repo", "entry_seq", "path").join(
+        found, F.col("repo").eqNullSafe(F.col("_repo")), "left"
+    )
     if max_findings is not None:
-        last = (
-            findings.groupBy("repo")
-            .agg(F.count(F.lit(1)).alias("_n"), F.max("entry_seq").alias("_last"))
-            .where(F.col("_n") >= max_findings)
-            .select(F.col("repo").alias("_repo"), "_last")
-        )
-        processed = processed.join(last, F.col("repo").eqNullSafe(F.col("_repo")), "left").where(
-            F.col("_last").isNull() | (F.col("entry_seq") <= F.col("_last"))
-        )
-    zero = F.lit(0).cast("long")
-    counts = [
-        processed.groupBy("repo").agg(F.countDistinct("path").alias("files")).select(
-            "repo", zero.alias("commits"), "files", zero.alias("found")
-        ),
-        findings.groupBy("repo").agg(F.count(F.lit(1)).alias("found")).select(
-            "repo", zero.alias("commits"), zero.alias("files"), "found"
-        ),
-    ]
-    if commits is not None:
-        counts.append(
-            commits.groupBy("repo").agg(F.countDistinct("hash").alias("commits")).select(
-                "repo", "commits", zero.alias("files"), zero.alias("found")
-            )
-        )
-    together = counts[0]
-    for other in counts[1:]:
-        together = together.unionByName(other)
-    return together.groupBy("repo").agg(
-        F.sum("commits").alias("total_commits_scanned"),
-        F.sum("files").alias("total_files_scanned"),
-        F.sum("found").alias("total_findings"),
+        full = F.coalesce(F.col("_found"), F.lit(0)) >= max_findings
+        processed = processed.where(~full | (F.col("entry_seq") <= F.col("_last")))
+    stats = processed.groupBy("repo").agg(
+        F.countDistinct("path").alias("total_files_scanned"),
+        F.coalesce(F.max("_found"), F.lit(0)).alias("total_findings"),
     )
+    if commits is None:
+        stats = stats.withColumn("total_commits_scanned", F.lit(0).cast("long"))
+    else:
+        walked = commits.groupBy(F.col("repo").alias("_repo")).agg(F.countDistinct("hash").alias("_commits"))
+        stats = stats.join(walked, F.col("repo").eqNullSafe(F.col("_repo")), "full").select(
+            F.coalesce("repo", "_repo").alias("repo"),
+            F.coalesce("_commits", F.lit(0)).alias("total_commits_scanned"),
+            F.coalesce("total_files_scanned", F.lit(0)).alias("total_files_scanned"),
+            F.coalesce("total_findings", F.lit(0)).alias("total_findings"),
+        )
+    return stats.select("repo", "total_commits_scanned", "total_files_scanned", "total_findings")
 
 
 def triage_order(findings: DataFrame) -> DataFrame:

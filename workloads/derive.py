@@ -7,9 +7,12 @@ appended to them.  All values are md5 digests of the row's key.
 from __future__ import annotations
 
 import re
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+from credsift.session import shared_folder
+
 # What a line with a value of each rule looks like, in registry order.
 # <hN> is N lower-case hexadecimal digits, <HN> upper-case, <dN> decimal, <u> a UUID.
 PLANTS: dict[str, str] = {
@@ -307,10 +310,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """One of the texts above, run by Spark on the tables in ``sf_dir``."""
-    names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
+    """One of the texts above, run by Spark on the tables in ``sf_dir``.
+
+    It is test input, not part of what is tested: it is written to the shared
+    folder once per session, and the queries scan it like any other table.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, sql)
+    if key not in _written:
+        names = set(re.findall(r"\{(\w+)\}", sql))
+        path = f"{shared_folder(spark)}/derived-{uuid4().hex}"
+        spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names}).write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
 
 
 def for_oracle(sql: str) -> str:

@@ -293,7 +293,7 @@ def line_context_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = docs.select("doc_id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("line_idx"))
     return at.select(
         "doc_id", "line_idx",
-        line_context(F.col("lines"), F.col("line_idx"), ScanOptions(context="raw")).alias("context"),
+        line_context(F.col("lines"), F.col("line_idx")).alias("context"),
     )
 
 
