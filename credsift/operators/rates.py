@@ -114,32 +114,38 @@ def _bucket_functions(width: int, bucket_windows: int) -> Callable[[Batches], Ba
 
     def run(batches: Batches) -> Batches:
         group = None
-        # Chains of windows alive in the bucket, oldest current window first:
-        # [start of the current window, its event number, last event whose chain this is].
-        chains: deque[list[int]] = deque()
+        # Chains of windows alive in the bucket, oldest open window first: start of the open
+        # window, number of the event that opened it, events at which the chain may have begun.
+        chains: deque[tuple[int, int, list[int]]] = deque()
         events = first = 0
         late_entry = False
         out: list[tuple] = []
 
         def close() -> None:
-            if group is not None:
-                out.extend((*group, upto, start, events - number, first, events) for start, number, upto in chains)
+            """One row per run of beginnings that end in the same window."""
+            ends = sorted((begin, start, number) for start, number, begins in chains for begin in begins)
+            for i, (begin, start, number) in enumerate(ends):
+                if i + 1 == len(ends) or ends[i + 1][1] != start:
+                    out.append((*group, begin, start, events - number, first, events))
 
         for batch in batches:
             for key, bucket, us in zip(*(batch.column(c).to_pylist() for c in ("key", "bucket", "us"))):
                 if (key, bucket) != group:
                     close()
                     group, chains, events, first, late_entry = (key, bucket), deque(), 0, us, False
-                upto = None
+                begins: list[int] = []
                 while chains and us - chains[0][0] > width:
-                    upto = chains.popleft()[2]
+                    # chains whose windows have ended go on together from here
+                    longer, shorter = sorted((begins, chains.popleft()[2]), key=len, reverse=True)
+                    longer.extend(shorter)
+                    begins = longer
                 if us - bucket * span <= width or not late_entry:
                     # a window may open here, whatever was open before the bucket
                     late_entry = us - bucket * span > width
-                    if upto is not None or not chains or chains[-1][0] != us:
-                        chains.append([us, events, us])
-                elif upto is not None:
-                    chains.append([us, events, upto])
+                    if begins or not chains or chains[-1][0] != us:
+                        begins.append(us)
+                if begins:
+                    chains.append((us, events, begins))
                 events += 1
             if len(out) >= 50_000:
                 yield _rows(out, batch.schema.field("key").type)

@@ -315,9 +315,9 @@ SELECT doc_id, cast(i AS int) AS line_idx, array_to_string(l[greatest(i, 1):leas
 FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
         "redact_text": scan(ENTRIES["documents"]).replace("WHERE strlen(line) <= 4096", "", 1) + REDACTED.replace("WHERE strlen(l.line) <= 4096", "") + """
 SELECT entry_seq AS doc_id, string_agg(line, chr(10) ORDER BY line_idx) AS text FROM shown GROUP BY entry_seq""",
-        "triage_order": document_findings.replace(FINDINGS, "") + """
-SELECT row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, repo, entry_seq, line_idx, rule_ord, match_ord) AS place,
-       severity, rule_id AS type, path AS file FROM kept""",
+        "triage_order": scan(ENTRIES["documents"]) + """
+SELECT CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END AS rank,
+       severity, rule_id AS type, path AS file, cast(line_idx + 1 AS int) AS line FROM kept ORDER BY rank""",
         "triage_summary": scan(ENTRIES["documents"]) + "SELECT severity, rule_id AS type, count(*) AS findings, count(DISTINCT path) AS files FROM kept GROUP BY ROLLUP (severity, rule_id)",
         "scan_stats": scan(ENTRIES["documents"], total=20) + """,
 last AS (SELECT repo, max(entry_seq) AS last FROM kept GROUP BY repo HAVING count(*) >= 20)

@@ -336,9 +336,7 @@ def user_rule_inline_token(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def triage_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = finding_ops.triage_order(scan_entries(document_entries(spark, sf_dir)))
-    place = F.monotonically_increasing_id() + 1
-    # the place in a sorted result is read off after the rows are in one sorted partition
-    return ordered.coalesce(1).select(place.alias("place"), "severity", "type", "file")
+    return ordered.select(text.severity_rank(F.col("severity")).alias("rank"), "severity", "type", "file", "line")
 
 
 @query
