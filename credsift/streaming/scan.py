@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +44,11 @@ def write_new_findings(
     """Append to a findings table what it does not hold yet, batch by batch, until the input is read.
 
     Repeats are looked up in the table itself, so they are known for ever, and a
-    batch that is run again after a failure adds nothing twice.
+    batch that is run again after a failure replaces what it wrote before.  Each
+    ``checkpoint`` is a writer with folders of its own.
     """
     return (
-        entries.writeStream.foreachBatch(_append_new(table_path, rules, options))
+        entries.writeStream.foreachBatch(_append_new(table_path, checkpoint, rules, options))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -54,17 +56,18 @@ def write_new_findings(
 
 
 def _append_new(
-    table_path: str, rules: Sequence[Rule], options: ScanOptions
+    table_path: str, checkpoint: str, rules: Sequence[Rule], options: ScanOptions
 ) -> Callable[[DataFrame, int], None]:
     key = ["repo", "type", "matched_value", "file"]
+    writer = sha256(checkpoint.encode()).hexdigest()[:16]
 
     def append(batch: DataFrame, batch_id: int) -> None:
         found = as_findings(dedupe_findings(entry_hits(batch, rules, options)), rules).select("repo", *FINDING_COLUMNS)
         earlier = _read_if_present(batch.sparkSession, table_path, found)
         if earlier is not None:
-            found = found.join(earlier.where(F.col("batch_id") != batch_id).select(*key).distinct(), key, "left_anti")
-        # One folder per batch: running a batch again replaces what it wrote before.
-        found.write.mode("overwrite").parquet(f"{table_path}/batch_id={batch_id}")
+            own = (F.col("writer") == writer) & (F.col("batch_id") == batch_id)
+            found = found.join(earlier.where(~own).select(*key).distinct(), key, "left_anti")
+        found.write.mode("overwrite").parquet(f"{table_path}/writer={writer}/batch_id={batch_id}")
 
     return append
 
@@ -73,5 +76,5 @@ def _read_if_present(spark: SparkSession, path: str, like: DataFrame) -> DataFra
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
-    schema = like.schema.add("batch_id", "long")
+    schema = like.schema.add("writer", "string").add("batch_id", "long")
     return spark.read.schema(schema).parquet(path)
