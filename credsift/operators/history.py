@@ -18,34 +18,60 @@ from credsift.session import materialise
 # entry_seq = commit rank * 2^32 + path rank; the HEAD tree ranks after all commits.
 PATH_RANKS = 1 << 32
 HEAD_RANK = 1 << 30
+# Steps back in history that are taken at once; a power of two.
+STRIDE = 4
+
+
+def _near_ancestors(commits: DataFrame) -> DataFrame:
+    """``repo, hash, ancestor, steps``: the ancestors up to ``STRIDE`` steps back, with the fewest steps."""
+    known = commits.select("repo", F.col("hash").alias("ancestor"))
+    near = (
+        commits.select("repo", "hash", F.explode("parents").alias("ancestor"), F.lit(1).alias("steps"))
+        .distinct()
+        .join(known, ["repo", "ancestor"], "left_semi")
+    )
+    reach = 1
+    while reach < STRIDE:
+        further = near.select(
+            "repo", F.col("hash").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("steps").alias("_more")
+        )
+        twice = near.join(further, ["repo", "ancestor"]).select(
+            "repo", "hash", F.col("_next").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps")
+        )
+        near = near.unionByName(twice).groupBy("repo", "hash", "ancestor").agg(F.min("steps").alias("steps"))
+        reach *= 2
+    return near
 
 
 def reachable_commits(refs: DataFrame, commits: DataFrame, max_per_ref: int | None = 50) -> DataFrame:
     """Commits within ``max_per_ref`` steps of a hash-type ref, each once, with its least depth.
 
-    The frontier is joined to the parents of its commits step by step.  A commit
-    reached on many ways through merges is met once, since found ones are taken
-    out of each frontier.  The parents are partitioned once and stay so; each
-    step moves the frontier only and is written to the checkpoint folder.
+    The way back is taken in strides: a table of each commit's near ancestors is
+    made once, and each round joins the commits at the far
+    edge of the last stride to it.  A shortest way passes that edge, so depths
+    stay exact; a commit reached on many ways through merges is met once, since
+    found ones are taken out.  Rounds are few and each is written to the shared
+    folder, so lineage stays short.
     """
-    spark = commits.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parents = materialise(commits.select("repo", "hash", "parents").repartition(parts, "repo", "hash"))
+    near = materialise(_near_ancestors(commits))
     tips = refs.where(F.col("type") == "hash").select("repo", "hash").distinct()
-    found = frontier = materialise(
-        parents.join(tips, ["repo", "hash"], "left_semi").select("*", F.lit(0).alias("depth"))
+    found = edge = materialise(
+        commits.select("repo", "hash").join(tips, ["repo", "hash"], "left_semi").withColumn("depth", F.lit(0))
     )
     depth = 0
-    while not frontier.isEmpty() and (max_per_ref is None or depth + 1 < max_per_ref):
-        depth += 1
-        step = frontier.select("repo", F.explode("parents").alias("hash")).distinct()
-        frontier = materialise(
-            parents.join(step, ["repo", "hash"], "left_semi")
-            .join(found.select("repo", "hash"), ["repo", "hash"], "left_anti")
-            .select("*", F.lit(depth).alias("depth"))
+    while (max_per_ref is None or depth + 1 < max_per_ref) and not edge.isEmpty():
+        reached = (
+            near.join(edge, ["repo", "hash"])
+            .groupBy("repo", F.col("ancestor").alias("hash"))
+            .agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
         )
-        found = found.unionByName(frontier)
-    return found.select("repo", "hash", "depth")
+        if max_per_ref is not None:
+            reached = reached.where(F.col("depth") < max_per_ref)
+        new = materialise(reached.join(found, ["repo", "hash"], "left_anti"))
+        found = found.unionByName(new)
+        depth += STRIDE
+        edge = new.where(F.col("depth") == depth)
+    return found
 
 
 def latest_commits(ref_commits: DataFrame, n: int = 50) -> DataFrame:

@@ -96,7 +96,7 @@ def scan_repo_history(
     A file version is a blob, and many commits and HEAD share it.  Each blob is
     scanned once, where it is read, and only its hits are joined to the places
     it occurs; contents are never shuffled.  The joined table holds masks and
-    hashes only.  It is written to the checkpoint folder, as findings and
+    hashes only.  It is written to the shared folder, as findings and
     statistics both need it and the scan should run once.
     """
     reached, files = walk(refs, commits, tree_files, options)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage, safe against lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Compute ``df`` once, as a table in the shared folder, and go on from that.
+
+    The lineage ends there and lost executors do not matter; unlike a plain
+    checkpoint the table is columnar and its size is known, so that a small one
+    is broadcast by Spark's own threshold.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -323,7 +323,9 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     if key not in _written:
         names = set(re.findall(r"\{(\w+)\}", sql))
         path = f"{shared_folder(spark)}/derived-{uuid4().hex}"
-        spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names}).write.parquet(path)
+        rows = spark.sql(sql, **{name: table(spark, sf_dir, name) for name in names})
+        # the given tables are single small files; as many files as cores stand for a large table
+        rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _written[key] = path
     return spark.read.parquet(_written[key])
 
