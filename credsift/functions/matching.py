@@ -201,8 +201,8 @@ def content_hits(
 ) -> Column:
     """All hits in one text, in scan order: by line, rule, match.
 
-    ``array<struct<line_idx, rule_ord, match_ord, masked, context>>``, NULL for
-    a text that cannot hold any.  With ``first_per_key`` only the first hit of
+    ``array<struct<line_idx, rule_ord, match_ord, masked, context, entry_hits>>``,
+    ``entry_hits`` being the number of them; NULL for a text that cannot hold any.  With ``first_per_key`` only the first hit of
     each (rule, mask) is kept, so what leaves the row is bounded by the distinct
     secrets in it; under an exact entry cap it is bounded by the two caps.
     """
@@ -223,9 +223,10 @@ def content_hits(
         "raw": _raw_context("lines", "h.line_idx"),
         "none": "cast(null AS string)",
     }[options.context]
-    in_context = (
-        f"transform({kept}, h -> struct(h.line_idx AS line_idx, h.rule_ord AS rule_ord, h.match_ord AS match_ord, "
-        f"h.masked AS masked, {context} AS context))"
+    in_context = _let(
+        "kept", kept,
+        "transform(kept, h -> struct(h.line_idx AS line_idx, h.rule_ord AS rule_ord, h.match_ord AS match_ord, "
+        f"h.masked AS masked, {context} AS context, size(kept) AS entry_hits))",
     )
     body = _let("lines", _text_lines("t"), _let("secrets", secrets, in_context))
     return _apply(text, "t", f"CASE WHEN {_may_match('t', rules)} THEN {body} END")

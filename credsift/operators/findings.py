@@ -44,15 +44,25 @@ def dedupe_and_cap(hits: DataFrame, n: int | None = 50) -> DataFrame:
     same path may report it; ``dedupe_findings`` followed by ``cap_per_entry``
     would lose it.
 
-    ``hits`` holds each key of an entry once, as ``content_hits`` leaves it.
-    They need one exchange, on (repository, path).  What meets there are the
-    versions of one file: at most the entry cap times the bound on hits per
-    entry, however large the table is.  They stream through the fold, which
-    keeps the reported keys of one path in memory.
+    ``hits`` holds each key of an entry once with the entry's number of hits, as
+    ``entry_hits`` of the scan leaves it.  In an entry of at most ``n`` hits the
+    cap cuts nothing, so a key is reported there at the latest and every later
+    row of it can go: of those rows one per key is kept, on the map side already.
+    What is left of a path, its distinct keys and its entries over the cap,
+    streams in order through the fold, which keeps the reported keys in memory.
     """
     if n is None:
         return dedupe_findings(hits)
-    in_turn = hits.repartition("repo", "path").sortWithinPartitions("repo", "path", "entry_seq", *IN_ENTRY)
+    # rows of entries over the cap are a part of their own each, and all stay
+    part = F.when(F.col("entry_hits") > n, F.col("entry_seq"))
+    first = Window.partitionBy(*KEY, "_part").orderBy("entry_seq", *IN_ENTRY)
+    rest = (
+        hits.withColumn("_part", part)
+        .withColumn("_n", F.row_number().over(first))
+        .where(F.col("_n") == 1)
+        .drop("_part", "_n")
+    )
+    in_turn = rest.repartition("repo", "path").sortWithinPartitions("repo", "path", "entry_seq", *IN_ENTRY)
     return in_turn.mapInArrow(_reported_in_turn(n), hits.schema)
 
 
