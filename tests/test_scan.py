@@ -46,7 +46,7 @@ def test_repeats(entries):
 
 def test_filtered(entries):
     assert found(entries(("a.txt", "aws_secret_access_key: " + "x" * 40))) == []
-    assert found(entries(("patterns.go", f'var r = regexp.MustCompile("{KEY_ID}")'))) == []
+    assert found(entries(("detect.go", f'var r = regexp.MustCompile("{KEY_ID}")'))) == []
     assert found(entries(("huge.js", " " * 4196 + KEY_ID))) == []
     assert found(entries(("image.png", KEY_ID), ("yarn.lock", KEY_ID), ("a.bin.txt", f"\x00{KEY_ID}"))) == []
     assert found(entries(("large.txt", KEY_LINE + "\n" * (1 << 20)))) == []
