@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsift.llm import minhash, mixing, pieces, reputation, substrings, winnowing
+from credsift.llm import minhash, mixing, pieces, reputation, substrings, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,19 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
+    answers, others = (warc.read_archives(spark, manifest.where(F.col("series") == s)) for s in ("answers", "others"))
+    response = F.col("response")
+    return warc.transactions(answers, others).select(
+        F.col("page").cast("long").alias("page_id"), response["payload_bytes"].alias("payload_bytes"),
+        response["payload_digest"].alias("payload_digest"), response["type"].alias("record_type"),
+        F.col("refers_to_page").cast("long").alias("refers_to"),
+        F.col("request").isNotNull().alias("has_request"), F.col("metadata").isNotNull().alias("has_metadata"),
+    )
+
+
 @query
 def op6_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
