@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsift.llm import kdtree, minhash, mixing, pieces, reputation, substrings, warc, winnowing
+from credsift.llm import kdtree, minhash, mixing, pieces, reputation, substrings, toxicity, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,16 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"))
+    classifier = toxicity.fit_classifier(docs, labels.where(~toxicity.held_out(F.col("key"))))
+    return toxicity.score_texts(docs, classifier).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_words"
+    )
+
+
 @query
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0)
