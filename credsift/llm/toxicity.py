@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -19,7 +19,9 @@ from credsift.session import materialise
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE_ROWS = 20_000
 #: Features of the classifier at most, and what a feature needs: toxic rows and standard deviations above chance.
-MOST_FEATURES, LEAST_ROWS, LEAST_Z = 5000, 6, 4.0
+MOST_FEATURES, LEAST_ROWS, LEAST_Z, LEAST_WEIGHT = 5000, 5, 4.0, 2.5
+#: Words of a text that count at most, the most toxic ones.
+TOP_WORDS = 3
 #: Stems of words that are features besides the whole word.
 STEMS = range(4, 9)
 #: Symbols of the character model: word boundary, a to z, any other letter.
@@ -30,7 +32,7 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i",
 }
 WILD = "*#"
-SIGN_COST, WILD_COST, KEEP_RUN_COST, DROP_COST, BREAK_COST = 1.0, 3.0, 1.5, 0.5, 2.0
+SIGN_COST, WILD_COST, KEEP_RUN_COST, DROP_COST, BREAK_COST = 1.0, 3.0, 1.5, 0.5, 0.5
 EDGES = ".,;:!?\"'()[]{}<>«»“”„…"
 JOINTS = ".-_*/\\~·,'​‌‍"
 SUSPECT = re.compile(r"[^\w]|[0-9_]|(.)\1\1")
@@ -96,7 +98,8 @@ def lattice(chunks: list[str]) -> list[list[Option]]:
             if n == 1:
                 places.append(readings)
             else:
-                places.append([(c, w) for c, w in readings] + [(c * 2, w + (0.0 if n == 2 else KEEP_RUN_COST)) for c, w in readings if c])
+                once, twice = (2 * KEEP_RUN_COST, 0.0) if n == 2 else (0.0, KEEP_RUN_COST)
+                places.append([(c, w + once) for c, w in readings] + [(c * 2, w + twice) for c, w in readings if c])
     return places
 
 
@@ -133,7 +136,9 @@ def restore(token: str, model: list) -> list[str]:
     chunks = [c for c in re.split(f"[{re.escape(JOINTS)}]+", bare) if c]
     singles = sum(len(c) == 1 for c in chunks)
     if len(chunks) >= 3 and singles >= len(chunks) - 1 and readable("".join(chunks)):
-        return viterbi(lattice(chunks), model).split()
+        whole = viterbi(lattice(["".join(chunks)]), model)
+        # also cut into words, and without an article that stood before the spaced word
+        return [whole, *viterbi(lattice(chunks), model).split(), *([whole[1:]] if len(whole) > 3 else [])]
     if readable(bare) and (re.search(r"(.)\1\1", bare) or not bare.isalpha()):
         return viterbi(lattice([bare]), model).split()
     words = []
@@ -209,7 +214,7 @@ def _runs(single: np.ndarray, text_of: np.ndarray) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Classifier:
-    """Evidence of a text: the weights of its distinct words, put through a logistic curve."""
+    """Evidence of a text: the weights of its most toxic words, put through a logistic curve."""
 
     weights: dict[str, float]
     slope: float
@@ -221,6 +226,9 @@ class Classifier:
         found += [self.weights.get(word[:n] + "-", 0.0) for n in STEMS if n < len(word)]
         return max(found)
 
+    def evidence(self, weights: Iterable[float]) -> float:
+        return math.fsum(sorted(weights, reverse=True)[:TOP_WORDS])
+
     def score(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.shift, -30, 30)))
 
@@ -271,22 +279,25 @@ def fit_classifier(
     )
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
     words = materialise(restored_words(rows.select("label", "text"), model, "label"))
+    # copies and most near copies have the same two least hashes; they count once
+    least = F.slice(F.array_sort(F.transform("words", lambda w: F.xxhash64(w))), F.lit(1), F.lit(2))
+    apart = materialise(words.withColumn("least", least).dropDuplicates(["label", "least"]).select("label", "words"))
     stems = [F.transform(F.filter("words", lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.left(w, F.lit(n)), F.lit("-"))) for n in STEMS]
-    toxic, total = words.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
+    toxic, total = apart.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1))).first()
     base = min(max(toxic / max(1, total), 1e-6), 1 - 1e-6)
-    feature = words.select("label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("feature"))
+    feature = apart.select("label", F.explode(F.array_distinct(F.concat("words", *stems))).alias("feature"))
     counts = feature.groupBy("feature").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n"))
     z = (F.col("bad") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)))
-    odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 0.5)) - math.log(base / (1 - base))
+    odds = F.log((F.col("bad") + 0.5) / (F.col("n") - F.col("bad") + 1.0)) - math.log(base / (1 - base))
     best = (
-        counts.where(f"bad >= {LEAST_ROWS}").where(z >= LEAST_Z).where(odds > 2.0)
+        counts.where(f"bad >= {LEAST_ROWS}").where(z >= LEAST_Z).where(odds > LEAST_WEIGHT)
         .orderBy(F.desc(z), "feature").limit(MOST_FEATURES).select("feature", odds.alias("weight"))
     )
     weights = {r["feature"]: r["weight"] for r in best.collect()}  # MOST_FEATURES at most
     raw = Classifier(weights, 1.0, 0.0, [])
-    pairs = [(sum(map(raw.weight, r["words"])), r["label"]) for r in words.toLocalIterator()]  # sample_rows at most
+    pairs = [(raw.evidence(map(raw.weight, r["words"])), r["label"]) for r in words.toLocalIterator()]  # sample_rows at most
     x, y = (np.array(c, float) for c in zip(*pairs)) if pairs else (np.zeros(0), np.zeros(0))
-    slope, shift = logistic(np.minimum(x, 10.0), y) if len(set(y.tolist())) == 2 else (1.0, -3.0)
+    slope, shift = logistic(x, y) if len(set(y.tolist())) == 2 else (1.0, -3.0)
     return Classifier(weights, slope, shift, model.tolist())
 
 
@@ -323,7 +334,7 @@ def score_texts(docs: DataFrame, classifier: Classifier, key: str = "doc_id", te
                     per_text.setdefault(t, {}).update(found[i])
                 evidence, n_words = np.zeros(len(part)), np.zeros(len(part), np.int32)
                 for t, words in per_text.items():
-                    evidence[t], n_words[t] = min(10.0, math.fsum(words.values())), len(words)
+                    evidence[t], n_words[t] = judge.evidence(words.values()), len(words)
                 score = judge.score(evidence)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(n_words)],
