@@ -1,15 +1,79 @@
-"""From raw documents to a tokenised mix, stage by stage."""
+"""From raw documents to a tokenised mix, stage by stage.
+
+Every stage but the last takes and gives the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from credsift.llm import minhash, mixing, pieces, substrings, toxicity
+from credsift.session import materialise
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+MODEL = "piece_bpe_32k.model"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that are predicted to be toxic.  Rows of the held-out fold are never learnt from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"))
+    classifier = toxicity.fit_classifier(docs, labels.where(~toxicity.held_out(F.col("key"))))
+    return toxicity.score_texts(docs, classifier, carry=COLUMNS[1:]).where("predicted = 0").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the smallest id of every group of near copies, once; rows without an id stay."""
+    copies = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    left = docs.join(materialise(copies), "doc_id", "left_anti")
+    return left.withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).select(*COLUMNS)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes passages out that a document of a smaller id has; a document of which nothing is left goes.
+
+    Texts that lose nothing stay as they are; others are their words joined by a blank.
+    """
+    cleaned = substrings.remove_repeats(docs, carry=("lang", "source"))
+    text = F.when(F.col("n_removed") == 0, F.col("original")).otherwise(F.col("kept"))
+    return (
+        cleaned.where("n_removed = 0 or n_removed < n_words")
+        .select("doc_id", text.alias("text"), "lang", "source")
+        .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    )
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats every document as often as the mix takes it; documents that it does not take go."""
+    taken = (
+        mixing.mix_sources(docs, mixing.word_count(F.col("text"))).groupBy("doc_id").agg(F.max("copies").alias("copies"))
+        .where("copies > 0").withColumnRenamed("doc_id", "taken_id")
+    )
+    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return both.withColumn("pass", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids): every text as ids of the public tokenizer, checked by decoding."""
+    coded = pieces.encode_texts(docs, public_tokenizers.path(MODEL))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("repeated passages", drop_repeats),
+    ("mix", mix),
+    ("pieces", tokenise),
+]
+#: The classifier, the sketches and the tokenizer are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written, and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsift.llm import kdtree, minhash, mixing, pieces, reputation, substrings, toxicity, warc, winnowing
+from credsift.llm import kdtree, minhash, mixing, pieces, pseudolikelihood, reputation, substrings, toxicity, warc, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -78,6 +78,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+@query
+def op5_pseudolikelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudolikelihood.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from uuid import uuid4
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsift.llm.words import Words, parts, rolling, words_of
+from credsift.llm.words import Words, carried, parts, rolling, words_of
 from credsift.session import materialise, shared_folder
 
 WINDOW = 50
@@ -109,7 +109,9 @@ def repeated_windows(store: DataFrame, runs: DataFrame, window: int) -> DataFram
     return windows.join(source, ["h1", "h2"]).where("id > source").select("id", "tag", "start")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
     """Removes every word covered by a window that also starts in a document of a smaller key.
 
     Two levels.  Windows of half the length, thinned out so that every whole
@@ -122,16 +124,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     The texts are laid out by key once, in the shared folder, and both later
     passes read them from there without another shuffle.
 
-    Returns key, n_words, n_removed, kept (the words left, joined by a blank).
+    Returns key, n_words, n_removed, kept (the words left, joined by a blank),
+    original (the text as it was) and the columns of ``carry``.
     Null is a text without words.  Rows that repeat a key do not remove each
     other's words; a null key is neither smaller nor larger than others, so
     such a row stays whole and removes nothing.
     """
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    there, schema, back = carried(docs, carry)
     rows = docs.select(
         F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("tag"), F.xxhash64(F.lit(1), F.col(text)).alias("twin"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col(text).alias("text"), *there,
     )
     name = f"texts_{uuid4().hex}"
     (
@@ -161,7 +165,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 for raw, starts, span in zip(
                     part.column("text").cast(pa.binary()).to_pylist(), part.column("starts"), part.column("span").to_pylist()
                 ):
-                    words = raw.split()
+                    words = raw.split() if raw else []
                     n_words.append(len(words))
                     if span is not None and len(words) >= window:
                         first = starts.values.to_numpy().astype(np.int64)
@@ -170,13 +174,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                     n_removed.append(n_words[-1] - len(words))
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())],
-                    ["id", "n_words", "n_removed", "kept"],
+                    [part.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), part.column("text"), *part.columns[4:]],
+                    ["id", "n_words", "n_removed", "kept", "text", *part.schema.names[4:]],
                 )
 
     kind = rows.schema["id"].dataType.simpleString()
     return (
-        store.select("id", "tag", "text").join(removed, ["id", "tag"], "left").select("id", "text", "starts", "span")
-        .mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept binary")
-        .select(F.col("id").alias(key), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
+        store.drop("twin").join(removed, ["id", "tag"], "left")
+        .select("id", "text", "starts", "span", *[c for c in store.columns if c.startswith("carried_")])
+        .mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept binary, text string{schema}")
+        .select(F.col("id").alias(key), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"), F.col("text").alias("original"), *back)
     )

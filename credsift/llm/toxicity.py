@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import groupby
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsift.llm.words import SPACES, parts, text_bytes
+from credsift.llm.words import SPACES, carried, parts, text_bytes
 from credsift.session import materialise
 
 #: Labelled rows that the classifier is fitted on at most.
@@ -301,15 +301,18 @@ def fit_classifier(
     return Classifier(weights, slope, shift, model.tolist())
 
 
-def score_texts(docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score, predicted, n_words) of every row: its whole text, restored, under the classifier.
+def score_texts(
+    docs: DataFrame, classifier: Classifier, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(key, score, predicted, n_words, *carry) of every row: its whole text, restored, under the classifier.
 
     Null and empty texts have no evidence and get the score of a text without
     any toxic word.  ``n_words`` counts the distinct toxic words found.  Every
     row is judged by itself; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    there, schema, back = carried(docs, carry)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), *there)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge, weights = shared.value, {}
@@ -337,12 +340,13 @@ def score_texts(docs: DataFrame, classifier: Classifier, key: str = "doc_id", te
                     evidence[t], n_words[t] = judge.evidence(words.values()), len(words)
                 score = judge.score(evidence)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(n_words)],
-                    ["key", "score", "predicted", "n_words"],
+                    [part.column("key"), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(n_words), *part.columns[2:]],
+                    ["key", "score", "predicted", "n_words", *part.schema.names[2:]],
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, score double, predicted int, n_words int").withColumnRenamed("key", key)
+    scored = rows.mapInArrow(run, f"key {kind}, score double, predicted int, n_words int{schema}")
+    return scored.select(F.col("key").alias(key), "score", "predicted", "n_words", *back)
 
 
 def held_out(key: Column) -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at a time.
 BLOCK = (1 << 21) - 64
@@ -133,3 +135,10 @@ def parts(batch: pa.RecordBatch, text: str, most: int = 4 * BLOCK) -> Iterator[p
         to = max(at + 1, int(np.searchsorted(sizes, used + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def carried(docs: DataFrame, carry: Sequence[str]) -> tuple[list[Column], str, list[Column]]:
+    """Columns that go along under names of their own: on the way in, as a schema, and on the way out."""
+    there = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
+    schema = "".join(f", carried_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    return there, schema, [F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)]
