@@ -11,6 +11,8 @@ from credsift.session import materialise
 
 #: Suffixes of two labels under which domains are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
+#: Bounds of a prior's weight, in labelled pages.
+LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
@@ -35,56 +37,59 @@ def parent_domains(hosts: DataFrame, two_label_suffixes: Sequence[str]) -> DataF
     )
 
 
-def shrunk(counts: DataFrame, level: str, above: str) -> DataFrame:
-    """Adds ``{level}_rate`` and ``{level}_weight``: posterior mean and weight of the outcomes of a level.
+def shrunk(counts: DataFrame) -> DataFrame:
+    """Adds ``prior`` and ``weight`` of the members of a level.
 
-    The prior of a level has the posterior mean of the level above and a weight
-    fitted to the level by moments: the wider the rates of its members spread
-    beyond what chance gives, the less weight.
+    Each member comes with the counts and the prior of the one above it
+    (``up_n``, ``up_bad``, ``up_prior``, ``up_weight``).  Its own prior is the
+    posterior mean of the one above without the member's own outcomes.  The
+    weight is fitted to the level by moments: the wider the rates of its members
+    spread beyond what chance gives, the less weight.
     """
-    mean = F.col(f"{above}_rate")
-    spread = F.col("n") * F.pow(F.col("bad") / F.col("n") - mean, 2)
+    mean = (F.col("up_bad") - F.col("bad") + F.col("up_prior") * F.col("up_weight")) / (
+        F.col("up_n") - F.col("n") + F.col("up_weight")
+    )
+    counts = counts.withColumn("prior", mean)
+    spread = F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2)
     fit = counts.where("n > 0").agg(
         F.sum("n").cast("double").alias("all"), F.sum(F.col("n") * F.col("n")).cast("double").alias("squares"),
-        F.count(F.lit(1)).alias("members"), F.sum(spread).alias("spread"), F.sum(F.col("n") * mean * (1 - mean)).alias("chance"),
+        F.count(F.lit(1)).alias("members"), F.sum(spread).alias("spread"),
+        F.sum(F.col("n") * F.col("prior") * (1 - F.col("prior"))).alias("chance"),
     ).first()
     # variance between members = spread beyond sampling noise; weight = mean (1 - mean) / variance - 1
-    weight = 1000.0
+    weight = MOST_WEIGHT
     if fit["members"] and fit["all"]:
         noise = fit["chance"] / fit["all"]
         room = fit["all"] - fit["squares"] / fit["all"]
         between = max(0.0, fit["spread"] - fit["members"] * noise) / room if room > 0 else 0.0
-        weight = min(1000.0, max(1.0, noise / between - 1.0)) if between > 0 else 1000.0
-    weight = F.lit(round(weight, 3))
-    return counts.withColumn(f"{level}_rate", (F.col("bad") + mean * weight) / (F.col("n") + weight)).withColumn(
-        f"{level}_weight", F.col("n") + weight
-    )
+        weight = min(MOST_WEIGHT, max(LEAST_WEIGHT, noise / between - 1.0)) if between > 0 else MOST_WEIGHT
+    return counts.withColumn("weight", F.lit(round(weight, 3)))
 
 
 def host_reputation(outcomes: DataFrame, two_label_suffixes: Sequence[str] = TWO_LABEL_SUFFIXES, z: float = 1.645) -> DataFrame:
-    """(host, n, bad) to (host, n, bad, rate, weight, lower): bad rate of every host.
+    """(host, n, bad) to (host, n, bad, rate, lower): bad rate of every host.
 
     ``n`` labelled pages, ``bad`` of them bad; hosts without labels have 0 and 0
     and get their domain's rate.  ``lower`` is the lower bound of the posterior
     rate at ``z`` standard deviations, not below 0.
     """
     hosts = materialise(parent_domains(outcomes, two_label_suffixes))
+    n, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
 
     def total(*by):
         return hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    n, bad = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    whole_rate = F.lit((bad + 1.0) / (n + 2.0))
-    suffixes = materialise(
-        shrunk(total("suffix").withColumn("whole_rate", whole_rate), "suffix", "whole").select("suffix", "suffix_rate")
-    )
-    domains = materialise(
-        shrunk(total("suffix", "domain").join(suffixes, "suffix"), "domain", "suffix").select("domain", "suffix", "domain_rate")
-    )
-    known = shrunk(hosts.join(domains, ["suffix", "domain"]), "host", "domain")
-    rate, weight = F.col("host_rate"), F.col("host_weight")
-    lower = F.greatest(F.lit(0.0), rate - F.lit(z) * F.sqrt(rate * (1 - rate) / (weight + 1)))
-    return known.select("host", "n", "bad", rate.alias("rate"), weight.alias("weight"), lower.alias("lower"))
+    def above(level: DataFrame, *by):
+        return materialise(level.select(*by, *(F.col(c).alias(f"up_{c}") for c in ("n", "bad", "prior", "weight"))))
+
+    whole = {"up_n": F.lit(n), "up_bad": F.lit(bad), "up_prior": F.lit(0.5), "up_weight": F.lit(2.0)}
+    suffixes = above(shrunk(total("suffix").withColumns(whole)), "suffix")
+    domains = above(shrunk(total("suffix", "domain").join(suffixes, "suffix")), "suffix", "domain")
+    known = shrunk(hosts.join(domains, ["suffix", "domain"]))
+    mass = F.col("n") + F.col("weight")
+    rate = (F.col("bad") + F.col("prior") * F.col("weight")) / mass
+    lower = F.greatest(F.lit(0.0), F.col("rate") - F.lit(z) * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("mass") + 1)))
+    return known.withColumn("rate", rate).withColumn("mass", mass).select("host", "n", "bad", "rate", lower.alias("lower"))
 
 
 def rules_of_hosts(hosts: DataFrame, rules: DataFrame) -> DataFrame:
