@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsift.llm.graph import connected_components
@@ -19,9 +19,8 @@ BAND_ROWS = 4
 SIMILARITY = 75  # percent
 #: Elements that one step of a sketch hashes at least.
 STEP = 2048
-#: Pivots per bucket in the first round; each round has as many times more.
-PIVOTS = 2
-GROWTH = 8
+#: Shingles of a block of sets, and columns that a task counts at a time.
+CELL_SHINGLES, CELL_COLUMNS = 250_000, 2048
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -125,56 +124,121 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> Da
     )
 
 
-def pivots_of(members: DataFrame, count: int) -> DataFrame:
-    """(bucket, id): ``count`` members per bucket that all others are held against next.
-
-    Members outside a bucket's largest component come first.  They are ranked
-    in salted parts of a bucket before the bucket itself, so no bucket is one
-    task's work.
+def cell_links(percent: int):
+    """Links between the rows of two blocks, as few as keep together what they link."""
+
+    def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+        both = np.intersect1d(flat_a, flat_b)
+        counts = np.zeros((len(a), len(b)), np.float32)
+        sides = []
+        for flat, rows in ((flat_a, a), (flat_b, b)):
+            row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            at = np.searchsorted(both, flat)
+            hit = both[np.minimum(at, len(both) - 1)] == flat if len(both) else np.zeros(len(flat), bool)
+            order = np.argsort(at[hit], kind="stable")
+            sides.append((row[hit][order], at[hit][order]))
+        for lo in range(0, len(both), CELL_COLUMNS):
+            parts = []
+            for rows, (row, at) in zip((a, b), sides):
+                x, y = np.searchsorted(at, (lo, lo + CELL_COLUMNS))
+                table = np.zeros((len(rows), CELL_COLUMNS), np.float32)
+                table[row[x:y], at[x:y] - lo] = 1
+                parts.append(table)
+            counts += parts[0] @ parts[1].T
+        return counts
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            sets = [[x.values.to_numpy() for x in side.column("shingles")] for side in (left, right)]
+            ids = [side.column("id").to_pylist() for side in (left, right)]
+            part = [side.column("component").to_numpy(zero_copy_only=False) for side in (left, right)]
+            sizes = [np.array([len(x) for x in side]) for side in sets]
+            shared = common(*sets)
+            near = shared * 100 >= (sizes[0][:, None] + sizes[1][None, :] - shared) * percent
+            near &= part[0][:, None] != part[1][None, :]
+            root: dict = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+                x, y = find(part[0][i]), find(part[1][j])
+                if x != y:
+                    root[x] = y
+                    links.append((ids[0][i], ids[1][j]))
+        kind = left.schema.field("id").type
+        return pa.table([pa.array([a for a, _ in links], kind), pa.array([b for _, b in links], kind)], names=["a", "b"])
+
+    return run
+
+
+def family_links(family: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """(a, b): links inside families between members of different components.
+
+    ``family``: (id, family, component).  The members outside a family's largest
+    component are held against all its members, block by block: the sets of
+    two blocks meet in one task, which counts all their intersections at once
+    and reports links, not pairs.  Blocks hold members of like set sizes and a
+    bounded number of shingles; blocks whose sizes are too far apart to be
+    alike do not meet.
     """
-    sizes = members.groupBy("bucket", "component").count()
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-    ranked = members.join(main, "bucket").withColumn("order", F.struct(F.col("component") == F.col("main"), F.xxhash64("id"), "id"))
-    part = Window.partitionBy("bucket", F.pmod(F.hash("id"), F.lit(64))).orderBy("order")
-    whole = Window.partitionBy("bucket").orderBy("order")
-    few = ranked.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= count)
-    return few.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= count).select("bucket", "id")
+    mixed = (
+        family.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
+    )
+    family = materialise(family.join(materialise(mixed), "family", "left_semi"))
+    sizes = family.groupBy("family", "component").count()
+    main = sizes.groupBy("family").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
+    width = F.floor(F.log(F.size("shingles").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    placed = family.join(materialise(main), "family").join(sets, "id").withColumn("width", width)
+    held = materialise(
+        placed.groupBy("family", "width").agg(F.sum(F.size("shingles")).alias("all"))
+        .select("family", "width", F.ceil(F.col("all") / CELL_SHINGLES).cast("int").alias("blocks"))
+    )
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = materialise(
+        placed.join(held, ["family", "width"]).withColumn("block", block)
+        .select("family", "width", "block", "id", "component", (F.col("component") != F.col("main")).alias("outside"), "shingles")
+    )
+    names = ("family", "width", "block")
+    left = placed.where("outside").select(*names).distinct()
+    right = placed.select("family", *(F.col(c).alias(f"other_{c}") for c in names[1:])).distinct()
+    cells = materialise(left.join(right, "family").where("abs(width - other_width) <= 1"))
+    key = [*names, "other_width", "other_block"]
+    asked = placed.where("outside").join(cells, [*names]).select(*key, "id", "component", "shingles")
+    others = placed.withColumnsRenamed({"width": "other_width", "block": "other_block"})
+    others = others.join(cells, ["family", "other_width", "other_block"])
+    others = others.select(*(F.col(c).alias(c) for c in (*key, "id", "component", "shingles")))
+    kind = family.schema["id"].dataType.simpleString()
+    return asked.groupBy(*key).cogroup(others.groupBy(*key)).applyInArrow(cell_links(percent), f"a {kind}, b {kind}")
 
 
 def linked_components(members: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """(node, component) of all links between members of common buckets.
 
-    Rounds: in every bucket that still holds two components, all members are
-    held against a few pivots, and the pivots leave the bucket.  A group of near
-    copies becomes one component in the first round, for one pair per member.  The
-    number of pivots grows from round to round, so buckets whose members are
-    not alike are worked off in a logarithmic number of rounds, with no pair
-    left out: two members of a bucket in different components are compared, as
-    one of them becomes a pivot before the bucket is done.
+    First every member of a bucket is held against the bucket's least member:
+    one pair each, however large the bucket, and most groups of near copies are
+    one component then.  Buckets that hang together are a family; in families
+    that still hold several components the rest is compared in blocks.  A pair
+    of a bucket is left out only if both are in one component already.
     """
-    links = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    live = members.withColumn("component", F.col("id"))
-    # first pivot: the least id, which needs no ranking and is the same in all bands of a group
-    pivots = materialise(members.groupBy("bucket").agg(F.min("id").alias("id")))
-    components, count = None, PIVOTS
-    while True:
-        named = pivots.select("bucket", F.col("id").alias("pivot"))
-        facing = live.join(named, "bucket")
-        if components is not None:
-            sides = components.select(F.col("node").alias("pivot"), F.col("component").alias("side"))
-            facing = facing.join(sides, "pivot", "left").where(F.col("component") != F.coalesce("side", "pivot"))
-        pairs = facing.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        links = materialise(links.unionByName(verified(pairs, sets, percent)).distinct())
-        components = materialise(connected_components(links))
-        left = live.drop("component").join(pivots, ["bucket", "id"], "left_anti")
-        live = left.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = live.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        # a member left behind may still be linked to one that is not a pivot's
-        live = materialise(live.join(materialise(mixed), "bucket", "left_semi"))
-        if live.isEmpty():
-            return components
-        pivots = materialise(pivots_of(live, count))
-        count *= GROWTH
+    least = members.groupBy("bucket").agg(F.min("id").alias("a"))
+    pairs = materialise(
+        members.join(materialise(least), "bucket").where("id != a").select("a", F.col("id").alias("b")).distinct()
+    )
+    links = materialise(verified(pairs, sets, percent))
+    components = materialise(connected_components(links))
+    families = materialise(connected_components(pairs))
+    family = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(
+        components.select(F.col("node").alias("id"), "component"), "id", "left"
+    ).select("id", "family", F.coalesce("component", "id").alias("component"))
+    more = materialise(family_links(family, sets, percent))
+    if more.isEmpty():
+        return components
+    return connected_components(links.unionByName(more))
 
 
 def near_duplicates(
