@@ -141,11 +141,10 @@ def _search(k: int):
         out = [[] for _ in names]
         if len(leaves) and len(queries):
             dim = leaves.column("dim")[0].as_py()
-            tree = Tree(
-                leaves.column("node").to_pylist(), [np.frombuffer(b, np.int64) for b in leaves.column("ids").to_pylist()],
-                [np.frombuffer(b, np.float64).reshape(-1, dim) for b in leaves.column("values").to_pylist()],
-            )
-            vectors = np.array(queries.column("v").to_pylist(), np.float64).reshape(-1, dim)
+            ids = [np.frombuffer(b, np.int64) for b in leaves.column("ids").to_pylist()]
+            values = [np.frombuffer(b, np.float64).reshape(len(i), dim) for i, b in zip(ids, leaves.column("values").to_pylist())]
+            tree = Tree(leaves.column("node").to_pylist(), ids, values)
+            vectors = np.array(queries.column("v").to_pylist(), np.float64).reshape(len(queries), dim)
             if dim * np.abs(vectors).max(initial=0) ** 2 >= EXACT:
                 raise ValueError("components are too large for exact products")
             own = queries.column("id").to_numpy()
