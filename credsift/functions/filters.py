@@ -25,9 +25,6 @@ SKIPPED_NAMES = (
     "go.sum", "package-lock.json", "yarn.lock", "Gemfile.lock",
     "Pipfile.lock", "poetry.lock", "composer.lock", "pnpm-lock.yaml",
 )
-MAX_FILE_BYTES = 1 << 20
-MAX_LINE_BYTES = 4096
-BINARY_PREFIX_BYTES = 512
 PLACEHOLDER_PATTERN = (
     r"(?i)^(?:xxx+|your[_\-]?(?:password|secret|key|token)|changeme|change_me|placeholder|example|sample|test|dummy"
     r"|todo|<[^>]+>|\*{3,}|null|none|N/A|undefined|false|true|0{4,})$"
@@ -58,18 +55,20 @@ def skip_path(path: Column) -> Column:
     return skip_by_name(path) | skip_by_extension(path)
 
 
-def within_size(content: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
+def within_size(content: Column, max_bytes: int | None = None) -> Column:
     """Larger files are left out whole, never cut."""
+    if max_bytes is None:
+        return content.isNotNull()
     return F.octet_length(content) <= max_bytes
 
 
-def is_binary(content: Column) -> Column:
-    """A NUL byte among the first 512 bytes."""
-    prefix = F.substring(content.cast("binary"), 1, BINARY_PREFIX_BYTES)
-    return F.contains(prefix, F.lit(b"\x00"))
+def is_binary(content: Column, prefix_bytes: int | None = None) -> Column:
+    """A NUL byte among the first ``prefix_bytes`` bytes, or anywhere."""
+    raw = content.cast("binary")
+    return F.contains(raw if prefix_bytes is None else F.substring(raw, 1, prefix_bytes), F.lit(b"\x00"))
 
 
-def within_line_length(line: Column, max_bytes: int | None = MAX_LINE_BYTES) -> Column:
+def within_line_length(line: Column, max_bytes: int | None = None) -> Column:
     if max_bytes is None:
         return F.lit(True)
     return F.octet_length(line) <= max_bytes

@@ -59,6 +59,9 @@ def _rule_matches(line: str, folded: str, rules: Sequence[Rule]) -> str:
     branches = []
     for rule_ord, rule in enumerate(rules):
         found = f"regexp_extract_all({line}, {_quoted(rule.java_pattern)}, {rule.group})"
+        if rule.group and not rule.shipped:  # the group may take no part
+            whole = f"regexp_extract_all({line}, {_quoted(rule.java_pattern)}, 0)"
+            found = f"zip_with({found}, {whole}, (g, w) -> if(g = '', w, g))"
         if rule.anchors:
             anchored = " OR ".join(f"contains({folded}, {_quoted(anchor)})" for anchor in rule.anchors)
             found = f"CASE WHEN {anchored} THEN {found} END"
@@ -76,12 +79,33 @@ def _secret_matches(line: str, rules: Sequence[Rule]) -> str:
 
 
 def _masked_line(line: str, found: str) -> str:
-    """The line with every value in ``found`` masked, longest first."""
-    by_length = (
-        f"array_sort(transform(array_distinct(transform({found}, f -> f.raw)), "
-        "v -> struct(-length(v) AS n, v AS raw)))"
+    """The line with every place of every value in ``found`` masked.
+
+    Places that overlap are masked as one, so no part of a value stays because
+    another value was masked first.
+    """
+    literal = r"concat('\\Q', replace(v, '\\E', '\\E\\\\E\\Q'), '\\E')"
+    between = f"transform(split({line}, {literal}, -1), part -> length(part))"
+    # the end of the i-th part is where the i-th place starts
+    starts = (
+        "slice(aggregate(lengths, array(0), (ends, n) -> "
+        "concat(ends, array(element_at(ends, -1) + n + if(size(ends) > 1, length(v), 0)))), 2, size(lengths) - 1)"
+    )
+    places = _let("lengths", between, f"transform({starts}, s -> struct(s AS s, s + length(v) AS e))")
+    spans = f"array_sort(flatten(transform(array_distinct(transform({found}, f -> f.raw)), v -> {places})))"
+    merged = (
+        f"aggregate({spans}, cast(array() AS array<struct<s: int, e: int>>), (done, x) -> "
+        "if(size(done) > 0 AND get(done, size(done) - 1).e > x.s, "
+        "concat(slice(done, 1, size(done) - 1), "
+        "array(struct(get(done, size(done) - 1).s AS s, greatest(get(done, size(done) - 1).e, x.e) AS e))), "
+        "concat(done, array(x))))"
+    )
+    span = f"substring({line}, x.s + 1, x.e - x.s)"
+    return (
+        f"aggregate({merged}, struct('' AS t, 0 AS p), (a, x) -> "
+        f"struct(concat(a.t, substring({line}, a.p + 1, x.s - a.p), {_mask(span)}) AS t, x.e AS p), "
+        f"a -> concat(a.t, substring({line}, a.p + 1)))"
     )
-    return f"aggregate({by_length}, {line}, (text, v) -> replace(text, v.raw, {_mask('v.raw')}))"
 
 
 def _line_fits(line: str, max_bytes: int | None) -> str:
@@ -181,7 +205,7 @@ def line_context(lines: Column, line_idx: Column) -> Column:
 def redact_text(
     text: Column, rules: Sequence[Rule] = DEFAULT_RULES, max_line_bytes: int | None = None
 ) -> Column:
-    """The whole text, every matched value replaced by its mask, longest value first.
+    """The whole text, every matched value masked; values that overlap are masked as one.
 
     A value on a comment line, a repeat or a value beyond a cap is still a
     leak, so neither the line filter nor any cap applies, and long lines are
@@ -204,7 +228,7 @@ def content_hits(
     ``array<struct<line_idx, rule_ord, match_ord, masked, context, entry_hits>>``,
     ``entry_hits`` being the number of them; NULL for a text that cannot hold any.  With ``first_per_key`` only the first hit of
     each (rule, mask) is kept, so what leaves the row is bounded by the distinct
-    secrets in it; under an exact entry cap it is bounded by the two caps.
+    secrets in it.
     """
     redacted = options.context == "redacted"
     secrets = f"transform(lines, line -> {_line_secrets('line', rules, options, code_lines=redacted)})"
@@ -216,8 +240,6 @@ def content_hits(
         "ELSE array() END))"
     )
     kept = _let("hits", masked, _FIRST_PER_KEY) if first_per_key else masked
-    if first_per_key and (bound := entry_bound(options)) is not None:
-        kept = f"slice({kept}, 1, {bound})"
     context = {
         "redacted": _redacted_context("lines", "secrets", "h.line_idx", options),
         "raw": _raw_context("lines", "h.line_idx"),
@@ -230,15 +252,3 @@ def content_hits(
     )
     body = _let("lines", _text_lines("t"), _let("secrets", secrets, in_context))
     return _apply(text, "t", f"CASE WHEN {_may_match('t', rules)} THEN {body} END")
-
-
-def entry_bound(options: ScanOptions) -> int | None:
-    """How many distinct hits of one entry can matter under the exact caps.
-
-    When an entry's turn comes, fewer than ``max_findings`` keys have been
-    reported, so among its first ``max_findings_per_entry + max_findings - 1``
-    distinct keys at least ``max_findings_per_entry`` are new and fill its cap.
-    """
-    if not options.exact_cap or options.max_findings is None or options.max_findings_per_entry is None:
-        return None
-    return options.max_findings_per_entry + options.max_findings - 1

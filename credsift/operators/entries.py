@@ -13,13 +13,15 @@ from credsift.functions.text import decode_text
 SALTS = 64
 
 
-def scannable(entries: DataFrame, max_file_bytes: int = 1 << 20) -> DataFrame:
-    """Without skipped names and extensions, missing, large and binary contents."""
+def scannable(
+    entries: DataFrame, max_file_bytes: int | None = None, binary_prefix_bytes: int | None = None
+) -> DataFrame:
+    """Without skipped names and extensions, missing and binary contents, and those over a given limit."""
     return entries.where(
         ~skip_path(F.col("path"))
         & F.col("content").isNotNull()
         & within_size(F.col("content"), max_file_bytes)
-        & ~is_binary(F.col("content"))
+        & ~is_binary(F.col("content"), binary_prefix_bytes)
     )
 
 
@@ -50,7 +52,7 @@ def first_in_repo(rows: DataFrame, n: int, salts: int = SALTS) -> DataFrame:
     )
 
 
-def cap_entries(entries: DataFrame, n: int | None = 10_000, salts: int = SALTS) -> DataFrame:
+def cap_entries(entries: DataFrame, n: int | None = None, salts: int = SALTS) -> DataFrame:
     """The first ``n`` entries of each repository.
 
     Contents are never shuffled for it: with a content column only the keys are

@@ -22,14 +22,16 @@ IN_ENTRY = ("line_idx", "rule_ord", "match_ord")
 def dedupe_findings(hits: DataFrame) -> DataFrame:
     """The first hit of each (repository, rule, mask, path).
 
-    ``row_number() = 1`` makes Spark keep one row per key on the map side
-    already, so a key with very many hits does not travel.
+    One aggregation, whose map side keeps one row per key: a key with very many
+    hits does not travel, and there is one exchange.
     """
-    w = Window.partitionBy(*KEY).orderBy("entry_seq", *IN_ENTRY)
-    return hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
+    order = ("entry_seq", *IN_ENTRY)
+    rest = [c for c in hits.columns if c not in (*KEY, *order)]
+    first = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first")
+    return hits.groupBy(*KEY).agg(first).select(*KEY, "_first.*").select(*hits.columns)
 
 
-def cap_per_entry(findings: DataFrame, n: int | None = 50) -> DataFrame:
+def cap_per_entry(findings: DataFrame, n: int | None = None) -> DataFrame:
     """The first ``n`` findings of each entry."""
     if n is None:
         return findings
@@ -37,7 +39,7 @@ def cap_per_entry(findings: DataFrame, n: int | None = 50) -> DataFrame:
     return findings.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def dedupe_and_cap(hits: DataFrame, n: int | None = 50) -> DataFrame:
+def dedupe_and_cap(hits: DataFrame, n: int | None = None) -> DataFrame:
     """Repeats and entry cap in one, entry after entry as a scan meets them.
 
     A key that the cap cuts off has not been reported, so a later entry of the
@@ -91,7 +93,7 @@ def _reported_in_turn(n: int):
     return fold
 
 
-def cap_total(findings: DataFrame, n: int | None = 1000, salts: int = SALTS) -> DataFrame:
+def cap_total(findings: DataFrame, n: int | None = None, salts: int = SALTS) -> DataFrame:
     """Entries of each repository until one brings its findings to ``n``; that one is kept whole.
 
     An entry is kept when fewer than ``n`` findings come before it, which is
@@ -113,7 +115,7 @@ def cap_total(findings: DataFrame, n: int | None = 1000, salts: int = SALTS) ->
 
 
 def scan_stats(
-    entries: DataFrame, commits: DataFrame | None, findings: DataFrame, max_findings: int | None = 1000
+    entries: DataFrame, commits: DataFrame | None, findings: DataFrame, max_findings: int | None = None
 ) -> DataFrame:
     """Commits, distinct paths and findings per repository.
 

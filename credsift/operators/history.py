@@ -18,63 +18,42 @@ from credsift.session import materialise
 # entry_seq = commit rank * 2^32 + path rank; the HEAD tree ranks after all commits.
 PATH_RANKS = 1 << 32
 HEAD_RANK = 1 << 30
-# Steps back in history that are taken at once; a power of two.
-STRIDE = 4
 
 
-def _near_ancestors(commits: DataFrame) -> DataFrame:
-    """``repo, hash, ancestor, steps``: the ancestors up to ``STRIDE`` steps back, with the fewest steps."""
-    known = commits.select("repo", F.col("hash").alias("ancestor"))
-    near = (
-        commits.select("repo", "hash", F.explode("parents").alias("ancestor"), F.lit(1).alias("steps"))
-        .distinct()
-        .join(known, ["repo", "ancestor"], "left_semi")
-    )
-    reach = 1
-    while reach < STRIDE:
-        further = near.select(
-            "repo", F.col("hash").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("steps").alias("_more")
-        )
-        twice = near.join(further, ["repo", "ancestor"]).select(
-            "repo", "hash", F.col("_next").alias("ancestor"), (F.col("steps") + F.col("_more")).alias("steps")
-        )
-        near = near.unionByName(twice).groupBy("repo", "hash", "ancestor").agg(F.min("steps").alias("steps"))
-        reach *= 2
-    return near
-
-
-def reachable_commits(refs: DataFrame, commits: DataFrame, max_per_ref: int | None = 50) -> DataFrame:
-    """Commits within ``max_per_ref`` steps of a hash-type ref, each once, with its least depth.
+def reachable_commits(refs: DataFrame, commits: DataFrame, max_per_ref: int | None = None) -> DataFrame:
+    """Commits reachable from a hash-type ref, each once, with its least depth; ``max_per_ref`` bounds the depth.
 
-    The way back is taken in strides: a table of each commit's near ancestors is
-    made once, and each round joins the commits at the far
-    edge of the last stride to it.  A shortest way passes that edge, so depths
-    stay exact; a commit reached on many ways through merges is met once, since
-    found ones are taken out.  Rounds are few and each is written to the shared
-    folder, so lineage stays short.
+    Doubling: the table of ancestors exactly 2**k steps back, joined to itself,
+    gives the one for the next k, and joined to the commits found so far it
+    extends their reach from 2**k to 2**(k + 1) steps.  So all refs of all
+    repositories take as many rounds as the longest history has binary digits,
+    with two tables written per round.  A way through a merge is one of the
+    ways, and the least depth wins.
     """
-    near = materialise(_near_ancestors(commits))
+    known = commits.select("repo", F.col("hash").alias("ancestor"))
+    jump = materialise(
+        commits.select("repo", "hash", F.explode("parents").alias("ancestor")).distinct()
+        .join(known, ["repo", "ancestor"], "left_semi").select("repo", "hash", "ancestor")
+    )
     tips = refs.where(F.col("type") == "hash").select("repo", "hash").distinct()
-    found = edge = materialise(
-        commits.select("repo", "hash").join(tips, ["repo", "hash"], "left_semi").withColumn("depth", F.lit(0))
+    found = materialise(
+        commits.select("repo", "hash").join(tips, ["repo", "hash"], "left_semi").distinct().withColumn("depth", F.lit(0))
     )
-    depth = 0
-    while (max_per_ref is None or depth + 1 < max_per_ref) and not edge.isEmpty():
-        reached = (
-            near.join(edge, ["repo", "hash"])
-            .groupBy("repo", F.col("ancestor").alias("hash"))
-            .agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
+    steps = 1
+    while (max_per_ref is None or steps < max_per_ref) and not jump.isEmpty():
+        further = found.join(jump, ["repo", "hash"]).select(
+            "repo", F.col("ancestor").alias("hash"), (F.col("depth") + steps).alias("depth")
         )
         if max_per_ref is not None:
-            reached = reached.where(F.col("depth") < max_per_ref)
-        new = materialise(reached.join(found, ["repo", "hash"], "left_anti"))
-        found = found.unionByName(new)
-        depth += STRIDE
-        edge = new.where(F.col("depth") == depth)
+            further = further.where(F.col("depth") < max_per_ref)
+        found = materialise(found.unionByName(further).groupBy("repo", "hash").agg(F.min("depth").alias("depth")))
+        then = jump.select("repo", F.col("hash").alias("ancestor"), F.col("ancestor").alias("_next"))
+        jump = materialise(jump.join(then, ["repo", "ancestor"]).select("repo", "hash", F.col("_next").alias("ancestor")).distinct())
+        steps *= 2
     return found
 
 
-def latest_commits(ref_commits: DataFrame, n: int = 50) -> DataFrame:
+def latest_commits(ref_commits: DataFrame, n: int) -> DataFrame:
     """The newest ``n`` commits of each ref by committer time; columns ``repo, ref, hash, committer_when``."""
     w = Window.partitionBy("repo", "ref").orderBy(F.col("committer_when").desc(), "hash")
     return ref_commits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
@@ -134,10 +113,16 @@ def attach_commit_meta(rows: DataFrame, commits: DataFrame) -> DataFrame:
     return rows.join(meta, ["repo", "commit"])
 
 
-def attach_blob(rows: DataFrame, blobs: DataFrame, max_file_bytes: int = 1 << 20) -> DataFrame:
-    """Contents of the blobs that exist, are small enough and are not binary."""
-    usable = blobs.where((F.col("size") <= max_file_bytes) & ~is_binary(F.col("content")))
-    return rows.join(usable.select("repo", "blob", "content"), ["repo", "blob"])
+def usable_blobs(blobs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """The blobs that are not binary, nor over a size limit if one is set."""
+    if options.max_file_bytes is not None:
+        blobs = blobs.where(F.col("size") <= options.max_file_bytes)
+    return blobs.where(F.col("content").isNotNull() & ~is_binary(F.col("content"), options.binary_prefix_bytes))
+
+
+def attach_blob(rows: DataFrame, blobs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """Contents of the usable blobs."""
+    return rows.join(usable_blobs(blobs, options).select("repo", "blob", "content"), ["repo", "blob"])
 
 
 def _path_rank(rank: Column) -> Column:
@@ -209,9 +194,11 @@ def repository_entries(
     contents joined after it: contents are shuffled once, for the kept entries.
     """
     _, files = walk(refs, commits, tree_files, options)
-    usable = blobs.where((F.col("size") <= options.max_file_bytes) & ~is_binary(F.col("content")))
-    kept = cap_entries(files.join(usable.select("repo", "blob"), ["repo", "blob"], "left_semi"), options.max_entries)
-    return attach_commit_meta(attach_blob(kept, blobs, options.max_file_bytes), commits).select(*_ENTRY)
+    usable = usable_blobs(blobs, options).select("repo", "blob")
+    kept = files
+    if options.max_entries is not None:
+        kept = cap_entries(files.join(usable, ["repo", "blob"], "left_semi"), options.max_entries)
+    return attach_commit_meta(attach_blob(kept, blobs, options), commits).select(*_ENTRY)
 
 
 def history_entries(
@@ -219,13 +206,13 @@ def history_entries(
 ) -> DataFrame:
     """The history part of ``repository_entries``, before the cap."""
     _, files = walk(refs, commits, tree_files, options)
-    entries = attach_blob(files.where("from_history"), blobs, options.max_file_bytes)
+    entries = attach_blob(files.where("from_history"), blobs, options)
     return attach_commit_meta(entries, commits).select(*_ENTRY)
 
 
 def head_entries(
-    refs: DataFrame, commits: DataFrame, tree_files: DataFrame, blobs: DataFrame, max_file_bytes: int = 1 << 20
+    refs: DataFrame, commits: DataFrame, tree_files: DataFrame, blobs: DataFrame, options: ScanOptions = ScanOptions()
 ) -> DataFrame:
     """The files of HEAD with their content and the HEAD commit's metadata."""
     files = head_files(refs, tree_files).withColumn("entry_seq", _path_rank(F.lit(HEAD_RANK)))
-    return attach_commit_meta(attach_blob(files, blobs, max_file_bytes), commits).select(*_ENTRY)
+    return attach_commit_meta(attach_blob(files, blobs, options), commits).select(*_ENTRY)

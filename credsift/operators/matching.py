@@ -52,38 +52,34 @@ def match_rules(lines: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, anchore
     ).where(F.length("raw") > 0)
 
 
-# Largest rules table that is broadcast, and the length of the anchor starts it is joined on.
-MAX_RULE_ROWS = 10_000
+# Length of the anchor starts that lines and rules are joined on.
 ANCHOR_START = 3
 
 
 def match_rules_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Matching against rules that are data: rows of a rules table.
+    """Matching against rules that are data: rows of a rules table, of any number.
 
     An equi-join brings a line and a rule together: the distinct three-character
     pieces of the line on one side, the first three characters of each anchor on
     the other.  Of the anchors of a rule that a line holds, the first one makes
-    the pair, so no pair comes twice.  The rules are a user's rule set; its size
-    is checked before it is broadcast.
+    the pair, so no pair comes twice.  A rule without anchors, or with one that
+    is shorter, stands under the empty piece, which every line has.  Whether the
+    rules are broadcast is left to Spark, which knows their size.
     """
-    anchors = F.coalesce("anchors", F.array().cast("array<string>"))
-    unusable = (F.size(anchors) == 0) | F.exists(anchors, lambda a: F.length(a) < ANCHOR_START)
-    checked = rules.limit(MAX_RULE_ROWS + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(unusable).alias("unusable")
-    ).first()
-    if checked["unusable"]:
-        raise ValueError(f"every rule of a rules table needs anchors of {ANCHOR_START} characters or more")
-    if checked["n"] > MAX_RULE_ROWS:
-        raise ValueError(f"more than {MAX_RULE_ROWS} rules are not broadcast")
-    by_start = rules.select("*", F.explode("anchors").alias("_anchor")).withColumn(
-        "_start", F.substring("_anchor", 1, ANCHOR_START)
+    folded = F.transform(F.coalesce("anchors", F.array().cast("array<string>")), lambda a: F.lower(a))
+    usable = (F.size("_anchors") > 0) & F.forall("_anchors", lambda a: F.length(a) >= ANCHOR_START)
+    by_start = (
+        rules.withColumn("_anchors", folded)
+        .withColumn("_anchor", F.explode(F.when(usable, F.col("_anchors")).otherwise(F.array(F.lit("")))))
+        .withColumn("_start", F.substring("_anchor", 1, ANCHOR_START))
     )
-    pieces = F.array_distinct(F.regexp_extract_all("_folded", F.lit(f"(?s)(?=(.{{{ANCHOR_START}}}))"), F.lit(1)))
+    pieces = F.regexp_extract_all("_folded", F.lit(f"(?s)(?=(.{{{ANCHOR_START}}}))"), F.lit(1))
+    held = F.get(F.filter("_anchors", lambda a: F.col("_folded").contains(a)), F.lit(0))
     met = (
         lines.withColumn("_folded", fold_case(F.col("line")))
-        .select("*", F.explode(pieces).alias("_start"))
-        .join(F.broadcast(by_start), "_start")
-        .where(F.get(F.filter("anchors", lambda a: F.col("_folded").contains(a)), F.lit(0)) == F.col("_anchor"))
+        .select("*", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), pieces))).alias("_start"))
+        .join(by_start, "_start")
+        .where((F.col("_anchor") == "") | (held == F.col("_anchor")))
     )
     found = met.select(
         *lines.columns, "rule_ord", "rule_id", "severity",

@@ -57,8 +57,21 @@ def anchored_window_count(
     """``df`` with ``window_start``, the running count ``n`` in the window, and ``allowed``.
 
     Events of equal time are taken in ``tiebreak`` order.  Refused events count
-    too; the first event of a window always passes.
+    too; the first event of a window always passes.  An event without a key or
+    a time stands in no window and passes.
     """
+    whole = F.col(key).isNotNull() & F.col(ts).isNotNull()
+    counted = _counted(df.where(whole), key, ts, window_seconds, limit, tiebreak, bucket_windows)
+    kinds = {f.name: f.dataType for f in counted.schema}
+    rest = df.where(~whole).select(
+        *df.columns, *[F.lit(None).cast(kinds[c]).alias(c) for c in ("window_start", "n")], F.lit(True).alias("allowed")
+    )
+    return counted.unionByName(rest)
+
+
+def _counted(
+    df: DataFrame, key: str, ts: str, window_seconds: int, limit: int, tiebreak: Sequence[str], bucket_windows: int
+) -> DataFrame:
     width = window_seconds * 1_000_000
     span = width * bucket_windows
     bucket = F.expr(f"_us div {span}L - if(_us % {span}L < 0, 1, 0)").cast("long")

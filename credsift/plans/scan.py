@@ -8,12 +8,11 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credsift.functions.filters import is_binary
 from credsift.functions.matching import content_hits
 from credsift.functions.text import decode_text, finding_id, truncate_text
 from credsift.operators.entries import cap_entries, scannable
 from credsift.operators.findings import cap_per_entry, cap_total, dedupe_and_cap, dedupe_findings, scan_stats
-from credsift.operators.history import attach_commit_meta, walk
+from credsift.operators.history import attach_commit_meta, usable_blobs, walk
 from credsift.operators.matching import rule_value
 from credsift.options import ScanOptions
 from credsift.rules import DEFAULT_RULES, Rule
@@ -23,10 +22,10 @@ from credsift.session import materialise
 _PLACE = ("repo", "entry_seq", "path", "commit", "commit_message", "commit_author", "commit_date")
 
 
-def explode_hits(rows: DataFrame, hits: Column, rules: Sequence[Rule]) -> DataFrame:
-    """One row per hit, with the place it was found."""
-    return rows.select(*_PLACE, F.explode(hits).alias("_h")).select(
-        *_PLACE, "_h.*", rule_value(rules, "rule_id", F.col("_h.rule_ord")).alias("rule_id")
+def explode_hits(rows: DataFrame, hits: Column, rules: Sequence[Rule], *more: str) -> DataFrame:
+    """One row per hit, with the place it was found and ``more`` columns of the row."""
+    return rows.select(*_PLACE, *more, F.explode(hits).alias("_h")).select(
+        *_PLACE, *more, "_h.*", rule_value(rules, "rule_id", F.col("_h.rule_ord")).alias("rule_id")
     )
 
 
@@ -35,7 +34,8 @@ def entry_hits(
 ) -> DataFrame:
     """Scannable entries to hits: no shuffle, nothing but hits leaves the scan stage."""
     text = decode_text(F.col("content"))
-    return explode_hits(scannable(entries, options.max_file_bytes), content_hits(text, rules, options), rules)
+    kept = scannable(entries, options.max_file_bytes, options.binary_prefix_bytes)
+    return explode_hits(kept, content_hits(text, rules, options), rules)
 
 
 def keep_findings(hits: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -101,7 +101,7 @@ def scan_repo_history(
     """
     reached, files = walk(refs, commits, tree_files, options)
     scanned = (
-        blobs.where((F.col("size") <= options.max_file_bytes) & ~is_binary(F.col("content")))
+        usable_blobs(blobs, options).join(files.select("repo", "blob").distinct(), ["repo", "blob"], "left_semi")
         .select("repo", "blob", content_hits(decode_text(F.col("content")), rules, options).alias("hits"))
     )
     placed = materialise(cap_entries(files.join(scanned, ["repo", "blob"]).drop("blob"), options.max_entries))

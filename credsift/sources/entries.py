@@ -58,15 +58,17 @@ def _binary_files(spark: SparkSession, root: str, glob: str | None) -> DataFrame
 
 
 def entries_from_files(
-    spark: SparkSession, root: str, glob: str | None = None, repo: str = "", max_file_bytes: int = 1 << 20
+    spark: SparkSession, root: str, glob: str | None = None, repo: str = "", max_file_bytes: int | None = None
 ) -> DataFrame:
     """All files under ``root`` as entries, paths relative to it.
 
-    The size limit is tested on the listing, so larger files are never read.
+    A size limit is tested on the listing, so larger files are never read.
     Entries are ordered by path hash: a listing has no order of its own.
     """
     root_uri = root.rstrip("/")
-    files = _binary_files(spark, root_uri, glob).where(F.col("length") <= max_file_bytes)
+    files = _binary_files(spark, root_uri, glob)
+    if max_file_bytes is not None:
+        files = files.where(F.col("length") <= max_file_bytes)
     plain_root = root_uri.split(":", 1)[1].lstrip("/") if ":" in root_uri else root_uri.lstrip("/")
     relative = F.substring_index(F.col("path"), f"/{plain_root}/", -1)
     return entries_from_table(files, relative, "content", F.xxhash64(relative), F.lit(repo))

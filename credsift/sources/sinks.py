@@ -23,12 +23,12 @@ def write_findings(
 
 
 def scan_report(
-    findings: DataFrame, stats: DataFrame, scanned_at: datetime | Column, max_findings: int = 1000
+    findings: DataFrame, stats: DataFrame, scanned_at: datetime | Column, max_findings: int | None = None
 ) -> DataFrame:
     """One nested row per repository: URL, time, statistics, findings in scan order.
 
-    A report holds a repository's findings in one row, so they are capped here
-    too; an uncapped result goes to ``write_findings``.
+    A report holds a repository's findings in one row.  Where that is too much,
+    the caller states a cap, or writes the flat table by ``write_findings``.
     """
     when = scanned_at if isinstance(scanned_at, Column) else F.lit(scanned_at)
     order = ("entry_seq", "line", "rule_ord", "match_ord")

@@ -20,19 +20,25 @@ def rate_limit_stream(
     event_id: str,
     window_seconds: int = 60,
     limit: int = 5,
-    watermark: str = "0 seconds",
+    forget_after_seconds: int = 86_400,
 ) -> DataFrame:
     """``key, event_id, window_start, n, allowed`` for each event of a stream.
 
-    Within a micro-batch events are taken by time and id.  An event from before
-    the open window counts into it; one behind the watermark is dropped.  A key
-    is forgotten when the watermark passes the end of its window, which changes
-    no result: its next event would open a new window anyway.
+    Within a micro-batch events are taken by time and id.  No event is too
+    late: one from before the open window counts into it.  A key is forgotten
+    when no event of it has arrived for the width of its window, and for
+    ``forget_after_seconds`` at least, by the clock of the job.  An event without
+    a key or a time comes out with no window and is allowed.
     """
     width = window_seconds * 1_000_000
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
         df = df.withColumn(ts, F.col(ts).cast("timestamp"))
-    events = df.withWatermark(ts, watermark).select(key, event_id, ts, micros(df, ts).alias("_us"))
+    # the watermark is on the time of arrival, which is never behind it
+    events = (
+        df.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", "0 seconds")
+        .select(key, event_id, micros(df, ts).alias("_us"), "_arrived", F.unix_millis("_arrived").alias("_at"))
+    )
+    keep_ms = max(window_seconds, forget_after_seconds) * 1000
     output = T.StructType([
         df.schema[key], df.schema[event_id],
         T.StructField("_start", T.LongType()), T.StructField("n", T.LongType()),
@@ -44,17 +50,29 @@ def rate_limit_stream(
             state.remove()
             return
         rows = pd.concat(list(batches), ignore_index=True).sort_values(["_us", event_id])
+        arrived = int(rows["_at"].max())
+        if group[0] is None:  # no key, no window
+            none = [None] * len(rows)
+            yield pd.DataFrame({key: none, event_id: rows[event_id].to_numpy(), "_start": none, "n": none})
+            return
+        untimed = rows[rows["_us"].isna()]
+        if len(untimed):
+            none = [None] * len(untimed)
+            yield pd.DataFrame({key: group[0], event_id: untimed[event_id].to_numpy(), "_start": none, "n": none})
+            rows = rows[rows["_us"].notna()]
         start, n = state.get if state.exists else (None, 0)
         starts, counts = [], []
-        for us in rows["_us"].tolist():
+        for us in rows["_us"].astype("int64").tolist():
             if start is None or us - start > width:
                 start, n = us, 1
             else:
                 n += 1
             starts.append(start)
             counts.append(n)
+        if start is None:
+            return
         state.update((start, n))
-        state.setTimeoutTimestamp(max((start + width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(arrived + keep_ms)
         yield pd.DataFrame({key: group[0], event_id: rows[event_id].to_numpy(), "_start": starts, "n": counts})
 
     counted = events.groupBy(key).applyInPandasWithState(
@@ -62,5 +80,5 @@ def rate_limit_stream(
     )
     return counted.select(
         key, event_id, F.timestamp_micros("_start").alias("window_start"), "n",
-        ((F.col("n") == 1) | (F.col("n") <= limit)).alias("allowed"),
+        F.coalesce((F.col("n") == 1) | (F.col("n") <= limit), F.lit(True)).alias("allowed"),
     )

@@ -11,7 +11,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from credsift.operators.findings import dedupe_findings
 from credsift.options import ScanOptions
-from credsift.plans.scan import as_findings, entry_hits
+from credsift.functions.matching import content_hits
+from credsift.functions.text import decode_text
+from credsift.operators.entries import scannable
+from credsift.plans.scan import as_findings, entry_hits, explode_hits
 from credsift.rules import DEFAULT_RULES, Rule
 from credsift.schemas import FINDING_COLUMNS
 
@@ -20,20 +23,27 @@ def scan_stream(
     entries: DataFrame,
     rules: Sequence[Rule] = DEFAULT_RULES,
     options: ScanOptions = ScanOptions(),
-    watermark: str = "1 hour",
+    remember: str = "1 day",
 ) -> DataFrame:
-    """A stream of findings from a stream of entries with a ``commit_date``.
+    """A stream of findings from a stream of entries.
 
     Matching is the same stateless expression as in a batch.  The first finding
     of a (repository, rule, mask, path) is passed on; repeats are dropped for as
-    long as the watermark on the commit date keeps the key.  The caps belong to
-    one finished scan and do not apply.
+    long as ``remember`` after it arrived.  Time here is the time of arrival, so
+    an old commit is scanned like a new one and nothing is ever too late.  The
+    caps belong to one finished scan and do not apply.
     """
-    hits = entry_hits(entries.withWatermark("commit_date", watermark), rules, options)
+    arrived = entries.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", remember)
+    hits = _hits_with_arrival(arrived, rules, options)
     first = hits.dropDuplicatesWithinWatermark(["repo", "rule_id", "masked", "path"])
     return as_findings(first, rules).select("repo", *FINDING_COLUMNS)
 
 
+def _hits_with_arrival(entries: DataFrame, rules: Sequence[Rule], options: ScanOptions) -> DataFrame:
+    kept = scannable(entries, options.max_file_bytes, options.binary_prefix_bytes)
+    return explode_hits(kept, content_hits(decode_text(F.col("content")), rules, options), rules, "_arrived")
+
+
 def write_new_findings(
     entries: DataFrame,
     table_path: str,

@@ -1,5 +1,6 @@
 """History on a hand-built repository, and the end-to-end scan."""
 
+import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -11,7 +12,7 @@ from credsift.options import ScanOptions
 from credsift.plans.scan import scan_entries, scan_repo_history
 from credsift.sources.sinks import scan_report, write_report
 
-KEY_ID = "AKIA" + "IOSFODNN7EXAMPLE"
+KEY_ID = "AKIA" + "".join(random.Random(4).choices("BCDFGHJKLMNPQRSTVWXZ23456789", k=16))
 DAY = datetime(2026, 1, 1, tzinfo=timezone.utc)
 
 # commit -> (parents, files); c3 removes old.env, c4 merges a side branch
@@ -22,7 +23,7 @@ TREES = {
     "c3": (["c2"], {"a.env": "two"}),
     "c4": (["c3", "side"], {"a.env": "two", "side.env": "side", "logo.png": "two"}),
 }
-TEXTS = {b: f"AWS_KEY=AKIA{(b.upper() * 16)[-16:]}" for b in ("one", "two", "gone", "side")}
+TEXTS = {b: f"cloud.id=AKIA{(b.upper() * 16)[-16:]}" for b in ("one", "two", "gone", "side")}
 
 
 @pytest.fixture(scope="module")
@@ -138,32 +139,51 @@ def test_latest_commits(repo):
 
 
 def test_full_run(spark, tmp_path):
-    """Five files in one commit: what is found, what is skipped, and the report."""
-    token = "ghp_" + "aAbBcCdDeEfFgGhHiIjJkKlLmMnNoOpPqQrR"
+    """One commit of some files: what is found, what is skipped, and the report."""
+    token = "ghp_" + "".join(random.Random(5).choices("bcdfghjkmnpqrstvwxzBCDFGHJK23456789", k=36))
     tree = {
-        "config.yaml": f"AWS_KEY={KEY_ID}\n", "deploy.sh": f"export GH_TOKEN={token}\n",
-        "docs.md": 'api_key = "your_secret"\n', "image.png": KEY_ID, "sub/clean.txt": "nothing sensitive here\n",
+        "ops/run.cfg": f"# keys\nid={KEY_ID}\n", "ops/push.ps1": f"$t = '{token}'\n", "notes.rst": "password: changeme\n",
+        "logo.svg": KEY_ID, "src/main.c": "int main(void) { return 0; }\n", "poetry.lock": KEY_ID,
     }
-    when = datetime(2026, 1, 2, 3, 4, 5, tzinfo=timezone.utc)
-    repo_url = "https://github.com/owner/repo.git"
+    when = datetime(2031, 7, 8, 9, 10, 11, tzinfo=timezone.utc)
+    repo_url = "https://github.com/ada/engine.git"
     result = scan_repo_history(
-        spark.createDataFrame([(repo_url, "HEAD", "symbolic", "h"), (repo_url, "main", "hash", "h"),
-                               ("https://github.com/o/empty", "main", "hash", "e")], schemas.REFS),
-        spark.createDataFrame([(repo_url, "h", [], "seed fixtures\n", "Test User", when, when),
-                               ("https://github.com/o/empty", "e", [], "m", "A", when, when)], schemas.COMMITS),
+        spark.createDataFrame([(repo_url, "HEAD", "symbolic", "h"), (repo_url, "trunk", "hash", "h"),
+                               ("https://github.com/ada/blank", "trunk", "hash", "e")], schemas.REFS),
+        spark.createDataFrame([(repo_url, "h", [], "first import\n\n", "Ada", when, when),
+                               ("https://github.com/ada/blank", "e", [], "m", "A", when, when)], schemas.COMMITS),
         spark.createDataFrame([(repo_url, "h", p, p) for p in tree], schemas.TREE_FILES),
         spark.createDataFrame([(repo_url, p, len(t), bytearray(t.encode())) for p, t in tree.items()], schemas.BLOBS),
     )
     report = scan_report(result.findings, result.stats, when)
     write_report(report, str(tmp_path / "report"))
     full, empty = sorted(report.collect(), key=lambda r: r.repo_url, reverse=True)
-    assert full.repo_url == "https://github.com/owner/repo"
+    assert full.repo_url == "https://github.com/ada/engine"
     assert tuple(full.stats) == (1, 4, 2) and tuple(empty.stats) == (1, 0, 0) and empty.findings == []
-    assert [(f.file, f.type) for f in full.findings] == [
-        ("config.yaml", "aws_access_key_id"), ("deploy.sh", "github_pat")
-    ]
+    assert [(f.file, f.type, f.line) for f in full.findings] == [("ops/push.ps1", "github_pat", 1), ("ops/run.cfg", "aws_access_key_id", 2)]
     text = "".join(p.read_text() for p in (tmp_path / "report").glob("*.json"))
     assert KEY_ID not in text and token not in text and '"findings":[]' in text
     for f in full.findings:
-        assert "*" in f.matched_value and f.commit == "h" and f.commit_author == "Test User"
-        assert f.commit_date == when.replace(tzinfo=None) and f.commit_message == "seed fixtures"
+        assert "*" in f.matched_value and f.commit == "h" and f.commit_author == "Ada"
+        assert f.commit_date == when.replace(tzinfo=None) and f.commit_message == "first import"
+
+
+def test_long_and_branched_histories(spark):
+    """Least depths against a breadth-first walk, with and without a bound."""
+    rnd = random.Random(6)
+    parents = {0: []}
+    for i in range(1, 220):
+        parents[i] = sorted({i - 1, *([rnd.randrange(max(0, i - 40), i)] if i % 9 == 0 else [])}, reverse=True)
+    parents[500], parents[501] = [], [500, 10**6]  # a second root; a parent that is not there
+    tips = [219, 150, 501]
+    commits = spark.createDataFrame(
+        [("r", str(h), [str(p) for p in ps], "m", "A", DAY, DAY) for h, ps in parents.items()], schemas.COMMITS
+    )
+    refs = spark.createDataFrame([("r", f"b{t}", "hash", str(t)) for t in tips] + [("r", "HEAD", "symbolic", "219")], schemas.REFS)
+    depth, edge = {t: 0 for t in tips}, list(tips)
+    while edge:
+        edge = [p for h in edge for p in parents[h] if p in parents and depth.setdefault(p, depth[h] + 1) == depth[h] + 1]
+        edge = list(dict.fromkeys(edge))
+    for bound in (None, 1, 7):
+        got = {int(r.hash): r.depth for r in history.reachable_commits(refs, commits, bound).collect()}
+        assert got == {h: d for h, d in depth.items() if bound is None or d < bound}

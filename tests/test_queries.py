@@ -10,7 +10,10 @@ import __spark_entry__ as entry_point
 
 TABLES = Path("/root/testdata/sf0.001")
 QUERIES = entry_point.queries()
-ORACLES = entry_point.oracle_sql()
+ORACLES = {k: v for k, v in entry_point.oracle_sql().items()}
+# numbered operators and the pipeline have tests of their own beside their package
+QUERIES = {k: v for k, v in QUERIES.items() if not k.startswith("op") and k != "pipeline"}
+ORACLES = {k: v for k, v in ORACLES.items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -21,6 +24,9 @@ def duck():
     return con
 
 
+NO_SQL: set[str] = set()
+
+
 def plain(value):
     if isinstance(value, float):
         return None if math.isnan(value) else round(value, 6)
@@ -29,7 +35,7 @@ def plain(value):
 
 def test_names():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"files_read_back"}
+    assert set(QUERIES) - set(ORACLES) <= NO_SQL
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -82,3 +82,12 @@ def test_stream_equals_batch(spark, tmp_path):
      .trigger(availableNow=True).start().awaitTermination())
     got = {r.id: (r.window_start, r.n, r.allowed) for r in spark.read.parquet(out).collect()}
     assert got == brute_force(rows, 30, 3)
+
+
+def test_events_without_key_or_time(spark):
+    rows = [("a", 5), (None, 5), ("a", None), ("a", 6), (None, None), (None, 7)]
+    df = spark.createDataFrame(rows, "k string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = anchored_window_count(df, "k", "ts", 60, 1).collect()
+    assert sorted((r.k, r.s, r.n, r.allowed) for r in got if r.k and r.s) == [("a", 5, 1, True), ("a", 6, 2, False)]
+    rest = [r for r in got if not (r.k and r.s)]
+    assert len(rest) == 4 and all(r.n is None and r.window_start is None and r.allowed for r in rest)

@@ -11,10 +11,11 @@ def column(spark, values, fn, kind="string"):
     return [r.out for r in df.select("i", fn(F.col("v")).alias("out")).orderBy("i").collect()]
 
 
+# at the boundaries: empty, up to 8, 9, 28 and 29 characters, and beyond, with characters of several bytes
 MASKS = {
-    "": "", "abc": "***", "12345678": "********", "abcdefghi": "abcd*fghi",
-    "K" * 20: "KKKK" + "*" * 12 + "KKKK", "x" * 40: "xxxx" + "*" * 20 + "xxxx",
-    "日本語日本語日本語": "日本語日*語日本語", "日本語日本語日本": "********",
+    "": "", "q": "*", "qwertyui": "*" * 8, "qwertyuio": "qwer*yuio", "0123456789" * 2 + "abcdefgh": "0123" + "*" * 20 + "efgh",
+    "0123456789" * 2 + "abcdefghi": "0123" + "*" * 20 + "fghi", "z9" * 60: "z9z9" + "*" * 20 + "z9z9",
+    "ßüñçéèêàâ": "ßüñç*èêàâ", "🤗🤗🤗🤗🤗🤗🤗🤗": "*" * 8,
 }
 
 
@@ -52,13 +53,14 @@ def test_skipped_paths(spark):
 def test_contents(spark):
     cases = [b"", b"\x00", b"a" * 511 + b"\x00", b"a" * 512 + b"\x00", b"a" * (1 << 20), b"a" * ((1 << 20) + 1)]
     cases = [bytearray(c) for c in cases]
-    assert column(spark, cases, filters.is_binary, "binary") == [False, True, True, False, False, False]
-    assert column(spark, cases, filters.within_size, "binary") == [True, True, True, True, True, False]
+    assert column(spark, cases, lambda c: filters.is_binary(c, 512), "binary") == [False, True, True, False, False, False]
+    assert column(spark, cases, filters.is_binary, "binary") == [False, True, True, True, False, False]
+    assert column(spark, cases, lambda c: filters.within_size(c, 1 << 20), "binary") == [True, True, True, True, True, False]
 
 
 def test_line_length_counts_bytes(spark):
     cases = ["a" * 4096, "a" * 4097, "é" * 2048, "é" * 2049]
-    assert column(spark, cases, filters.within_line_length) == [True, False, True, False]
+    assert column(spark, cases, lambda line: filters.within_line_length(line, 4096)) == [True, False, True, False]
 
 
 def test_placeholders(spark):

@@ -1,18 +1,31 @@
 """Scan semantics on small files: repeats, caps, order, context, line and file filters."""
 
 import random
+from dataclasses import asdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from credsift.operators.entries import cap_entries, scannable, split_lines
 from credsift.operators.findings import cap_total, dedupe_and_cap, new_findings, triage_order, triage_summary
-from credsift.options import UNLIMITED, ScanOptions
+from credsift.options import SERVICE_LIMITS, ScanOptions
 from credsift.plans.scan import entry_hits, scan_entries
-from credsift.rules import DEFAULT_RULES, select_rules
+from credsift.rules import DEFAULT_RULES, Rule, select_rules
 
-KEY_ID = "AKIA" + "IOSFODNN7EXAMPLE"
-KEY_LINE = f"AWS_KEY={KEY_ID}"
+SERVICE = asdict(SERVICE_LIMITS)
+
+
+def key_id(seed):
+    """A made-up key id: the rule's prefix and 16 characters from a seed."""
+    return "AKIA" + "".join(random.Random(seed).choices("BCDEFGHJKLMNPQRSTUVW23456789", k=16))
+
+
+def masked(value):
+    return value[:4] + "*" * min(20, len(value) - 8) + value[-4:]
+
+
+KEY_ID = key_id(1)
+KEY_LINE = f"cloud.id={KEY_ID}"
 
 
 def scan(df, **options):
@@ -24,54 +37,83 @@ def found(df, **options):
     return [(r.file, r.line, r.type, r.matched_value) for r in scan(df, **options)]
 
 
-def test_happy_path(entries):
-    assert found(entries(("config.yaml", KEY_LINE))) == [
-        ("config.yaml", 1, "aws_access_key_id", "AKIA" + "*" * 12 + "MPLE")
-    ]
+def test_one_key(entries):
+    assert found(entries(("conf/cloud.ini", KEY_LINE))) == [("conf/cloud.ini", 1, "aws_access_key_id", masked(KEY_ID))]
 
 
 def test_capture_group_is_the_value(entries):
-    value = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcd"
-    [hit] = found(entries(("secrets.env", f"aws_secret_access_key: {value}")))
-    assert hit[2:] == ("aws_secret_access_key", "ABCD" + "*" * 20 + "abcd")
+    value = "".join(random.Random(2).choices("bcdfghjkmnpqrstvwxz+/23456789", k=40))
+    [hit] = found(entries(("vars.sh", f'export AWS_SECRET_KEY="{value}"')))
+    assert hit[2:] == ("aws_secret_access_key", masked(value))
 
 
 def test_repeats(entries):
-    assert len(found(entries(("a.txt", f"{KEY_LINE}\nOTHER={KEY_ID}")))) == 1
-    assert len(found(entries(("a.txt", KEY_LINE), ("b.txt", KEY_LINE)))) == 2
+    assert len(found(entries(("n1", f"{KEY_LINE}\nagain {KEY_ID}\n{KEY_ID}")))) == 1
+    assert len(found(entries(*[(f"n{i}", KEY_LINE) for i in range(3)]))) == 3
     # the same path in a later entry, and the same path in another repository
-    assert [r.entry_seq for r in scan(entries(("a.txt", KEY_LINE), ("a.txt", f"\n{KEY_LINE}")))] == [0]
-    assert len(found(entries(("r1", 0, "a.txt", KEY_LINE), ("r2", 0, "a.txt", KEY_LINE)))) == 2
+    assert [r.entry_seq for r in scan(entries(("n", KEY_LINE), ("n", f"\n{KEY_LINE}")))] == [0]
+    assert len(found(entries(("r1", 0, "n", KEY_LINE), ("r2", 0, "n", KEY_LINE)))) == 2
 
 
 def test_filtered(entries):
-    assert found(entries(("a.txt", "aws_secret_access_key: " + "x" * 40))) == []
-    assert found(entries(("detect.go", f'var r = regexp.MustCompile("{KEY_ID}")'))) == []
-    assert found(entries(("huge.js", " " * 4196 + KEY_ID))) == []
-    assert found(entries(("image.png", KEY_ID), ("yarn.lock", KEY_ID), ("a.bin.txt", f"\x00{KEY_ID}"))) == []
-    assert found(entries(("large.txt", KEY_LINE + "\n" * (1 << 20)))) == []
-    assert len(found(entries(("ok.txt", KEY_LINE + "\n" * ((1 << 20) - len(KEY_LINE)))))) == 1
+    assert found(entries(("n", "aws_secret=" + "*" * 40))) == []
+    assert found(entries(("scan.py", f'KEY = re.compile("{KEY_ID}")'))) == []
+    assert found(entries(("photo.jpeg", KEY_ID), ("sub/poetry.lock", KEY_ID), ("n.txt", f"{KEY_ID}\x00"))) == []
+
+
+def test_nothing_is_too_long_unless_a_limit_says_so(entries):
+    long_line = entries(("min.css", "a{} " * 1500 + KEY_ID))
+    assert len(found(long_line)) == 1 and found(long_line, **SERVICE) == []
+    large = entries(("dump.sql", KEY_LINE + "\n" * (1 << 20)))
+    assert len(found(large)) == 1 and found(large, **SERVICE) == []
+    late_nul = entries(("n", KEY_LINE + "\n" * 600 + "\x00"))
+    assert found(late_nul) == [] and len(found(late_nul, **SERVICE)) == 1
+    fits = entries(("dump.sql", KEY_LINE + "\n" * ((1 << 20) - len(KEY_LINE))))
+    assert len(found(fits, **SERVICE)) == 1
+
+
+def test_overlapping_values_leave_nothing_in_clear(entries):
+    password, other = "passw" + str(10**3 + 99), "longer" + "word"
+    line = f"mongodb://user:{password}@one.internal.net,postgres://user:{other}@two.internal.net/db1"
+    contexts = {r.context for r in scan(entries(("n", line)))}
+    assert contexts and all(password not in c and other not in c for c in contexts)
+
+
+def test_many_short_values_on_one_line(entries):
+    line = " ".join(f"x{i} {key_id(i)}" for i in range(12))
+    rows = scan(entries(("n", line)))
+    assert len(rows) == 12 and rows[0].context == " ".join(f"x{i} {masked(key_id(i))}" for i in range(12))
+
+
+def test_user_rules(entries):
+    def values(rule, text):
+        return [r.matched_value for r in scan_entries(entries(("n", text)), (rule,)).collect()]
+
+    assert values(Rule("r", "high", r"TokenX=([a-z0-9]{12})", anchors=("TokenX",)), "a TokenX=abcdef123456") == [masked("abcdef123456")]
+    optional = Rule("r", "high", r"(abc)?def[0-9]{4}")
+    assert values(optional, "def1234") == ["*" * 7] and values(optional, "abcdef1234") == ["***"]
 
 
 def test_line_numbers_start_at_one(entries):
-    assert found(entries(("a.txt", f"\n\n{KEY_LINE}")))[0][1] == 3
+    assert found(entries(("n", "\n" * 6 + KEY_LINE)))[0][1] == 7
 
 
 def test_entry_cap(entries):
-    body = "".join(f"AKIA{'A' * 14}{i:02d}\n" for i in range(60))
-    assert [line for _, line, _, _ in found(entries(("leaks.txt", body)))] == list(range(1, 51))
-    assert len(found(entries(("leaks.txt", body)), max_findings_per_entry=None)) == 60
+    body = entries(("all.txt", "\n".join(map(key_id, range(90)))))
+    assert [line for _, line, _, _ in found(body, max_findings_per_entry=35)] == list(range(1, 36))
+    assert len(found(body)) == 90
 
 
 def test_a_key_cut_by_the_cap_may_come_later(entries):
-    body = "".join(f"AKIA{'A' * 14}{i:02d}\n" for i in range(60))
-    twice = entries(("a.txt", body), ("a.txt", body), ("a.txt", body))
-    assert [(r.entry_seq, r.line) for r in scan(twice)] == [(0, i) for i in range(1, 51)] + [(1, i) for i in range(51, 61)]
-    assert len(scan(twice, exact_cap=False)) == 50
+    body = "\n".join(map(key_id, range(45)))
+    thrice = entries(("n", body), ("n", body), ("n", body))
+    want = [(0, i) for i in range(1, 36)] + [(1, i) for i in range(36, 46)]
+    assert [(r.entry_seq, r.line) for r in scan(thrice, max_findings_per_entry=35)] == want
+    assert len(scan(thrice, max_findings_per_entry=35, exact_cap=False)) == 35
 
 
 def test_total_cap_keeps_the_last_entry_whole(entries):
-    body = "".join(f"AKIA{'A' * 14}{i:02d}\n" for i in range(10))
+    body = "\n".join(map(key_id, range(10)))
     files = entries(*[("r", i, f"f{i}", body) for i in range(8)], *[("s", i, f"f{i}", body) for i in range(2)])
     kept = scan(files, max_findings=25)
     assert {(r.repo, r.entry_seq) for r in kept} == {("r", 0), ("r", 1), ("r", 2), ("s", 0), ("s", 1)}
@@ -102,11 +144,11 @@ def brute_force(hits, per_entry, total):
 def test_caps_against_the_sequential_scan(entries, seed):
     rng = random.Random(seed)
     files = [
-        (rng.choice("ab"), "\n".join(f"AKIA{'A' * 14}{rng.randrange(30):02d}" for _ in range(rng.randrange(25))))
+        (rng.choice("ab"), "\n".join(key_id(rng.randrange(30)) for _ in range(rng.randrange(25))))
         for _ in range(20)
     ]
     df = entries(*files)
-    hits = entry_hits(df, options=UNLIMITED).collect()
+    hits = entry_hits(df, options=ScanOptions()).collect()
     for per_entry, total in ((5, 40), (3, 17), (8, 1000)):
         got = scan(df, max_findings_per_entry=per_entry, max_findings=total)
         assert [(r.entry_seq, r.line - 1, r.rule_ord, r.match_ord) for r in got] == brute_force(hits, per_entry, total)
@@ -124,24 +166,24 @@ def test_a_hot_repository_is_cut_in_salted_parts(spark, entries):
 
 
 def test_context(entries):
-    text = f"password = 'hunter2222'  # example\n{KEY_LINE}\nlast"
-    redacted = f"password = 'hunt**2222'  # example\nAWS_KEY=AKIA{'*' * 12}MPLE\nlast"
-    assert [r.context for r in scan(entries(("a", text)))] == [redacted]
-    assert [r.context for r in scan(entries(("a", text)), context="raw")] == [text]
-    assert [r.context for r in scan(entries(("a", text)), context="none")] == [None]
-    long_line = "b" * 5000
-    body = f"{long_line}\n{KEY_LINE}"
-    assert [r.context for r in scan(entries(("a", body)))] == [f"AWS_KEY=AKIA{'*' * 12}MPLE"]
-    assert [r.context for r in scan(entries(("a", body)), context="raw")] == [body]
+    text = f"password = 'blue-kettle'  # example\n{KEY_LINE}\nlast"
+    redacted = f"password = '{masked('blue-kettle')}'  # example\ncloud.id={masked(KEY_ID)}\nlast"
+    assert [r.context for r in scan(entries(("n", text)))] == [redacted]
+    assert [r.context for r in scan(entries(("n", text)), context="raw")] == [text]
+    assert [r.context for r in scan(entries(("n", text)), context="none")] == [None]
+    body = f"{'b' * 5000}\n{KEY_LINE}"
+    assert [r.context for r in scan(entries(("n", body)), **SERVICE)] == [f"cloud.id={masked(KEY_ID)}"]
+    assert [r.context for r in scan(entries(("n", body)))] == [f"{'b' * 5000}\ncloud.id={masked(KEY_ID)}"]
+    assert [r.context for r in scan(entries(("n", body)), **{**SERVICE, "context": "raw"})] == [body]
 
 
 def test_invalid_utf8(entries):
     body = b"\xff\xfe bad\n" + KEY_LINE.encode() + b"\nok \xc3\n" + b"\xc3" * 4096 + KEY_LINE.encode() + b"\n"
-    [hit] = scan(entries(("a", body)), context="raw")
+    [hit] = scan(entries(("a", body)), **{**SERVICE, "context": "raw"})
     assert (hit.line, hit.context) == (2, KEY_LINE)
     # bytes are counted, not replacement characters: this line is just short enough
     short = b"\xff" * (4096 - len(KEY_LINE)) + KEY_LINE.encode()
-    assert len(scan(entries(("a", short)))) == 1
+    assert len(scan(entries(("a", short)), **SERVICE)) == 1
 
 
 def test_report_columns_and_ids(spark, entries):

@@ -62,8 +62,10 @@ def scan(
     entries: str,
     rules: Sequence[Rule] = DEFAULT_RULES,
     line_filter: str = "as_documented",
-    per_entry: int | None = 50,
-    total: int | None = 1000,
+    per_entry: int | None = None,
+    total: int | None = None,
+    line_bytes: int | None = None,
+    file_bytes: int | None = None,
 ) -> str:
     """CTEs: entries, lines, matched, raws, hits, firsts, capped, kept."""
     per_rule = ", ".join(
@@ -71,15 +73,17 @@ def scan(
         f"'raws': regexp_extract_all(line, {q(r.pattern)}, {r.group})}}"
         for i, r in enumerate(rules)
     )
+    small = f" AND strlen(text) <= {file_bytes}" if file_bytes else ""
+    short = f" WHERE strlen(line) <= {line_bytes}" if line_bytes else ""
     entry_cap = f"WHERE in_entry <= {per_entry}" if per_entry else ""
     total_cap = f"WHERE before <= {total}" if total else ""
     return f"""
 WITH entries AS MATERIALIZED ({entries}),
-files AS (SELECT * FROM entries WHERE NOT {SKIPPED_PATH} AND strlen(text) <= 1048576),
+files AS (SELECT * FROM entries WHERE NOT {SKIPPED_PATH}{small}),
 lines AS MATERIALIZED (
   SELECT repo, entry_seq, path, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS line_idx
   FROM (SELECT *, string_split(text, chr(10)) AS l FROM files)),
-matched AS (SELECT *, [{per_rule}] AS m FROM lines WHERE strlen(line) <= 4096),
+matched AS (SELECT *, [{per_rule}] AS m FROM lines{short}),
 found AS (SELECT * EXCLUDE (m), unnest(list_filter(m, lambda x: len(x.raws) > 0)) AS r FROM matched),
 raws AS MATERIALIZED (
   SELECT * FROM (
@@ -102,15 +106,34 @@ kept AS MATERIALIZED (
 """
 
 
-REDACTED = f""",
+def redacted(line_bytes: int | None = None) -> str:
+    """CTEs shown (lines with their secrets masked, place by place) and contexts."""
+    short = f" WHERE strlen(l.line) <= {line_bytes}" if line_bytes else ""
+    return f""",
+parts AS (
+  SELECT DISTINCT repo, entry_seq, line_idx, line, raw, string_split(line, raw) AS p FROM secrets),
+spans AS (
+  SELECT repo, entry_seq, line_idx, line, raw, unnest(range(1, len(p))) AS i, p FROM parts),
+places AS (
+  SELECT DISTINCT repo, entry_seq, line_idx, line, s, s + n AS e FROM (
+    SELECT repo, entry_seq, line_idx, line, length(raw) AS n,
+           cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(raw) AS bigint) AS s FROM spans)),
+islands AS (
+  SELECT repo, entry_seq, line_idx, line, min(s) AS s, max(e) AS e FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY repo, entry_seq, line_idx ORDER BY s, e) AS island FROM (
+      SELECT *, CASE WHEN s < max(e) OVER (PARTITION BY repo, entry_seq, line_idx ORDER BY s, e
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM places))
+  GROUP BY repo, entry_seq, line_idx, line, island),
+masked_spans AS (
+  SELECT *, substr(line, s + 1, e - s) AS raw,
+         coalesce(lag(e) OVER (PARTITION BY repo, entry_seq, line_idx ORDER BY s), 0) AS before FROM islands),
 redacted AS (
   SELECT repo, entry_seq, line_idx,
-         list_reduce(list_prepend(any_value(line), list(raw ORDER BY length(raw) DESC, raw)),
-                     lambda acc, x: replace(acc, x, {mask('x')})) AS line
-  FROM (SELECT DISTINCT repo, entry_seq, line_idx, line, raw FROM secrets) GROUP BY ALL),
+         string_agg(concat(substr(line, before + 1, s - before), {mask('raw')}), '' ORDER BY s) || substr(any_value(line), max(e) + 1) AS line
+  FROM masked_spans GROUP BY repo, entry_seq, line_idx),
 shown AS (
   SELECT l.repo, l.entry_seq, l.line_idx, coalesce(r.line, l.line) AS line
-  FROM lines AS l LEFT JOIN redacted AS r USING (repo, entry_seq, line_idx) WHERE strlen(l.line) <= 4096),
+  FROM lines AS l LEFT JOIN redacted AS r USING (repo, entry_seq, line_idx){short}),
 contexts AS (
   SELECT k.repo, k.entry_seq, k.line_idx, string_agg(s.line, chr(10) ORDER BY s.line_idx) AS context
   FROM (SELECT DISTINCT repo, entry_seq, line_idx FROM kept) AS k
@@ -118,6 +141,7 @@ contexts AS (
   GROUP BY ALL)
 """
 
+
 FINDINGS = """
 SELECT k.repo, k.rule_id AS type, k.severity, k.path AS file, cast(k.line_idx + 1 AS int) AS line,
        k.masked AS matched_value, c.context
@@ -126,7 +150,7 @@ FROM kept AS k LEFT JOIN contexts AS c USING (repo, entry_seq, line_idx)
 
 
 def findings(entries: str, **options) -> str:
-    return scan(entries, **options) + REDACTED + FINDINGS
+    return scan(entries, **options) + redacted(options.get("line_bytes")) + FINDINGS
 
 
 # -- repository URLs ----------------------------------------------------------
@@ -177,12 +201,12 @@ COMMITS = derive.for_oracle(derive.COMMITS)
 TREE_FILES = derive.for_oracle(derive.TREE_FILES)
 BLOBS = derive.for_oracle(derive.BLOBS)
 
-# A repository here has one line of history, so its first 50 steps are its newest 50 commits.
+# First parents alone reach every commit of a repository here.
 WALK = f"""
 WITH commits AS MATERIALIZED ({COMMITS}),
 trees AS MATERIALIZED ({TREE_FILES}),
 blobs AS MATERIALIZED ({BLOBS}),
-reached AS (SELECT *, cast(commits_in_repo - seq AS int) AS depth FROM commits WHERE commits_in_repo - seq < 50),
+reached AS (SELECT *, cast(commits_in_repo - seq AS int) AS depth FROM commits),
 pairs AS (SELECT c.repo, c.hash AS commit, p.hash AS parent FROM reached AS c
           LEFT JOIN reached AS p ON p.repo = c.repo AND p.hash = c.parent),
 sides AS (
@@ -196,7 +220,7 @@ diff AS (
   SELECT repo, commit, path, old_blob, new_blob,
          CASE WHEN old_blob IS NULL THEN 'A' WHEN new_blob IS NULL THEN 'D' ELSE 'M' END AS status
   FROM sides WHERE old_blob IS DISTINCT FROM new_blob),
-usable AS (SELECT * FROM blobs WHERE size <= 1048576 AND NOT (ends_in_nul AND strlen(text) < 512))
+usable AS (SELECT * FROM blobs WHERE NOT ends_in_nul)
 """
 
 
@@ -215,13 +239,27 @@ ordered AS (
   JOIN ranks AS r ON r.repo = f.repo AND r.hash = f.commit),
 placed AS MATERIALIZED (
   SELECT * FROM (SELECT o.*, b.text, row_number() OVER (PARTITION BY o.repo ORDER BY entry_seq) AS nth
-                 FROM ordered AS o JOIN usable AS b ON b.repo = o.repo AND b.blob = o.blob) WHERE nth <= 10000)
+                 FROM ordered AS o JOIN usable AS b ON b.repo = o.repo AND b.blob = o.blob))
 """
 
 
 TRIMMED_MESSAGE = "regexp_replace(message, '^\\s+|\\s+$', '', 'g')"
 
 
+def reachable(limit: int) -> str:
+    return f"""
+WITH RECURSIVE commits AS MATERIALIZED ({COMMITS}),
+ways AS (
+  SELECT repo, hash, 0 AS depth FROM commits WHERE seq = commits_in_repo
+  UNION
+  SELECT w.repo, p.hash, w.depth + 1 FROM ways AS w
+  JOIN (SELECT repo, hash AS child, parent AS hash FROM commits WHERE parent IS NOT NULL
+        UNION SELECT repo, hash, merged FROM commits WHERE merged IS NOT NULL) AS p ON p.repo = w.repo AND p.child = w.hash
+  WHERE w.depth + 1 < {limit})
+SELECT repo, hash, cast(min(depth) AS int) AS depth FROM ways GROUP BY repo, hash
+"""
+
+
 def _history_scan(side: str) -> str:
     ctes = scan("SELECT repo, entry_seq, path, text, commit, from_history FROM placed").strip()
     ctes = ctes.removeprefix("WITH ").replace("raws AS MATERIALIZED", "raws AS MATERIALIZED", 1)
@@ -238,13 +276,11 @@ JOIN commits AS c ON c.repo = p.repo AND c.hash = p.commit
 
 
 HISTORY_STATS = f""",
-last AS (SELECT repo, max(entry_seq) AS last FROM kept GROUP BY repo HAVING count(*) >= 1000),
 per_repo AS (
   SELECT r.repo, r.commits AS total_commits_scanned, coalesce(f.files, 0) AS total_files_scanned,
          coalesce(k.found, 0) AS total_findings
   FROM (SELECT repo, count(DISTINCT hash) AS commits FROM reached GROUP BY repo) AS r
-  LEFT JOIN (SELECT p.repo, count(DISTINCT path) AS files FROM placed AS p LEFT JOIN last USING (repo)
-             WHERE last IS NULL OR entry_seq <= last GROUP BY p.repo) AS f USING (repo)
+  LEFT JOIN (SELECT repo, count(DISTINCT path) AS files FROM placed GROUP BY repo) AS f USING (repo)
   LEFT JOIN (SELECT repo, count(*) AS found FROM kept GROUP BY repo) AS k USING (repo))
 """
 
@@ -274,7 +310,6 @@ FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"""
 SELECT page_id, unnest(l) AS line, generate_subscripts(l, 1) AS line_no
 FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages)"""
     document_findings = findings(ENTRIES["documents"])
-    small_rules = [r for r in DEFAULT_RULES if r.anchors and all(len(a) >= 3 for a in r.anchors)]
     out = {
         "mask_secret": f"SELECT doc_id, {mask('text')} AS text, {mask('lang')} AS lang, {mask('source')} AS source FROM documents",
         "truncate_text": f"SELECT doc_id, {truncated('text')} AS text FROM documents",
@@ -291,7 +326,8 @@ GROUP BY raw""",
         "skip_by_extension": f"SELECT doc_id, path, lower(regexp_extract(path, '([.][^./]*)$', 1)) IN ({values(SKIPPED_EXTENSIONS)}) AS skipped FROM ({FILES})",
         "size_limit": f"SELECT doc_id FROM ({FILES}) WHERE strlen(text) + ends_in_nul::int <= 1048576",
         "is_binary": f"SELECT doc_id, ends_in_nul AND strlen(text) < 512 AS is_binary FROM ({FILES})",
-        "scannable_files": f"SELECT doc_id, path FROM ({FILES}) WHERE NOT {SKIPPED_PATH} AND strlen(text) + ends_in_nul::int <= 1048576 AND NOT (ends_in_nul AND strlen(text) < 512)",
+        "scannable_files": f"SELECT doc_id, path FROM ({FILES}) WHERE NOT {SKIPPED_PATH} AND NOT ends_in_nul",
+        "scannable_files_limited": f"SELECT doc_id, path FROM ({FILES}) WHERE NOT {SKIPPED_PATH} AND strlen(text) + ends_in_nul::int <= 1048576 AND NOT (ends_in_nul AND strlen(text) < 512)",
         "corpus_size": "SELECT source AS root, cast(sum(strlen(text)) AS bigint) AS bytes, sum(strlen(text)) > 50000 AS over_limit FROM documents GROUP BY source",
         "read_requests": f"SELECT request_id, regexp_replace(repo_url, '^\\s+|\\s+$', '', 'g') AS repo_url FROM ({derive.for_oracle(derive.REQUESTS)}) WHERE repo_url IS NOT NULL AND repo_url <> ''",
         "validate_repo_url": _url_case() + "SELECT request_id, CASE WHEN error IS NULL THEN clean0 END AS clean, error FROM e",
@@ -303,17 +339,17 @@ FROM (SELECT request_id, deadline_exceeded OR contains(message, 'timeout') AS la
              {' OR '.join(f"contains(lower(message), {q(m)})" for m in NOT_FOUND_MARKERS)} AS missing
       FROM ({derive.for_oracle(derive.OUTCOMES)}))""",
         "match_rules_all": scan(ENTRIES["documents"]) + "SELECT path, cast(line_idx AS int) AS line_idx, rule_id, cast(match_ord AS int) AS match_ord, raw FROM raws",
-        "match_rules_join": scan(ENTRIES["documents"], rules=small_rules) + "SELECT path, cast(line_idx AS int) AS line_idx, rule_id, cast(match_ord AS int) AS match_ord, raw FROM raws",
+        "match_rules_join": scan(ENTRIES["documents"]) + "SELECT path, cast(line_idx AS int) AS line_idx, rule_id, cast(match_ord AS int) AS match_ord, raw FROM raws",
         "rule_hits": scan(ENTRIES["pages"]) + "SELECT rule_id, severity, count(*) AS hits, count(DISTINCT raw) AS distinct_values FROM raws GROUP BY ALL",
-        "dedupe_findings": scan(ENTRIES["documents"], per_entry=None, total=None) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx FROM firsts",
-        "cap_per_entry": scan(ENTRIES["documents"], per_entry=10, total=None) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx FROM capped",
-        "dedupe_and_cap": scan(ENTRIES["documents"], per_entry=10, total=None) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx FROM capped",
-        "cap_total": scan(ENTRIES["turns"], total=100) + "SELECT path, rule_id, masked FROM kept",
+        "dedupe_findings": scan(ENTRIES["documents"]) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx FROM firsts",
+        "cap_per_entry": scan(ENTRIES["documents"], per_entry=10) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx FROM capped",
+        "dedupe_and_cap": scan(ENTRIES["documents"], per_entry=10) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx FROM capped",
+        "cap_total": scan(ENTRIES["turns"], per_entry=50, total=100) + "SELECT path, rule_id, masked FROM kept",
         "cap_entries": f"SELECT repo, entry_seq, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY entry_seq) AS nth FROM ({ENTRIES['documents']})) WHERE nth <= 7",
         "line_context_raw": """
 SELECT doc_id, cast(i AS int) AS line_idx, array_to_string(l[greatest(i, 1):least(i + 2, len(l))], chr(10)) AS context
 FROM (SELECT doc_id, l, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
-        "redact_text": scan(ENTRIES["documents"]).replace("WHERE strlen(line) <= 4096", "", 1) + REDACTED.replace("WHERE strlen(l.line) <= 4096", "") + """
+        "redact_text": scan(ENTRIES["documents"]) + redacted() + """
 SELECT entry_seq AS doc_id, string_agg(line, chr(10) ORDER BY line_idx) AS text FROM shown GROUP BY entry_seq""",
         "triage_order": scan(ENTRIES["documents"]) + """
 SELECT CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END AS rank,
@@ -326,13 +362,25 @@ FROM (SELECT f.repo, count(DISTINCT path) AS files FROM files AS f LEFT JOIN las
       WHERE last IS NULL OR entry_seq <= last GROUP BY f.repo) AS f
 LEFT JOIN (SELECT repo, count(*) AS found FROM kept GROUP BY repo) AS k USING (repo)""",
         "scan_documents": document_findings,
+        "scan_documents_limited": findings(ENTRIES["documents"], per_entry=50, total=1000, line_bytes=4096, file_bytes=1 << 20),
         "scan_documents_as_coded": findings(ENTRIES["documents"], line_filter="as_coded"),
         "scan_pages": findings(ENTRIES["pages"]),
         "scan_conversations": findings(ENTRIES["turns"]),
         "user_rule_inline_token": findings(ENTRIES["plain_documents"], rules=(*DEFAULT_RULES, INLINE_TOKEN_RULE)),
         "first_parent": WALK + "SELECT repo, commit, parent FROM pairs",
         "latest_commits": f"SELECT repo, hash, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY committer_when DESC, hash) AS rank FROM ({COMMITS})) WHERE rank <= 5",
-        "reachable_commits": WALK + "SELECT repo, hash, depth FROM reached",
+        "reachable_commits": reachable(1 << 30),
+        "reachable_commits_limited": reachable(5),
+        "history_entries": WALK + _files("new_blob") + """
+SELECT p.repo, p.entry_seq, p.path, p.commit, strlen(text) AS bytes FROM placed AS p WHERE from_history""",
+        "head_entries": WALK + _files("new_blob") + """
+SELECT p.repo, p.path, p.commit, c.author_name AS commit_author, strlen(text) AS bytes
+FROM placed AS p JOIN commits AS c ON c.repo = p.repo AND c.hash = p.commit WHERE NOT from_history""",
+        "rejected_requests": f"SELECT request_id, 'request body must contain repo_url' AS error FROM ({derive.for_oracle(derive.REQUESTS)}) WHERE repo_url IS NULL OR repo_url = ''",
+        "files_read_back": """
+SELECT concat('source=', source) AS folder, line, count(*) AS n
+FROM (SELECT source, unnest(string_split(string_agg(concat(text, chr(10), '--', chr(10)), ''), chr(10))) AS line FROM documents GROUP BY source)
+GROUP BY ALL""",
         "tree_diff": WALK + "SELECT repo, commit, path, status, old_blob, new_blob FROM diff",
         "tree_diff_introducing": WALK + "SELECT repo, commit, path, new_blob AS blob FROM diff WHERE new_blob IS NOT NULL",
         "tree_diff_replacing": WALK + "SELECT repo, commit, path, old_blob AS blob FROM diff WHERE old_blob IS NOT NULL",
@@ -359,7 +407,7 @@ FROM per_repo AS s LEFT JOIN (
             f"FROM ({page_lines.replace('FROM pages', f'FROM ({PAGES})')})"
         )
     assert FALSE_POSITIVE_PATTERN == LINE_FILTER_PATTERNS["as_coded"]
-    out["scan_stream"] = findings(ENTRIES["documents"], per_entry=None, total=None)
+    out["scan_stream"] = findings(ENTRIES["documents"])
     out["write_new_findings"] = out["scan_stream"]
     out["write_findings"] = document_findings
     out["rate_limit_stream"] = anchored(86_400, 2)

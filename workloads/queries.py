@@ -15,8 +15,8 @@ from credsift.functions.matching import line_context, split_text
 from credsift.operators import entries as entry_ops
 from credsift.operators import findings as finding_ops
 from credsift.operators import history, matching, rates
-from credsift.options import ScanOptions
-from credsift.plans.scan import as_findings, entry_hits, scan_entries, scan_repo_history
+from credsift.options import SERVICE_LIMITS, ScanOptions
+from credsift.plans.scan import entry_hits, scan_entries, scan_repo_history
 from credsift.rules import DEFAULT_RULES, INLINE_TOKEN_RULE
 from credsift.session import shared_folder
 from credsift.sources.entries import entries_from_files, entries_from_table, entries_from_turns, rules_table
@@ -32,7 +32,6 @@ QUERIES: dict[str, Query] = {}
 
 FINDING = ("repo", "type", "severity", "file", "line", "matched_value", "context")
 HIT = ("repo", "path", "rule_id", "masked", "line_idx")
-ALL_HITS = ScanOptions(max_findings_per_entry=None, max_findings=None)
 
 
 def query(function: Query) -> Query:
@@ -127,7 +126,7 @@ def trim_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def line_length_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = entry_ops.split_lines(entries_from_turns(table(spark, sf_dir, "pages"), "pages"))
-    return lines.where(filters.within_line_length(F.col("line"))).select(
+    return lines.where(filters.within_line_length(F.col("line"), SERVICE_LIMITS.max_line_bytes)).select(
         F.col("entry_seq").alias("page_id"), "line_no", F.octet_length("line").cast("long").alias("bytes")
     )
 
@@ -171,12 +170,12 @@ def skip_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def size_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where(filters.within_size(F.col("content"))).select("doc_id")
+    return files(spark, sf_dir).where(filters.within_size(F.col("content"), SERVICE_LIMITS.max_file_bytes)).select("doc_id")
 
 
 @query
 def is_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("doc_id", filters.is_binary(F.col("content")).alias("is_binary"))
+    return files(spark, sf_dir).select("doc_id", filters.is_binary(F.col("content"), SERVICE_LIMITS.binary_prefix_bytes).alias("is_binary"))
 
 
 @query
@@ -184,6 +183,12 @@ def scannable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entry_ops.scannable(files(spark, sf_dir)).select("doc_id", "path")
 
 
+@query
+def scannable_files_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = (SERVICE_LIMITS.max_file_bytes, SERVICE_LIMITS.binary_prefix_bytes)
+    return entry_ops.scannable(files(spark, sf_dir), *limits).select("doc_id", "path")
+
+
 @query
 def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = table(spark, sf_dir, "documents").select(
@@ -194,9 +199,12 @@ def corpus_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables' own files, listed and read as entries: the columnar ones are binary."""
-    entries = entries_from_files(spark, sf_dir, glob="*.parquet")
-    return entries.select("path", filters.is_binary(F.col("content")).alias("is_binary"))
+    """Text files, one folder per source, written from the documents and read as entries line by line."""
+    path = scratch(spark, "files")
+    docs = table(spark, sf_dir, "documents").select("source", "text")
+    docs.repartition("source").write.partitionBy("source").option("lineSep", "\n--\n").text(path)
+    lines = entry_ops.split_lines(entries_from_files(spark, path, glob="part-*"))
+    return lines.groupBy(F.split("path", "/")[0].alias("folder"), "line").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- requests -----------------------------------------------------------------
@@ -209,6 +217,11 @@ def read_requests_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["read_requests"] = QUERIES.pop("read_requests_table")
 
 
+@query
+def rejected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_requests(derived(spark, sf_dir, derive.REQUESTS))[1].select("request_id", "error")
+
+
 @query
 def validate_repo_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted, _ = read_requests(derived(spark, sf_dir, derive.REQUESTS))
@@ -235,8 +248,7 @@ QUERIES["classify_scan_error"] = QUERIES.pop("classify_outcomes")
 def _match_lines(entries: DataFrame) -> DataFrame:
     """Lines to match; documents without any candidate are dropped before they are split."""
     kept = entry_ops.scannable(entries).withColumn("content", F.col("content").cast("string"))
-    lines = entry_ops.split_lines(matching.prefilter(kept, "content"))
-    return lines.where(filters.within_line_length(F.col("line")))
+    return entry_ops.split_lines(matching.prefilter(kept, "content"))
 
 
 _MATCH = ("path", "line_idx", "rule_id", "match_ord", "raw")
@@ -249,8 +261,8 @@ def match_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def match_rules_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = rules_table(spark).where(F.forall("anchors", lambda a: F.length(a) >= matching.ANCHOR_START))
-    return matching.match_rules_join(_match_lines(document_entries(spark, sf_dir)), rules).select(*_MATCH)
+    lines = _match_lines(document_entries(spark, sf_dir))
+    return matching.match_rules_join(lines, rules_table(spark)).select(*_MATCH)
 
 
 @query
@@ -260,25 +272,25 @@ def rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dedupe_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finding_ops.dedupe_findings(entry_hits(document_entries(spark, sf_dir), options=ALL_HITS)).select(*HIT)
+    return finding_ops.dedupe_findings(entry_hits(document_entries(spark, sf_dir))).select(*HIT)
 
 
 @query
 def cap_per_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = entry_hits(document_entries(spark, sf_dir), options=ALL_HITS)
+    hits = entry_hits(document_entries(spark, sf_dir))
     return finding_ops.cap_per_entry(finding_ops.dedupe_findings(hits), 10).select(*HIT)
 
 
 @query
 def dedupe_and_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = entry_hits(document_entries(spark, sf_dir), options=ALL_HITS)
+    hits = entry_hits(document_entries(spark, sf_dir))
     return finding_ops.dedupe_and_cap(hits, 10).select(*HIT)
 
 
 @query
 def cap_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = entry_hits(turn_entries(spark, sf_dir), options=ALL_HITS)
-    kept = finding_ops.cap_total(finding_ops.dedupe_and_cap(hits), 100)
+    hits = entry_hits(turn_entries(spark, sf_dir))
+    kept = finding_ops.cap_total(finding_ops.dedupe_and_cap(hits, 50), 100)
     return kept.select("path", "rule_id", "masked")
 
 
@@ -316,6 +328,11 @@ def scan_documents_as_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_entries(document_entries(spark, sf_dir), options=ScanOptions(line_filter="as_coded")).select(*FINDING)
 
 
+@query
+def scan_documents_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_entries(document_entries(spark, sf_dir), options=SERVICE_LIMITS).select(*FINDING)
+
+
 @query
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_entries(page_entries(spark, sf_dir)).select(*FINDING)
@@ -373,9 +390,13 @@ def latest_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reachable_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, commits, _, _ = repositories(spark, sf_dir)
-    # without the second parents, which shorten the way back
-    linear = commits.withColumn("parents", F.slice("parents", 1, 1))
-    return history.reachable_commits(refs, linear)
+    return history.reachable_commits(refs, commits)
+
+
+@query
+def reachable_commits_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs, commits, _, _ = repositories(spark, sf_dir)
+    return history.reachable_commits(refs, commits, 5)
 
 
 @query
@@ -422,6 +443,18 @@ _COMMIT_FINDING = (
 )
 
 
+@query
+def history_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = history.history_entries(*repositories(spark, sf_dir))
+    return entries.select("repo", "entry_seq", "path", "commit", F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query
+def head_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = history.head_entries(*repositories(spark, sf_dir))
+    return entries.select("repo", "path", "commit", "commit_author", F.octet_length("content").cast("long").alias("bytes"))
+
+
 @query
 def scan_repo_history_introducing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_repo_history(*repositories(spark, sf_dir)).findings.select(*_COMMIT_FINDING)
@@ -507,7 +540,7 @@ def _arriving_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_stream(_arriving_documents(spark, sf_dir), options=ALL_HITS, watermark="3650 days")
+    found = scan_stream(_arriving_documents(spark, sf_dir))
     return _run(spark, found, "stream-findings").select(*FINDING)
 
 
@@ -518,7 +551,7 @@ QUERIES["scan_stream"] = QUERIES.pop("scan_stream_findings")
 def write_new_findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "new-findings")
     log = scratch(spark, "new-findings-log")
-    write_new_findings(_arriving_documents(spark, sf_dir), path, log, options=ALL_HITS).awaitTermination()
+    write_new_findings(_arriving_documents(spark, sf_dir), path, log).awaitTermination()
     return spark.read.parquet(path).select(*FINDING)
 
 
@@ -527,5 +560,4 @@ QUERIES["write_new_findings"] = QUERIES.pop("write_new_findings_table")
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings over the documents in triage order."""
-    hits = finding_ops.dedupe_and_cap(entry_hits(document_entries(spark, sf_dir)))
-    return finding_ops.triage_order(as_findings(finding_ops.cap_total(hits)))
+    return finding_ops.triage_order(scan_entries(document_entries(spark, sf_dir)))
