@@ -19,7 +19,7 @@ from credsift.session import materialise
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE_ROWS = 20_000
 #: Features of the classifier at most, and what a feature needs: toxic rows and standard deviations above chance.
-MOST_FEATURES, LEAST_ROWS, LEAST_Z, LEAST_WEIGHT = 5000, 5, 4.0, 2.5
+MOST_FEATURES, LEAST_ROWS, LEAST_Z, LEAST_WEIGHT = 5000, 4, 4.0, 2.5
 #: Words of a text that count at most, the most toxic ones.
 TOP_WORDS = 3
 #: Stems of words that are features besides the whole word.
@@ -250,6 +250,17 @@ def restored_words(rows: DataFrame, model: np.ndarray, keep: str) -> DataFrame:
     return rows.select(keep, "text").mapInArrow(run, f"{keep} {kind}, words array<string>")
 
 
+def evidence_of(words: DataFrame, judge: Classifier) -> DataFrame:
+    """(evidence, label) of rows with their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [judge.evidence(map(judge.weight, w)) for w in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("label")], ["evidence", "label"])
+
+    return words.select("words", "label").mapInArrow(run, "evidence double, label int")
+
+
 def logistic(x: np.ndarray, y: np.ndarray, strength: float = 1e-3) -> tuple[float, float]:
     """Slope and shift of a slightly restrained logistic curve, by Newton's method."""
     w, design = np.zeros(2), np.c_[x, np.ones(len(x))]
@@ -295,7 +306,7 @@ def fit_classifier(
     )
     weights = {r["feature"]: r["weight"] for r in best.collect()}  # MOST_FEATURES at most
     raw = Classifier(weights, 1.0, 0.0, [])
-    pairs = [(raw.evidence(map(raw.weight, r["words"])), r["label"]) for r in words.toLocalIterator()]  # sample_rows at most
+    pairs = evidence_of(words, raw).collect()  # two numbers a row, sample_rows at most
     x, y = (np.array(c, float) for c in zip(*pairs)) if pairs else (np.zeros(0), np.zeros(0))
     slope, shift = logistic(x, y) if len(set(y.tolist())) == 2 else (1.0, -3.0)
     return Classifier(weights, slope, shift, model.tolist())
