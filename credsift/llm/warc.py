@@ -244,12 +244,13 @@ def transactions(answers: DataFrame, others: DataFrame) -> DataFrame:
 
     Requests and metadata find their response by WARC-Concurrent-To; a missing
     one is null.  Records of other types, or that belong to no response, are
-    left out.
+    left out.  The joins are by shuffle: what a reader gives looks as small to
+    Spark as the list of archives, and must not be broadcast for that.
     """
     fields = [field.split()[0] for field in RECORDS.split(", ")]
     nested = lambda kind: others.where(F.col("type") == kind).select(
         F.col("concurrent_to").alias("record_id"), F.struct("record_id", "target_uri", "date", "block").alias(kind)
-    )
+    ).hint("merge")
     page = lambda name: F.split(name, ":")[2]
     return (
         answers.where(F.col("type").isin("response", "revisit"))
