@@ -248,7 +248,7 @@ def near_duplicates(
 
     Documents of equal sets are one node, named by the least key, so copies cost
     no pairs.  Nodes that share a band key (``BINS`` / ``BAND_ROWS`` bands; a
-    pair at 0.75 has none in common once in 180,000) are candidates, and full
+    pair at 0.75 has none in common once in 190,000) are candidates, and full
     sets confirm them.
 
     Returns key, n_shingles, component_id (the least key of the class), kept

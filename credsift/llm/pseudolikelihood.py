@@ -44,7 +44,7 @@ def count_words(rows: DataFrame) -> Vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "text", 1 << 24):
+            for part in parts(batch, "text", 1 << 23):
                 word, n = np.unique(words_of(part.column("text"), fold=True).hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 

@@ -38,7 +38,7 @@ JOINTS = ".-_*/\\~·,'​‌‍"
 SUSPECT = re.compile(r"[^\w]|[0-9_]|(.)\1\1")
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Tokens that a task remembers; beyond them it starts over.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 def symbol(char: str) -> int:
@@ -65,7 +65,7 @@ def character_model(docs: DataFrame, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            for part in parts(batch, "text"):
+            for part in parts(batch, "text", 1 << 20):
                 total += character_counts(part.column("text"))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["code", "n"])
@@ -334,7 +334,8 @@ def score_texts(
             if found is None:
                 if len(weights) > REMEMBERED:
                     weights.clear()
-                found = weights[token] = tuple((w, judge.weight(w)) for w in restorer.words(token) if judge.weight(w) > 0)
+                words = restore(token.decode("utf-8", "replace"), judge.model)
+                found = weights[token] = tuple((w, judge.weight(w)) for w in words if judge.weight(w) > 0)
             return found
 
         for batch in batches:

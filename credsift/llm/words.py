@@ -126,7 +126,7 @@ def words_of(texts: pa.Array, fold: bool = False) -> Words:
     return Words(hashes, np.searchsorted(starts, offsets), starts, ends, data)
 
 
-def parts(batch: pa.RecordBatch, text: str, most: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, text: str, most: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text each, one row at least."""
     sizes = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
