@@ -1,5 +1,3 @@
-import pytest
-
 from credsift.llm import reputation
 
 
@@ -9,7 +7,7 @@ def judged(spark, urls, outcomes=(), **more):
     return {r["page_id"]: r for r in reputation.filter_urls(pages, labels, **more).collect()}
 
 
-@pytest.mark.parametrize("url, host, path, rule", [
+CASES = [
     ("http://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/"),
     ("https://example.net/fr/", "example.net", "/fr/", "net/"),
     ("http://example.net", "example.net", "", None),
@@ -21,11 +19,14 @@ def judged(spark, urls, outcomes=(), **more):
     ("x://h?a://b/c", "h", "", None),
     ("a://b://c/d", "b:", "//c/d", None),
     ("no scheme", "", "", None), ("", "", "", None), (None, "", "", None), ("://", "", "", None),
-])
-def test_rules(spark, url, host, path, rule):
-    r = judged(spark, [url])[0]
-    assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-    assert r["verdict"] == {"net/": "block", "example.com/de/": "block"}.get(rule, "allow")
+]
+
+
+def test_rules(spark):
+    got = judged(spark, [url for url, *_ in CASES])
+    for i, (_, host, path, rule) in enumerate(CASES):
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule)
+        assert got[i]["verdict"] == {"net/": "block", "example.com/de/": "block"}.get(rule, "allow")
 
 
 def test_reputation_blocks_certainly_bad_hosts_only(spark):
