@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsift.llm.words import Words, parts, words_of
+from credsift.session import materialise
 
 #: Classes of tokens and tokens per class; the last classes hold hash buckets for rare words.
+#: The network predicts the bucket; which word of it stands there is told by the counts of all words.
 CLASSES, PER_CLASS, RARE_CLASSES = 32, 32, 8
 WIDTH, HIDDEN, BATCH, RATE = 2, 16, 4096, 0.15
 #: Passes over disjoint parts of the corpus; the models of all tasks are averaged after each.
 ROUNDS = 2
+#: What is taken off the count of every rare word, for words that the corpus does not have.
+DISCOUNT = 0.5
 
 TOKENS = CLASSES * PER_CLASS
 FREQUENT = TOKENS - RARE_CLASSES * PER_CLASS
@@ -39,8 +43,8 @@ class Vocabulary:
         return np.where(self.hashes[at] == hashes, self.tokens[at], rare)
 
 
-def count_words(rows: DataFrame) -> Vocabulary:
-    """Counts every word of every text; the frequent ones become tokens, the others share buckets."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n): the hash of every distinct word of all texts and how often it stands there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +52,15 @@ def count_words(rows: DataFrame) -> Vocabulary:
                 word, n = np.unique(words_of(part.column("text"), fold=True).hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    counted = rows.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return materialise(rows.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def count_words(rows: DataFrame) -> Vocabulary:
+    """Counts every word of every text; the frequent ones become tokens, the others share buckets."""
+    return vocabulary_of(word_counts(rows))
+
+
+def vocabulary_of(counted: DataFrame) -> Vocabulary:
     bucket = F.pmod(F.col("word"), F.lit(TOKENS - FREQUENT))
     frequent = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     total = counted.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect()
@@ -166,6 +178,17 @@ def windows(words: Words, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return tokens, around
 
 
+def distinct_words(hashes: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, how often, offsets of the rows): the distinct words of each row, sorted."""
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.r_[first, len(row)]).astype(np.int32)
+    return hashes[first], times, np.searchsorted(row[first], np.arange(rows + 1)).astype(np.int32)
+
+
 class Trainer:
     """Steps over batches; each parameter's step shrinks with what it has moved."""
 
@@ -224,13 +247,16 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
 
     Words are counted and the network is trained over all rows; then every
     token of every text is predicted from the ``WIDTH`` words on either side,
-    and the log probabilities are summed.  A rare word counts as its bucket.
+    and the log probabilities are summed.  The network gives a rare word's
+    bucket; its share of the bucket, (n - DISCOUNT) / n_bucket, comes from the
+    counts of all words, joined to the words of each row.
     Null and empty texts have no tokens, a sum of 0 and a null mean; repeated
     rows get equal scores, and count as often as they stand there.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    texts = rows.select("text").where("text is not null")
-    vocabulary = count_words(texts)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = docs.select(F.col(text).alias("text")).where("text is not null")
+    counted = word_counts(texts)
+    vocabulary = vocabulary_of(counted)
     network = train(texts, vocabulary, rounds)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, network.flat))
 
@@ -244,13 +270,29 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
                 logs = np.zeros(len(tokens))
                 for i in range(0, len(tokens), BATCH):
                     logs[i : i + BATCH] = network.log_probabilities(around[i : i + BATCH], tokens[i : i + BATCH])
+                rare = tokens >= FREQUENT
+                logs[rare] -= np.log(known.counts[tokens[rare]])
                 n = np.diff(words.offsets)
                 sums = np.r_[0.0, np.cumsum(logs)]
                 sums = sums[words.offsets[1:]] - sums[words.offsets[:-1]]
+                held, times, offsets = distinct_words(words.hashes[rare], np.repeat(np.arange(len(n)), n)[rare], len(n))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array(n.astype(np.int64)), pa.array(sums)], ["key", "n_tokens", "log_likelihood"]
+                    [part.column("row"), part.column("key"), pa.array(n.astype(np.int64)), pa.array(sums),
+                     pa.ListArray.from_arrays(offsets, held.view(np.int64)), pa.ListArray.from_arrays(offsets, times)],
+                    ["row", "key", "n_tokens", "log_likelihood", "words", "times"],
                 )
 
     kind = rows.schema["key"].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"key {kind}, n_tokens long, log_likelihood double")
-    return scored.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))).withColumnRenamed("key", key)
+    # written before it is used twice: a row's number holds for this one table only
+    scored = materialise(
+        rows.mapInArrow(run, f"row long, key {kind}, n_tokens long, log_likelihood double, words array<long>, times array<int>")
+    )
+    rare = scored.select("row", F.inline(F.arrays_zip("words", "times"))).withColumnRenamed("words", "word")
+    shares = (
+        rare.join(counted, "word").groupBy("row")
+        .agg(F.sum(F.col("times") * F.log(F.col("n") - F.lit(DISCOUNT))).alias("inside"))
+    )
+    whole = scored.join(shares, "row", "left").select(
+        F.col("key").alias(key), "n_tokens", (F.col("log_likelihood") + F.coalesce("inside", F.lit(0.0))).alias("log_likelihood")
+    )
+    return whole.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -69,3 +70,33 @@ def test_counts_cover_all_words_and_empty_table(spark):
     counts = pl.count_words(docs).counts
     assert counts.sum() == 1571 and counts.max() == 71 and (counts >= 0).all()
     assert pl.score_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_unseen_strings_score_below_prose_of_many_words(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    weights = [1 / (i + 20) for i in range(3000)]
+    prose = [(i, " ".join(rnd.choices(vocabulary, weights, k=60))) for i in range(600)]
+    junk = [(9000 + i, " ".join(f"{rnd.getrandbits(60):x}" for _ in range(60))) for i in range(30)]
+    got = {r["doc_id"]: r for r in pl.score_documents(spark.createDataFrame(prose + junk, "doc_id long, text string")).collect()}
+    assert len({w for _, text in prose for w in text.split()}) > pl.FREQUENT
+    assert max(got[i]["mean_log_likelihood"] for i, _ in junk) < min(got[i]["mean_log_likelihood"] for i, _ in prose)
+
+
+def test_rare_words_share_their_bucket_by_count(spark):
+    """An untrained network predicts about by counts alone, so every text's sum can be told from the words."""
+    text = " ".join(f"f{i} " * 8 for i in range(pl.FREQUENT)) + " ".join(f"r{i % 900}" for i in range(1200))
+    texts = {1: text, 2: "r1 r1 r899", None: "F3", 3: None}
+    docs = spark.createDataFrame([(i, texts[i]) for i in (1, 2, 2, None, 3)], "doc_id long, text string")
+    known = pl.count_words(docs.where("text is not null"))
+    n = Counter(w for i in (1, 2, 2, None) for w in texts[i].lower().split())
+    token = {w: int(known.of(words_of(pa.array([w])).hashes)[0]) for w in n}
+    assert all((token[w] < pl.FREQUENT) == w.startswith("f") for w in n)
+    share = np.log((known.counts + 1) / (known.counts.sum() + pl.TOKENS))
+    inside = {w: np.log((n[w] - pl.DISCOUNT) / known.counts[t]) if t >= pl.FREQUENT else 0 for w, t in token.items()}
+    got = pl.score_documents(docs, rounds=0).collect()
+    assert len(got) == 5
+    for r in got:
+        words = (texts[r["doc_id"]] or "").lower().split()
+        assert r["n_tokens"] == len(words)
+        assert abs(r["log_likelihood"] - sum(share[token[w]] + inside[w] for w in words)) <= 0.3 * len(words)
