@@ -19,8 +19,8 @@ BAND_ROWS = 4
 SIMILARITY = 75  # percent
 #: Elements that one step of a sketch hashes at least.
 STEP = 2048
-#: Shingles of a block of sets, and columns that a task counts at a time.
-CELL_SHINGLES, CELL_COLUMNS = 250_000, 2048
+#: Shingles and rows of a block of sets, and columns that a task counts at a time.
+CELL_SHINGLES, CELL_ROWS, CELL_COLUMNS = 250_000, 2048, 2048
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -139,10 +139,10 @@ def cell_links(percent: int):
             order = np.argsort(at[hit], kind="stable")
             sides.append((row[hit][order], at[hit][order]))
         for lo in range(0, len(both), CELL_COLUMNS):
-            parts = []
+            parts, wide = [], min(CELL_COLUMNS, len(both) - lo)
             for rows, (row, at) in zip((a, b), sides):
-                x, y = np.searchsorted(at, (lo, lo + CELL_COLUMNS))
-                table = np.zeros((len(rows), CELL_COLUMNS), np.float32)
+                x, y = np.searchsorted(at, (lo, lo + wide))
+                table = np.zeros((len(rows), wide), np.float32)
                 table[row[x:y], at[x:y] - lo] = 1
                 parts.append(table)
             counts += parts[0] @ parts[1].T
@@ -176,6 +176,24 @@ def cell_links(percent: int):
     return run
 
 
+def with_company(family: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """The rows of ``family`` that may be alike to another of their family.
+
+    A set with more than 100 - percent of its shingles to itself has too few left
+    to share.  Members that are linked already share enough and stay.
+    """
+    own = (
+        family.select("family", "id").join(sets, "id").select("family", "id", F.explode("shingles").alias("shingle"))
+        .groupBy("family", "shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("holders"))
+        .where("holders = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    )
+    alone = (
+        materialise(own).join(sets, "id").where((F.size("shingles") - F.col("own")) * 100 < F.size("shingles") * percent)
+        .select("id")
+    )
+    return family.join(materialise(alone), "id", "left_anti")
+
+
 def family_links(family: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """(a, b): links inside families between members of different components.
 
@@ -183,20 +201,22 @@ def family_links(family: DataFrame, sets: DataFrame, percent: int = SIMILARITY)
     component are held against all its members, block by block: the sets of
     two blocks meet in one task, which counts all their intersections at once
     and reports links, not pairs.  Blocks hold members of like set sizes and a
-    bounded number of shingles; blocks whose sizes are too far apart to be
-    alike do not meet.
+    bounded number of shingles and of rows; blocks whose sizes are too far apart
+    to be alike do not meet.  Members whose shingles are mostly theirs alone can
+    have no link and are not held against any.
     """
     mixed = (
         family.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
     )
     family = materialise(family.join(materialise(mixed), "family", "left_semi"))
+    family = materialise(with_company(family, sets, percent))
     sizes = family.groupBy("family", "component").count()
     main = sizes.groupBy("family").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
     width = F.floor(F.log(F.size("shingles").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     placed = family.join(materialise(main), "family").join(sets, "id").withColumn("width", width)
     held = materialise(
-        placed.groupBy("family", "width").agg(F.sum(F.size("shingles")).alias("all"))
-        .select("family", "width", F.ceil(F.col("all") / CELL_SHINGLES).cast("int").alias("blocks"))
+        placed.groupBy("family", "width").agg(F.sum(F.size("shingles")).alias("all"), F.count(F.lit(1)).alias("rows"))
+        .select("family", "width", F.ceil(F.greatest(F.col("all") / CELL_SHINGLES, F.col("rows") / CELL_ROWS)).cast("int").alias("blocks"))
     )
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = materialise(

@@ -90,3 +90,23 @@ def test_components(spark):
         groups.link(a, b)
     assert got == {x: groups.find(x) for x in groups.up}
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("cell", [2048, 7])
+def test_blocks_are_bounded_by_rows(spark, monkeypatch, cell):
+    monkeypatch.setattr(minhash, "CELL_ROWS", cell)
+    rnd = random.Random(cell)
+    rows = [(i, f"a{i // 12} page not found here b{i % 12}") for i in range(144)] + [*family(rnd, 500, 20, 40, 4)]
+    rows += [(1000 + i, f"page not found error code {i}") for i in range(60)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near(spark, rows)}
+    assert got == by_hand(rows)
+
+
+def test_large_family_of_short_texts_that_are_alike_but_not_linked(spark):
+    n = 224
+    rows = [(i, f"a{i // n} page not found here b{i % n}") for i in range(n * n)]  # 1 of 3 shingles in common
+    rows += [(60_000 + i, f"page not found error code {i}") for i in range(5000)]
+    tail = " ".join(f"t{i}" for i in range(15))
+    rows += [(70_000, f"a0 page not found here b0 {tail} x"), (70_001, f"a0 page not found here b0 {tail} y")]
+    got = {r["doc_id"]: r["component_id"] for r in near(spark, rows)}
+    assert got == {i: min(i, 70_000) for i, _ in rows}
