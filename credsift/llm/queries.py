@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credsift.llm import kdtree, minhash, mixing, pieces, pseudolikelihood, reputation, substrings, toxicity, warc, winnowing
+from credsift.llm import (
+    alignment, kdtree, minhash, mixing, pieces, pseudolikelihood, reputation, substrings, toxicity, warc, winnowing,
+)
+from credsift.session import materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,6 +131,15 @@ def op9_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    models = (public_tokenizers.path(m) for m in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = alignment.align_texts(table(spark, sf_dir, "documents"), *models)
+    return alignment.link_support(materialise(alignment.digest_groups(aligned))).drop("row")
+
+
 # -- SQL ------------------------------------------------------------------------
 
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
