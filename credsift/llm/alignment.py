@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from credsift.session import materialise
 
 #: Bytes of text that are encoded at a time.
 AT_ONCE = 1 << 19
+#: Signs before an id in the text of the groups, and a bound of both vocabularies.
+SIGNS, MOST_IDS = ("", ",", ";", "|"), 1 << 16
 #: A pair of ids as one number: A's id times this, plus B's id.
 PAIR = 1 << 32
 
@@ -79,30 +82,104 @@ class Encoders:
             yield (a, b) if same else ([], [])
 
 
-def align(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """Index behind the last token on both sides of each group, in order.
+def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
+    """Index behind the last token of each group, in order, on either side.
 
     ``a_ends`` and ``b_ends`` are the byte places at which tokens end.  The
     common ones are the intersection of the keys of two dictionaries from end
     to index; sorted, they cut both lists.
     """
-    a_at = {end: i for i, end in enumerate(a_ends, 1)}
-    b_at = {end: i for i, end in enumerate(b_ends, 1)}
-    return [(a_at[end], b_at[end]) for end in sorted(a_at.keys() & b_at.keys())]
-
-
-def _ends(ids: list[int], sizes: np.ndarray) -> list[int]:
-    return np.cumsum(sizes[ids]).tolist() if ids else []
+    a_at, b_at = dict(zip(a_ends, range(1, len(a_ends) + 1))), dict(zip(b_ends, range(1, len(b_ends) + 1)))
+    common = sorted(a_at.keys() & b_at.keys())
+    return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a row, and where each list begins and the last one ends."""
+    offsets = np.zeros(len(lists) + 1, np.int64)
+    np.cumsum([len(x) for x in lists], out=offsets[1:])
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(offsets[-1])), offsets
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+
+
+def _aligned(ids: list[tuple[list[int], list[int]]], a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[pa.Array]:
+    """The columns a_ids, b_ids, a_cuts, b_cuts, pairs and pair_counts of some texts."""
+    sides = [_flat([x[side] for x in ids]) for side in (0, 1)]
+    ends = [np.cumsum(sizes[flat]) for (flat, _), sizes in zip(sides, (a_sizes, b_sizes))]
+    (a, a_from), (b, b_from) = sides
+    cuts, pairs, counts = [], [], []
+    for i, j, k, m in zip(a_from[:-1].tolist(), a_from[1:].tolist(), b_from[:-1].tolist(), b_from[1:].tolist()):
+        # both sides spell the same bytes so far, so ends are counted from the first text
+        cut = align(ends[0][i:j].tolist(), ends[1][k:m].tolist())
+        cuts.append(cut)
+        last = [side[np.array(at, np.int64) + start - 1] for side, at, start in zip((a, b), cut, (i, k))]
+        linked, n = np.unique(last[0] * PAIR + last[1], return_counts=True)
+        pairs.append(linked)
+        counts.append(n)
+    a_cuts, cuts_from = _flat([x[0] for x in cuts])
+    b_cuts, _ = _flat([x[1] for x in cuts])
+    pairs_from = np.r_[0, np.cumsum([len(x) for x in pairs])]
+    int32, none = pa.int32(), np.zeros(0, np.int64)
+    return [
+        _lists(a, a_from, int32), _lists(b, b_from, int32), _lists(a_cuts, cuts_from, int32), _lists(b_cuts, cuts_from, int32),
+        _lists(np.concatenate([none, *pairs]), pairs_from, pa.int64()), _lists(np.concatenate([none, *counts]), pairs_from, int32),
+    ]
+
+
+def names() -> pa.Array:
+    """Decimal names of ids behind each of the signs that may stand before one: none, comma, semicolon, bar."""
+    return pa.array([sign + str(i) for i in range(MOST_IDS) for sign in SIGNS], pa.large_string())
+
+
+def groups_text(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> np.ndarray:
+    """Indices into `names` that spell ``a1,a2|b1;a3|b2,b3``, the groups of a text in order."""
+    a_starts, b_starts = np.r_[0, a_cuts[:-1]], np.r_[0, b_cuts[:-1]]
+    out = np.empty(len(a) + len(b), np.int64)
+    # of each side, the tokens of all earlier groups of the other come before
+    a_place = np.arange(len(a)) + np.repeat(b_starts, a_cuts - a_starts)
+    b_place = np.arange(len(b)) + np.repeat(a_cuts, b_cuts - b_starts)
+    out[a_place], out[b_place] = len(SIGNS) * a + 1, len(SIGNS) * b + 1
+    out[a_place[a_starts]] += 1
+    out[b_place[b_starts]] += 2
+    out[0] -= 2
+    return out
+
+
+def _digest(spelled: pa.Array) -> str:
+    """SHA-256 of the strings put together: the buffer that holds them."""
+    return sha256(spelled.buffers()[2]).hexdigest()
+
+
+def _summed(batch: pa.RecordBatch, spelled: pa.Array) -> pa.RecordBatch:
+    """Numbers of tokens, groups and links, and the digest of the groups, in place of ids and cuts."""
+    lists = []
+    for name in ("a_ids", "b_ids", "a_cuts", "b_cuts"):
+        column = batch.column(name)
+        flat, offsets = column.values.to_numpy().astype(np.int64), column.offsets.to_numpy()
+        lists.append([flat[i:j] for i, j in zip(offsets[:-1], offsets[1:])])
+    sizes = [pa.array([len(x) for x in lists[i]], pa.int64()) for i in (0, 1, 2, 2)]
+    digests = [_digest(spelled.take(pa.array(groups_text(*four)))) if len(four[0]) else "" for four in zip(*lists)]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("row"), batch.column("key"), *sizes, pa.array(digests, pa.string()), batch.column("pairs"), batch.column("pair_counts")],
+        names=["row", "key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "pair_counts"],
+    )
 
 
-def align_texts(docs: DataFrame, a_model: str, b_model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def align_texts(
+    docs: DataFrame, a_model: str, b_model: str, key: str = "doc_id", text: str = "text", summed: bool = False
+) -> DataFrame:
     """``row, key, a_ids, b_ids, a_cuts, b_cuts, pairs, pair_counts`` of every row of ``docs``.
 
     Group i takes the tokens of A between ``a_cuts[i - 1]`` (0 for the first)
     and ``a_cuts[i]``, and those of B likewise.  A group's last tokens are
     linked, as only they end together; ``pairs`` are the distinct linked pairs
     of ids, ``pair_counts`` how often the text has each.  ``row`` numbers the
-    rows, so repeated ids stay apart.
+    rows, so repeated ids stay apart.  With ``summed``, ids and cuts are summed
+    up where they are made: ``n_a, n_b, n_groups, n_links, groups_sha256`` stand
+    in their place.
 
     ``a_model`` (byte-level BPE, JSON) and ``b_model`` (SentencePiece) are
     paths that the driver reads; each task gets the files' bytes.  Strings of
@@ -120,31 +197,22 @@ def align_texts(docs: DataFrame, a_model: str, b_model: str, key: str = "doc_id"
         coders = Encoders.load(*shared.value)
         a_sizes, b_sizes = (np.array([len(x) for x in side]) for side in (coders.a_bytes, coders.b_bytes))
         number = TaskContext.get().partitionId() << 40
+        spelled = names() if summed else None
         for batch in batches:
             for part in parts(batch, "text", AT_ONCE):
-                out: list[list] = [[] for _ in range(6)]
-                for a, b in coders.encode(readable(part.column("text"))):
-                    cuts = align(_ends(a, a_sizes), _ends(b, b_sizes))
-                    a_cuts, b_cuts = ([c[i] for c in cuts] for i in (0, 1))
-                    a_last, b_last = (np.array(ids, np.int64)[np.array(at, np.int64) - 1] for ids, at in ((a, a_cuts), (b, b_cuts)))
-                    pairs, counts = np.unique(a_last * PAIR + b_last, return_counts=True)
-                    for column, value in zip(out, (a, b, a_cuts, b_cuts, pairs, counts)):
-                        column.append(value)
-                ids, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(number, number + len(part)), pa.int64()), part.column("key"),
-                        *[pa.array(x, ids) for x in out[:4]], pa.array(out[4], longs), pa.array(out[5], ids),
-                    ],
+                columns = _aligned(list(coders.encode(readable(part.column("text")))), a_sizes, b_sizes)
+                out = pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(number, number + len(part)), pa.int64()), part.column("key"), *columns],
                     names=["row", "key", "a_ids", "b_ids", "a_cuts", "b_cuts", "pairs", "pair_counts"],
                 )
+                yield _summed(out, spelled) if summed else out
                 number += len(part)
 
     kind = rows.schema["key"].dataType.simpleString()
+    whole = "a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>"
+    sums = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
     return rows.mapInArrow(
-        run,
-        f"row long, key {kind}, a_ids array<int>, b_ids array<int>, a_cuts array<int>, b_cuts array<int>, "
-        "pairs array<long>, pair_counts array<int>",
+        run, f"row long, key {kind}, {sums if summed else whole}, pairs array<long>, pair_counts array<int>"
     ).withColumnRenamed("key", key)
 
 
@@ -158,42 +226,6 @@ def readable(texts: pa.Array) -> list[str]:
         return [None if x is None or x.decode(errors="replace").encode() != x else x.decode() for x in raw]
 
 
-def groups_text(a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the groups of a text in order."""
-    a, b = (list(map(str, ids.tolist())) for ids in (a, b))
-    out, i, k = [], 0, 0
-    for j, m in zip(a_cuts.tolist(), b_cuts.tolist()):
-        out.append(",".join(a[i:j]) + "|" + ",".join(b[k:m]))
-        i, k = j, m
-    return ";".join(out)
-
-
-def digest_groups(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``aligned`` with its ids and cuts summed up: ``row, key, n_a, n_b, n_groups, n_links, groups_sha256, pairs, pair_counts``."""
-    columns = ("a_ids", "b_ids", "a_cuts", "b_cuts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = []
-            for name in columns:
-                column = batch.column(name)
-                flat, offsets = column.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))]
-                lists.append([flat[i:j] for i, j in zip(offsets[:-1], offsets[1:])])
-            sizes = [pa.array([len(x) for x in lists[i]], pa.int64()) for i in (0, 1, 2, 2)]
-            digests = [sha256(groups_text(*four).encode()).hexdigest() if len(four[0]) else "" for four in zip(*lists)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("key"), *sizes, pa.array(digests, pa.string()), batch.column("pairs"), batch.column("pair_counts")],
-                names=["row", "key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "pair_counts"],
-            )
-
-    kind = aligned.schema[key].dataType.simpleString()
-    return aligned.withColumnRenamed(key, "key").mapInArrow(
-        run,
-        f"row long, key {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
-        "pairs array<long>, pair_counts array<int>",
-    ).withColumnRenamed("key", key)
-
-
 def links(aligned: DataFrame) -> DataFrame:
     """``row, pair, n``: the distinct pairs of each text."""
     return aligned.select("row", F.explode(F.arrays_zip("pairs", "pair_counts")).alias("_l")).select(
@@ -209,18 +241,18 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.join(most, "b_id").select("pair", "a_id", "b_id", "n", (F.col("n") == F.col("_most")).alias("best"))
 
 
-def link_support(digested: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``digested`` with ``n_best`` and ``count_sum``, without its pairs.
+def link_support(aligned: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Texts with their sums, as written by `align_texts`, with ``n_best`` and ``count_sum``, without its pairs.
 
     The table of pairs grows with the vocabularies, not the documents; whether
     it is broadcast is left to Spark, which knows its size as it is written.
     """
-    counts = materialise(pair_counts(digested).select("pair", F.col("n").alias("_count"), "best"))
-    support = links(digested).join(counts, "pair").groupBy("row").agg(
+    counts = materialise(pair_counts(aligned).select("pair", F.col("n").alias("_count"), "best"))
+    support = links(aligned).join(counts, "pair").groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("_count")).alias("count_sum")
     )
     zero = F.lit(0).cast("long")
-    return digested.join(support, "row", "left").select(
+    return aligned.join(support, "row", "left").select(
         "row", key, "n_a", "n_b", "n_groups", "n_links",
         F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256",
     )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsift.llm import (
-    alignment, kdtree, minhash, mixing, pieces, pseudolikelihood, reputation, substrings, toxicity, warc, winnowing,
+    alignment, identifiers, kdtree, minhash, mixing, pieces, pseudolikelihood, reputation, substrings, toxicity, warc, winnowing,
 )
 from credsift.session import materialise
 
@@ -136,8 +136,21 @@ def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     models = (public_tokenizers.path(m) for m in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
-    aligned = alignment.align_texts(table(spark, sf_dir, "documents"), *models)
-    return alignment.link_support(materialise(alignment.digest_groups(aligned))).drop("row")
+    aligned = materialise(alignment.align_texts(table(spark, sf_dir, "documents"), *models, summed=True))
+    return alignment.link_support(aligned).drop("row")
+
+
+@query
+def op12_find_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identifiers.find_identifiers(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [
+        F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in identifiers.KINDS
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(identifiers.spans_text(base), 256).alias("base_sha256"),
+        identifiers.spans_text(F.col("spans")).alias("spans"),
+    )
 
 
 # -- SQL ------------------------------------------------------------------------
