@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsift.llm import (
-    alignment, identifiers, kdtree, minhash, mixing, pieces, pseudolikelihood, reputation, substrings, toxicity, warc, winnowing,
+    alignment, dialogues, identifiers, kdtree, minhash, mixing, pieces, pseudolikelihood, reputation, substrings, toxicity, warc, winnowing,
 )
 from credsift.session import materialise
 
@@ -153,6 +153,19 @@ def op12_find_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    damaged, copies = dialogues.damage(turns)
+    found = dialogues.summarise(dialogues.repair(damaged, copies))
+    each = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return each.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 # -- SQL ------------------------------------------------------------------------
 
 WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"

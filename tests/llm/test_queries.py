@@ -1,6 +1,8 @@
 """The registered queries on a small table set: against their SQL, or their contract's columns."""
 
 import hashlib
+import re
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -8,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from credsift.llm.queries import QUERIES, SQL
+from tests.llm.test_dialogues import expected
 
 TABLES = Path("/root/testdata/sf0.001")
 
@@ -22,7 +25,7 @@ def duck():
 
 def test_registered():
     assert {*QUERIES, "pipeline"} <= set(entry_point.queries()) and set(SQL) <= set(entry_point.oracle_sql())
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 @pytest.mark.parametrize("name", SQL)
@@ -43,6 +46,14 @@ COLUMNS = {
         "doc_id": "bigint", "n_chars": "bigint", "edited_sha256": "string", "fingerprint": "string",
         "edited_fingerprint": "string", "near_edited": "double", "near_next": "double",
     },
+    "op11_align_tokens": {
+        "doc_id": "bigint", "n_a": "bigint", "n_b": "bigint", "n_groups": "bigint", "n_links": "bigint", "n_best": "bigint",
+        "count_sum": "bigint", "groups_sha256": "string",
+    },
+    "op12_find_identifiers": {
+        "doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint",
+        "base_sha256": "string", "spans": "string",
+    },
     "op10_pieces": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
 }
 
@@ -66,3 +77,19 @@ def test_whole_table(spark, duck, name):
         same = {}
         assert all(same.setdefault(want[r["doc_id"]], r["fingerprint"]) == r["fingerprint"] for r in rows)
         assert sum(r["near_edited"] for r in rows) > 10 * sum(r["near_next"] for r in rows)
+
+
+def test_whole_conversations(spark, duck):
+    rows = QUERIES["op13_repair_conversations"](spark, str(TABLES)).collect()
+    assert sorted(r["conv_id"] for r in rows) == sorted(x for x, in duck.execute("SELECT DISTINCT conv_id FROM conversations").fetchall())
+    turns = duck.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+    want = expected([turn for t in turns for turn in damaged(*t)])
+    none = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert all(tuple(r)[1:] == want.get(r["conv_id"], none) for r in rows)
+
+
+def damaged(conv, turn, role, text):
+    kind = zlib.crc32(f"{conv}:{turn}".encode()) % 20
+    role = "user" if kind == 4 else role
+    text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+    return [(conv, turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
