@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from credsift.session import materialise
 AT_ONCE = 1 << 19
 #: Signs before an id in the text of the groups, and a bound of both vocabularies.
 SIGNS, MOST_IDS = ("", ",", ";", "|"), 1 << 16
+#: How byte-level models cut a text into words.  Fixed value.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_BLANK = 1 << 15
 #: A pair of ids as one number: A's id times this, plus B's id.
 PAIR = 1 << 32
 
@@ -39,9 +43,9 @@ def byte_alphabet() -> dict[str, int]:
 
 @dataclass
 class Encoders:
-    """Both tokenizers in one task, with the bytes and the decimal name of each id."""
+    """Both tokenizers in one task, with the bytes of each id."""
 
-    a: object
+    a: Callable[[list[str]], list[np.ndarray]]
     b: object
     a_bytes: list[bytes]
     b_bytes: list[bytes]
@@ -50,36 +54,66 @@ class Encoders:
     def load(cls, a_model: bytes, b_model: bytes) -> Encoders:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import sentencepiece
-        from tokenizers import Tokenizer
-
-        a = Tokenizer.from_str(a_model.decode())
-        a.encode_special_tokens = True
-        byte_of = byte_alphabet()
-        special = {i for i, t in a.get_added_tokens_decoder().items() if t.special}
-        a_bytes = [
-            b"" if i in special else bytes(byte_of[c] for c in a.id_to_token(i)) for i in range(a.get_vocab_size())
-        ]
+
+        encode, a_bytes = _byte_level(a_model)
         b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         b_bytes = [
             bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(SPACE, " ").encode()
             for i in range(b.get_piece_size())
         ]
-        return cls(a, b, a_bytes, b_bytes)
+        return cls(encode, b, a_bytes, b_bytes)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of each text; none where the bytes of either side are not those of blank and text."""
         plain = [t for t in texts if t]
-        of_a = self.a.encode_batch_fast([" " + t for t in plain], add_special_tokens=False)
-        of_b = self.b.encode(plain, num_threads=1)
-        coded = zip(plain, of_a, of_b)
+        coded = zip(plain, self.a([" " + t for t in plain]), self.b.encode(plain, num_threads=1))
+        none = np.zeros(0, np.int64)
         for text in texts:
             if not text:
-                yield [], []
+                yield none, none
                 continue
             text, a, b = next(coded)
-            a, whole = a.ids, b" " + text.encode()
-            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
-            yield (a, b) if same else ([], [])
+            whole = b" " + text.encode()
+            same = b"".join([self.a_bytes[i] for i in a.tolist()]) == whole == b"".join([self.b_bytes[i] for i in b])
+            yield (a, np.array(b, np.int64)) if same else (none, none)
+
+
+def _byte_level(model: bytes) -> tuple[Callable[[list[str]], list[np.ndarray]], list[bytes]]:
+    """An encoder for a byte-level BPE model (JSON), and the bytes of its ids.
+
+    Where the merges make ids in order and words are cut by the usual pattern,
+    as in most models of this kind, the ids are ranks and the faster of two
+    libraries gives the same ones (compared for every code point).  It fails on
+    very long runs of white space, so texts with one are left to the other.
+    """
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_str(model.decode())
+    slow.encode_special_tokens = True
+    byte_of = byte_alphabet()
+    special = {i for i, t in slow.get_added_tokens_decoder().items() if t.special}
+    surfaces = [b"" if i in special else bytes(byte_of[c] for c in slow.id_to_token(i)) for i in range(slow.get_vocab_size())]
+    told = json.loads(model)
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in told["model"]["merges"]]
+    ids = told["model"]["vocab"]
+    words = told["pre_tokenizer"] or {}
+    if (
+        all(ids.get(x + y) == 256 + i for i, (x, y) in enumerate(merges)) and told["normalizer"] is None
+        and words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
+    ):
+        import tiktoken
+
+        ranks = {surfaces[i]: i for t, i in ids.items() if i not in special}
+        fast = tiktoken.Encoding("bytes", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        blank = re.compile(rf"\s{{{LONG_BLANK}}}")
+
+        def encode(text: str) -> list[int]:
+            if len(text) > LONG_BLANK and blank.search(text):
+                return slow.encode(text, add_special_tokens=False).ids
+            return fast.encode_ordinary(text)
+
+        return lambda texts: [np.array(encode(t), np.int64) for t in texts], surfaces
+    return lambda texts: [np.array(x.ids, np.int64) for x in slow.encode_batch_fast(texts, add_special_tokens=False)], surfaces
 
 
 def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
@@ -94,18 +128,18 @@ def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
     return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All numbers in a row, and where each list begins and the last one ends."""
     offsets = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(x) for x in lists], out=offsets[1:])
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(offsets[-1])), offsets
+    return np.concatenate([np.zeros(0, np.int64), *lists]), offsets
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-def _aligned(ids: list[tuple[list[int], list[int]]], a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[pa.Array]:
+def _aligned(ids: list[tuple[np.ndarray, np.ndarray]], a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[pa.Array]:
     """The columns a_ids, b_ids, a_cuts, b_cuts, pairs and pair_counts of some texts."""
     sides = [_flat([x[side] for x in ids]) for side in (0, 1)]
     ends = [np.cumsum(sizes[flat]) for (flat, _), sizes in zip(sides, (a_sizes, b_sizes))]
@@ -113,9 +147,9 @@ def _aligned(ids: list[tuple[list[int], list[int]]], a_sizes: np.ndarray, b_size
     cuts, pairs, counts = [], [], []
     for i, j, k, m in zip(a_from[:-1].tolist(), a_from[1:].tolist(), b_from[:-1].tolist(), b_from[1:].tolist()):
         # both sides spell the same bytes so far, so ends are counted from the first text
-        cut = align(ends[0][i:j].tolist(), ends[1][k:m].tolist())
+        cut = [np.array(x, np.int64) for x in align(ends[0][i:j].tolist(), ends[1][k:m].tolist())]
         cuts.append(cut)
-        last = [side[np.array(at, np.int64) + start - 1] for side, at, start in zip((a, b), cut, (i, k))]
+        last = [side[at + start - 1] for side, at, start in zip((a, b), cut, (i, k))]
         linked, n = np.unique(last[0] * PAIR + last[1], return_counts=True)
         pairs.append(linked)
         counts.append(n)
