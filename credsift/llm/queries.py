@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from credsift.llm import (
@@ -144,11 +144,12 @@ def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_find_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identifiers.find_identifiers(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
-    counts = [
-        F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in identifiers.KINDS
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(identifiers.spans_text(base), 256).alias("base_sha256"),
+        "doc_id", *map(count, identifiers.KINDS), F.sha2(identifiers.spans_text(base), 256).alias("base_sha256"),
         identifiers.spans_text(F.col("spans")).alias("spans"),
     )
 
