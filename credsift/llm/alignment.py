@@ -8,24 +8,28 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credsift.llm.pieces import SPACE
-from credsift.llm.words import parts
+from credsift.llm.pieces import BLANK, EMPTY, SPACE
+from credsift.llm.words import parts, text_bytes
 from credsift.session import materialise
 
 #: Bytes of text that are encoded at a time.
-AT_ONCE = 1 << 19
+AT_ONCE = 1 << 21
 #: Signs before an id in the text of the groups, and a bound of both vocabularies.
 SIGNS, MOST_IDS = ("", ",", ";", "|"), 1 << 16
 #: How byte-level models cut a text into words.  Fixed value.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_BLANK = 1 << 15
+#: Chunks that a task remembers; beyond them it starts over.
+REMEMBERED = 700_000
 #: A pair of ids as one number: A's id times this, plus B's id.
 PAIR = 1 << 32
 
@@ -45,8 +49,8 @@ def byte_alphabet() -> dict[str, int]:
 class Encoders:
     """Both tokenizers in one task, with the bytes of each id."""
 
-    a: Callable[[list[str]], list[np.ndarray]]
-    b: object
+    a: Callable[[list[str]], list[list[int]]]
+    b: Callable[[list[str]], list[list[int]]]
     a_bytes: list[bytes]
     b_bytes: list[bytes]
 
@@ -57,28 +61,14 @@ class Encoders:
 
         encode, a_bytes = _byte_level(a_model)
         b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
-        b_bytes = [
-            bytes([int(b.id_to_piece(i)[3:-1], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace(SPACE, " ").encode()
-            for i in range(b.get_piece_size())
-        ]
-        return cls(encode, b, a_bytes, b_bytes)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The ids of each text; none where the bytes of either side are not those of blank and text."""
-        plain = [t for t in texts if t]
-        coded = zip(plain, self.a([" " + t for t in plain]), self.b.encode(plain, num_threads=1))
-        none = np.zeros(0, np.int64)
-        for text in texts:
-            if not text:
-                yield none, none
-                continue
-            text, a, b = next(coded)
-            whole = b" " + text.encode()
-            same = b"".join([self.a_bytes[i] for i in a.tolist()]) == whole == b"".join([self.b_bytes[i] for i in b])
-            yield (a, np.array(b, np.int64)) if same else (none, none)
-
-
-def _byte_level(model: bytes) -> tuple[Callable[[list[str]], list[np.ndarray]], list[bytes]]:
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            raise ValueError("pieces that span words are not supported")
+        b_bytes = [bytes([int(p[3:-1], 16)]) if b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        return cls(encode, lambda texts: b.encode(texts, num_threads=1), a_bytes, b_bytes)
+
+
+def _byte_level(model: bytes) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes]]:
     """An encoder for a byte-level BPE model (JSON), and the bytes of its ids.
 
     Where the merges make ids in order and words are cut by the usual pattern,
@@ -112,8 +102,8 @@ def _byte_level(model: bytes) -> tuple[Callable[[list[str]], list[np.ndarray]],
                 return slow.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
-        return lambda texts: [np.array(encode(t), np.int64) for t in texts], surfaces
-    return lambda texts: [np.array(x.ids, np.int64) for x in slow.encode_batch_fast(texts, add_special_tokens=False)], surfaces
+        return lambda texts: [encode(t) for t in texts], surfaces
+    return lambda texts: [x.ids for x in slow.encode_batch_fast(texts, add_special_tokens=False)], surfaces
 
 
 def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
@@ -128,39 +118,137 @@ def align(a_ends: list[int], b_ends: list[int]) -> tuple[list[int], list[int]]:
     return list(map(a_at.__getitem__, common)), list(map(b_at.__getitem__, common))
 
 
-def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers in a row, and where each list begins and the last one ends."""
-    offsets = np.zeros(len(lists) + 1, np.int64)
-    np.cumsum([len(x) for x in lists], out=offsets[1:])
-    return np.concatenate([np.zeros(0, np.int64), *lists]), offsets
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+class Column:
+    """Rows of whole numbers, all in one array."""
+
+    def __init__(self) -> None:
+        self.values, self.sizes, self.starts = (np.zeros(0, np.int64) for _ in range(3))
+
+    def extend(self, rows: list[list[int]]) -> None:
+        sizes = np.array([len(r) for r in rows], np.int64)
+        values = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
+        self.values, self.sizes = np.concatenate([self.values, values]), np.concatenate([self.sizes, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of some rows one after the other, and their number in each."""
+        sizes = self.sizes[rows]
+        return self.values[_spread(self.starts[rows], sizes)], sizes
+
+
+class Aligner:
+    """Aligns texts chunk by chunk; remembers the chunks it has met.
 
+    A chunk begins at a blank behind a character that is no white space.  No
+    token of either side crosses such a place, and none depends on what lies
+    beyond it, so a chunk's tokens and groups are worked out once.
+    """
+
+    def __init__(self, coders: Encoders) -> None:
+        self.coders = coders
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.a_ids, self.b_ids, self.a_cuts, self.b_cuts, self.spelled = (Column() for _ in range(5))
+
+    def rows(self, chunks: list[bytes]) -> np.ndarray:
+        """The row of each of some distinct chunks."""
+        if len(self.known) + len(chunks) > REMEMBERED:
+            self.forget()
+        fresh = [c for c in chunks if c not in self.known]
+        if fresh:
+            texts = [c.decode() for c in fresh]
+            # the second side adds a blank of its own, but none to nothing
+            of_a, of_b = self.coders.a(texts), self.coders.b([t[1:] or " " for t in texts])
+            alone = self.coders.b(["x "])[0][-1:]
+            of_b = [ids if c != b" " else alone for c, ids in zip(fresh, of_b)]
+            a_bytes, b_bytes = self.coders.a_bytes, self.coders.b_bytes
+            a_cuts, b_cuts, spelled = [], [], []
+            for chunk, a, b in zip(fresh, of_a, of_b):
+                a_parts, b_parts = [a_bytes[i] for i in a], [b_bytes[i] for i in b]
+                same = b"".join(a_parts) == chunk == b"".join(b_parts)
+                spelled.append([int(same)])
+                if not same:
+                    cuts = [], []
+                elif len(a) == 1 or len(b) == 1:
+                    cuts = [len(a)], [len(b)]
+                else:
+                    cuts = align(list(accumulate(map(len, a_parts))), list(accumulate(map(len, b_parts))))
+                a_cuts.append(cuts[0])
+                b_cuts.append(cuts[1])
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            for column, more in zip((self.a_ids, self.b_ids, self.a_cuts, self.b_cuts, self.spelled), (of_a, of_b, a_cuts, b_cuts, spelled)):
+                column.extend(more)
+        return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
+
+    def batch(self, texts: pa.Array) -> list[pa.Array]:
+        """The columns a_ids, b_ids, a_cuts, b_cuts, pairs and pair_counts of some texts."""
+        texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(BLANK, texts, EMPTY))
+        data, offsets = text_bytes(texts)
+        edges = np.r_[np.flatnonzero(_opens(data, offsets)), len(data)].astype(np.int64)
+        bounds = [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, bounds).dictionary_encode()
+        chunk = self.rows(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+        text = np.searchsorted(offsets, edges[:-1], side="right") - 1
+        whole = np.ones(len(texts), bool)
+        whole[text[self.spelled.values[chunk] == 0]] = False
+        chunk, text = chunk[whole[text]], text[whole[text]]
+        first = np.searchsorted(text, np.arange(len(texts) + 1))  # of each text, its first chunk
+
+        def column(of: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            values, sizes = of.take(chunk)
+            ends = np.r_[0, np.cumsum(sizes)]
+            return values, sizes, ends[first]
+
+        (a, a_sizes, a_from), (b, b_sizes, b_from) = column(self.a_ids), column(self.b_ids)
+        (a_cuts, n_cuts, cuts_from), (b_cuts, _, _) = column(self.a_cuts), column(self.b_cuts)
+        # a cut counts the tokens of its chunk; before it come those of all chunks so far
+        a_cuts += np.repeat(np.cumsum(a_sizes) - a_sizes, n_cuts)
+        b_cuts += np.repeat(np.cumsum(b_sizes) - b_sizes, n_cuts)
+        linked = a[a_cuts - 1] * PAIR + b[b_cuts - 1]
+        owner = np.repeat(np.arange(len(texts)), np.diff(cuts_from))
+        pairs, counts, pairs_from = _counted(linked, owner, len(texts))
+        int32 = pa.int32()
+        return [
+            _lists(a, a_from, int32), _lists(b, b_from, int32),
+            _lists(a_cuts - a_from[owner], cuts_from, int32), _lists(b_cuts - b_from[owner], cuts_from, int32),
+            _lists(pairs, pairs_from, pa.int64()), _lists(counts, pairs_from, int32),
+        ]
+
+
+def _opens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks begin: at a text's first byte, and at a blank behind what cannot be the end of white space."""
+    opens = data == 32
+    spaces = np.zeros(256, bool)
+    spaces[[9, 10, 11, 12, 13, 32]] = True
+    opens[1:] &= ~spaces[data[:-1]]
+    wide = np.flatnonzero(opens)
+    wide = wide[(wide >= 3) & (data[wide - 1] >= 0x80)]
+    # the last bytes of all white space beyond ASCII: C2 xx, E1 9A xx, E2 80 xx, E2 81 xx, E3 80 xx
+    opens[wide[(data[wide - 2] == 0xC2) | (np.isin(data[wide - 3], (0xE1, 0xE2, 0xE3)) & np.isin(data[wide - 2], (0x80, 0x81, 0x9A)))]] = False
+    opens[offsets[:-1][np.diff(offsets) > 0]] = True
+    return opens
 
-def _aligned(ids: list[tuple[np.ndarray, np.ndarray]], a_sizes: np.ndarray, b_sizes: np.ndarray) -> list[pa.Array]:
-    """The columns a_ids, b_ids, a_cuts, b_cuts, pairs and pair_counts of some texts."""
-    sides = [_flat([x[side] for x in ids]) for side in (0, 1)]
-    ends = [np.cumsum(sizes[flat]) for (flat, _), sizes in zip(sides, (a_sizes, b_sizes))]
-    (a, a_from), (b, b_from) = sides
-    cuts, pairs, counts = [], [], []
-    for i, j, k, m in zip(a_from[:-1].tolist(), a_from[1:].tolist(), b_from[:-1].tolist(), b_from[1:].tolist()):
-        # both sides spell the same bytes so far, so ends are counted from the first text
-        cut = [np.array(x, np.int64) for x in align(ends[0][i:j].tolist(), ends[1][k:m].tolist())]
-        cuts.append(cut)
-        last = [side[at + start - 1] for side, at, start in zip((a, b), cut, (i, k))]
-        linked, n = np.unique(last[0] * PAIR + last[1], return_counts=True)
-        pairs.append(linked)
-        counts.append(n)
-    a_cuts, cuts_from = _flat([x[0] for x in cuts])
-    b_cuts, _ = _flat([x[1] for x in cuts])
-    pairs_from = np.r_[0, np.cumsum([len(x) for x in pairs])]
-    int32, none = pa.int32(), np.zeros(0, np.int64)
-    return [
-        _lists(a, a_from, int32), _lists(b, b_from, int32), _lists(a_cuts, cuts_from, int32), _lists(b_cuts, cuts_from, int32),
-        _lists(np.concatenate([none, *pairs]), pairs_from, pa.int64()), _lists(np.concatenate([none, *counts]), pairs_from, int32),
-    ]
+
+def _counted(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of each owner in order, how often it has each, and where each owner's begin."""
+    order = np.lexsort((values, owner))
+    values, owner = values[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return values[at], np.diff(np.r_[at, len(values)]), np.searchsorted(owner[at], np.arange(n + 1))
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
 def names() -> pa.Array:
@@ -228,13 +316,12 @@ def align_texts(
     rows = docs.selectExpr(f"`{key}` as key", f"`{text}` as text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = Encoders.load(*shared.value)
-        a_sizes, b_sizes = (np.array([len(x) for x in side]) for side in (coders.a_bytes, coders.b_bytes))
+        aligner = Aligner(Encoders.load(*shared.value))
         number = TaskContext.get().partitionId() << 40
         spelled = names() if summed else None
         for batch in batches:
             for part in parts(batch, "text", AT_ONCE):
-                columns = _aligned(list(coders.encode(readable(part.column("text")))), a_sizes, b_sizes)
+                columns = aligner.batch(readable(part.column("text")))
                 out = pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(number, number + len(part)), pa.int64()), part.column("key"), *columns],
                     names=["row", "key", "a_ids", "b_ids", "a_cuts", "b_cuts", "pairs", "pair_counts"],
@@ -250,14 +337,14 @@ def align_texts(
     ).withColumnRenamed("key", key)
 
 
-def readable(texts: pa.Array) -> list[str]:
-    """The texts; one that is not valid UTF-8 has no tokens, like an empty one."""
+def readable(texts: pa.Array) -> pa.Array:
+    """The texts; null, or not valid UTF-8, is an empty one."""
     try:
         texts.validate(full=True)
-        return texts.to_pylist()
     except pa.ArrowInvalid:
         raw = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()).to_pylist()
-        return [None if x is None or x.decode(errors="replace").encode() != x else x.decode() for x in raw]
+        texts = pa.array([None if x is None or x.decode(errors="replace").encode() != x else x.decode() for x in raw], pa.large_string())
+    return texts.cast(pa.large_string()).fill_null("")
 
 
 def links(aligned: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def found(spark, rows, parts=2):
 
 
 CASES = [
-    "the cat sat on the mat", "the cat", "", None, " leading and  double blanks ", "tab\tand\nnew lines\n\n",
+    "the cat sat on the mat", "the cat", "", None, " ", "  ", "a ", "a  ", "a\u00a0 b", "a\u3000 b\u2003 c", "it's we'll  x", "\n x\n  y", "é è ñ ", " leading and  double blanks ", "tab\tand\nnew lines\n\n",
     "Größe, naïve café, ñandú", "日本語のテキスト 混ぜる", "emoji 🙂🙂 family 👩‍👩‍👧", "<|endoftext|> is text, <s> too </s> <unk>",
     "a ▁ mark that B spells as a blank", "<0x41> spelled out", "x" * 3000, "wide" + " " * 40_000 + "gap", "1234567890 " * 50, "\u0000 nul ​ zero width", "ﬁ ligature ①",
     "é decomposed", "the cat sat on the mat",
