@@ -78,6 +78,37 @@ def _secret_matches(line: str, rules: Sequence[Rule]) -> str:
     return f"filter({matches}, s -> length(s.raw) > 0 AND NOT rlike(s.raw, {_quoted(to_java(PLACEHOLDER_PATTERN))}))"
 
 
+# Arrays are folded, and long lines cut, in pieces of this size: work on a line
+# then grows with its length, not with the square of the secrets in it.
+PIECE = 256
+
+
+def _running(values: str, fold: str) -> str:
+    """The sums or maxima of a non-empty array up to each of its places."""
+    total, join = {
+        "sum": (lambda part: f"aggregate({part}, 0, (s, y) -> s + y)", lambda a, b: f"{a} + {b}"),
+        "max": (lambda part: f"array_max({part})", lambda a, b: f"greatest({a}, {b})"),
+    }[fold]
+    parts = f"transform(sequence(0, (size(v) - 1) div {PIECE}), b -> slice(v, b * {PIECE} + 1, {PIECE}))"
+    before = (
+        f"aggregate(transform(parts, part -> {total('part')}), array(0), (done, x) -> "
+        f"concat(done, array({join('element_at(done, -1)', 'x')})))"
+    )
+    within = (
+        "flatten(transform(parts, (part, b) -> transform(part, (x, j) -> "
+        f"{join('get(before, b)', total('slice(part, 1, j + 1)'))})))"
+    )
+    return _let("v", values, _let("parts", parts, _let("before", before, within)))
+
+
+def _cut(start: str, length: str) -> str:
+    """Characters of the line that ``pieces`` holds; only the pieces they are in are looked at."""
+    first, last = f"({start}) div {PIECE}", f"({start} + {length}) div {PIECE}"
+    return (
+        f"substring(array_join(slice(pieces, {first} + 1, {last} - {first} + 1), ''), ({start}) % {PIECE} + 1, {length})"
+    )
+
+
 def _masked_line(line: str, found: str) -> str:
     """The line with every place of every value in ``found`` masked.
 
@@ -86,26 +117,26 @@ def _masked_line(line: str, found: str) -> str:
     """
     literal = r"concat('\\Q', replace(v, '\\E', '\\E\\\\E\\Q'), '\\E')"
     between = f"transform(split({line}, {literal}, -1), part -> length(part))"
-    # the end of the i-th part is where the i-th place starts
-    starts = (
-        "slice(aggregate(lengths, array(0), (ends, n) -> "
-        "concat(ends, array(element_at(ends, -1) + n + if(size(ends) > 1, length(v), 0)))), 2, size(lengths) - 1)"
-    )
-    places = _let("lengths", between, f"transform({starts}, s -> struct(s AS s, s + length(v) AS e))")
-    spans = f"array_sort(flatten(transform(array_distinct(transform({found}, f -> f.raw)), v -> {places})))"
-    merged = (
-        f"aggregate({spans}, cast(array() AS array<struct<s: int, e: int>>), (done, x) -> "
-        "if(size(done) > 0 AND get(done, size(done) - 1).e > x.s, "
-        "concat(slice(done, 1, size(done) - 1), "
-        "array(struct(get(done, size(done) - 1).s AS s, greatest(get(done, size(done) - 1).e, x.e) AS e))), "
-        "concat(done, array(x))))"
+    # what stands before the i-th place: i + 1 parts between places, i values
+    starts = _let("summed", _running("lengths", "sum"), "transform(slice(summed, 1, size(summed) - 1), (t, i) -> t + i * length(v))")
+    places = f"if(size(lengths) = 1, array(), transform({starts}, s -> struct(s AS s, s + length(v) AS e)))"
+    spans = (
+        f"array_sort(flatten(transform(array_distinct(transform({found}, f -> f.raw)), v -> {_let('lengths', between, places)})))"
     )
-    span = f"substring({line}, x.s + 1, x.e - x.s)"
-    return (
-        f"aggregate({merged}, struct('' AS t, 0 AS p), (a, x) -> "
-        f"struct(concat(a.t, substring({line}, a.p + 1, x.s - a.p), {_mask(span)}) AS t, x.e AS p), "
-        f"a -> concat(a.t, substring({line}, a.p + 1)))"
+    upto = _running("transform(spans, x -> x.e)", "max")
+    # a span that begins behind all before it begins an island, which ends where they end
+    opens = "filter(sequence(0, size(spans) - 1), j -> j = 0 OR get(upto, j - 1) <= get(spans, j).s)"
+    islands = (
+        "transform(opens, (j, k) -> struct(get(spans, j).s AS s, "
+        "get(upto, coalesce(get(opens, k + 1), size(spans)) - 1) AS e))"
     )
+    pieces = f"regexp_extract_all({line}, '(?s).{{1,{PIECE}}}', 0)"
+    masked = _let("hidden", _cut("x.s", "(x.e - x.s)"), _mask("hidden"))
+    kept = _let("gap", "if(k = 0, 0, get(islands, k - 1).e)", _cut("gap", "(x.s - gap)"))
+    rest = _let("gap", "get(islands, size(islands) - 1).e", _cut("gap", f"(length({line}) - gap)"))
+    joined = f"concat(array_join(transform(islands, (x, k) -> concat({kept}, {masked})), ''), {rest})"
+    shown = _let("upto", upto, _let("opens", opens, _let("islands", islands, _let("pieces", pieces, joined))))
+    return _let("spans", spans, f"if(size(spans) = 0, {line}, {shown})")
 
 
 def _line_fits(line: str, max_bytes: int | None) -> str:
@@ -130,14 +161,10 @@ def _raw_context(lines: str, line_idx: str) -> str:
     return f"array_join(transform({_context_idxs(lines, line_idx)}, y -> get({lines}, y)), '\\n')"
 
 
-def _redacted_context(lines: str, secrets: str, line_idx: str, options: ScanOptions) -> str:
-    """``secrets`` holds at each line's position what was found there, or NULL."""
+def _redacted_context(lines: str, shown: str, line_idx: str, options: ScanOptions) -> str:
+    """``shown`` holds the lines with their secrets masked."""
     examined = f"filter({_context_idxs(lines, line_idx)}, y -> {_line_fits(f'get({lines}, y)', options.max_line_bytes)})"
-    redacted = (
-        f"transform({examined}, y -> if(get({secrets}, y) IS NULL, get({lines}, y), "
-        f"{_masked_line(f'get({lines}, y)', f'get({secrets}, y)')}))"
-    )
-    return f"array_join({redacted}, '\\n')"
+    return f"array_join(transform({examined}, y -> get({shown}, y)), '\\n')"
 
 
 def _line_secrets(line: str, rules: Sequence[Rule], options: ScanOptions, code_lines: bool) -> str:
@@ -152,6 +179,10 @@ def _looks_like_code(line: str, options: ScanOptions) -> str:
     return f"rlike({line}, {_quoted(to_java(LINE_FILTER_PATTERNS[options.line_filter]))})"
 
 
+def _hit_context(context: str) -> str:
+    return f"CASE WHEN size(get(secrets, i)) > 0 THEN {context} END"
+
+
 # The first hit of each (rule, mask), in scan order: a sort, no pairwise test.
 _FIRST_PER_KEY = _let(
     "keyed",
@@ -240,15 +271,20 @@ def content_hits(
         "ELSE array() END))"
     )
     kept = _let("hits", masked, _FIRST_PER_KEY) if first_per_key else masked
+    # Each line is masked once and each context put together once, however many hits share it.
+    shown = f"transform(lines, (line, i) -> if(size(get(secrets, i)) > 0, {_masked_line('line', 'get(secrets, i)')}, line))"
     context = {
-        "redacted": _redacted_context("lines", "secrets", "h.line_idx", options),
-        "raw": _raw_context("lines", "h.line_idx"),
-        "none": "cast(null AS string)",
+        "redacted": _let("shown", shown, f"transform(lines, (line, i) -> {_hit_context(_redacted_context('lines', 'shown', 'i', options))})"),
+        "raw": f"transform(lines, (line, i) -> {_hit_context(_raw_context('lines', 'i'))})",
+        "none": "array(cast(null AS string))",
     }[options.context]
     in_context = _let(
         "kept", kept,
-        "transform(kept, h -> struct(h.line_idx AS line_idx, h.rule_ord AS rule_ord, h.match_ord AS match_ord, "
-        f"h.masked AS masked, {context} AS context, size(kept) AS entry_hits))",
+        _let(
+            "contexts", f"if(size(kept) = 0, array(cast(null AS string)), {context})",
+            "transform(kept, h -> struct(h.line_idx AS line_idx, h.rule_ord AS rule_ord, h.match_ord AS match_ord, "
+            "h.masked AS masked, get(contexts, h.line_idx) AS context, size(kept) AS entry_hits))",
+        ),
     )
     body = _let("lines", _text_lines("t"), _let("secrets", secrets, in_context))
     return _apply(text, "t", f"CASE WHEN {_may_match('t', rules)} THEN {body} END")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from credsift.functions.filters import is_binary, skip_path
 from credsift.functions.text import trim_all
 from credsift.operators.entries import cap_entries
+from credsift.operators.reach import commit_edges, least_depths
 from credsift.options import ATTRIBUTIONS, ScanOptions
-from credsift.session import materialise
 
 # entry_seq = commit rank * 2^32 + path rank; the HEAD tree ranks after all commits.
 PATH_RANKS = 1 << 32
@@ -23,34 +23,14 @@ HEAD_RANK = 1 << 30
 def reachable_commits(refs: DataFrame, commits: DataFrame, max_per_ref: int | None = None) -> DataFrame:
     """Commits reachable from a hash-type ref, each once, with its least depth; ``max_per_ref`` bounds the depth.
 
-    Doubling: the table of ancestors exactly 2**k steps back, joined to itself,
-    gives the one for the next k, and joined to the commits found so far it
-    extends their reach from 2**k to 2**(k + 1) steps.  So all refs of all
-    repositories take as many rounds as the longest history has binary digits,
-    with two tables written per round.  A way through a merge is one of the
-    ways, and the least depth wins.
+    All refs of all repositories are worked on together, in blocks of histories
+    (see `least_depths`).
     """
-    known = commits.select("repo", F.col("hash").alias("ancestor"))
-    jump = materialise(
-        commits.select("repo", "hash", F.explode("parents").alias("ancestor")).distinct()
-        .join(known, ["repo", "ancestor"], "left_semi").select("repo", "hash", "ancestor")
-    )
-    tips = refs.where(F.col("type") == "hash").select("repo", "hash").distinct()
-    found = materialise(
-        commits.select("repo", "hash").join(tips, ["repo", "hash"], "left_semi").distinct().withColumn("depth", F.lit(0))
-    )
-    steps = 1
-    while (max_per_ref is None or steps < max_per_ref) and not jump.isEmpty():
-        further = found.join(jump, ["repo", "hash"]).select(
-            "repo", F.col("ancestor").alias("hash"), (F.col("depth") + steps).alias("depth")
-        )
-        if max_per_ref is not None:
-            further = further.where(F.col("depth") < max_per_ref)
-        found = materialise(found.unionByName(further).groupBy("repo", "hash").agg(F.min("depth").alias("depth")))
-        then = jump.select("repo", F.col("hash").alias("ancestor"), F.col("ancestor").alias("_next"))
-        jump = materialise(jump.join(then, ["repo", "ancestor"]).select("repo", "hash", F.col("_next").alias("ancestor")).distinct())
-        steps *= 2
-    return found
+    tips = refs.where(F.col("type") == "hash").select("repo", F.col("hash").alias("node"), F.lit(0).alias("depth")).distinct()
+    nodes = commits.select("repo", F.col("hash").alias("node"), F.col("committer_when").alias("at")).dropDuplicates(["repo", "node"])
+    depths = least_depths(nodes, commit_edges(commits), tips)
+    found = depths.select("repo", F.col("node").alias("hash"), F.col("depth").cast("int").alias("depth"))
+    return found if max_per_ref is None else found.where(F.col("depth") < max_per_ref)
 
 
 def latest_commits(ref_commits: DataFrame, n: int) -> DataFrame:

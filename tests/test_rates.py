@@ -77,7 +77,7 @@ def test_stream_equals_batch(spark, tmp_path):
         df.where((F.col("id") >= lo) & (F.col("id") < lo + 100)).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
     out, log_dir = str(tmp_path / "out"), str(tmp_path / "log")
-    flagged = rate_limit_stream(stream, "ip", "ts", "id", 30, 3, watermark="1 minute")
+    flagged = rate_limit_stream(stream, "ip", "ts", "id", 30, 3)
     (flagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", log_dir)
      .trigger(availableNow=True).start().awaitTermination())
     got = {r.id: (r.window_start, r.n, r.allowed) for r in spark.read.parquet(out).collect()}

@@ -1,11 +1,13 @@
 """Scan semantics on small files: repeats, caps, order, context, line and file filters."""
 
 import random
+import time
 from dataclasses import asdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from credsift.functions import matching
 from credsift.operators.entries import cap_entries, scannable, split_lines
 from credsift.operators.findings import cap_total, dedupe_and_cap, new_findings, triage_order, triage_summary
 from credsift.options import SERVICE_LIMITS, ScanOptions
@@ -231,3 +233,53 @@ def test_plan_shuffles_hits_only(entries):
 def test_options_are_checked():
     with pytest.raises(ValueError):
         ScanOptions(context="masked")
+
+
+def test_many_secrets_on_one_line(spark, entries):
+    """Each line is masked once: work is not a power of the secrets in it."""
+    rng = random.Random(8)
+    values = ["".join(rng.choices("bcdfghjkmnpqrstvwxz", k=12)) for _ in range(5_000)]
+    line = " ".join(f'password="{v}"' for v in values)
+    started = time.monotonic()
+    rows = scan_entries(entries(("a.env", f"first\n{line}\nlast"))).select("matched_value", "context").collect()
+    assert time.monotonic() - started < 60
+    assert sorted(r.matched_value for r in rows) == sorted({masked(v) for v in values})
+    assert {r.context for r in rows} == {"first\n" + " ".join(f'password="{masked(v)}"' for v in values) + "\nlast"}
+
+
+@pytest.mark.parametrize("size", [1, 3, 256])
+def test_masking_in_pieces(spark, monkeypatch, size):
+    """Places that overlap, touch, repeat and cross pieces are masked like in a plain walk over the line."""
+    monkeypatch.setattr(matching, "PIECE", size)
+    rng = random.Random(size)
+    rows = []
+    for i in range(60):
+        line = "".join(rng.choices(["ab", "abc", "é", "🙂", "x", " ", "\\E", "aba"], k=rng.randrange(1, 30)))
+        cuts = [sorted(rng.sample(range(len(line) + 1), 2)) for _ in range(rng.randrange(4))]
+        rows.append((i, line, [(line[a:b],) for a, b in cuts]))
+    df = spark.createDataFrame(rows, "i int, line string, found array<struct<raw: string>>")
+    body = matching._masked_line("l.line", "l.found")
+    got = {r.i: r.t for r in df.select("i", F.expr(f"transform(array(struct(line, found)), l -> {body})[0] AS t")).collect()}
+    for i, line, found_ in rows:
+        assert got[i] == hidden(line, {raw for raw, in found_})
+
+
+def hidden(line, values):
+    spans = []
+    for v in values:
+        at = line.find(v)
+        while at >= 0:
+            spans.append((at, at + len(v)))
+            at = line.find(v, at + len(v))
+    islands = []
+    for s, e in sorted(spans):
+        if islands and s < islands[-1][1]:
+            islands[-1][1] = max(e, islands[-1][1])
+        else:
+            islands.append([s, e])
+    out, at = "", 0
+    for s, e in islands:
+        value = line[s:e]
+        out += line[at:s] + ("*" * len(value) if len(value) <= 8 else masked(value))
+        at = e
+    return out + line[at:]
