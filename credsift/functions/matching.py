@@ -253,18 +253,22 @@ def content_hits(
     rules: Sequence[Rule] = DEFAULT_RULES,
     options: ScanOptions = ScanOptions(),
     first_per_key: bool = True,
+    own: Column | None = None,
 ) -> Column:
     """All hits in one text, in scan order: by line, rule, match.
 
     ``array<struct<line_idx, rule_ord, match_ord, masked, context, entry_hits>>``,
     ``entry_hits`` being the number of them; NULL for a text that cannot hold any.  With ``first_per_key`` only the first hit of
     each (rule, mask) is kept, so what leaves the row is bounded by the distinct
-    secrets in it.
+    secrets in it.  With ``own``, a struct of the first and last line ``lo, hi``,
+    other lines serve as context only.
     """
     redacted = options.context == "redacted"
     secrets = f"transform(lines, line -> {_line_secrets('line', rules, options, code_lines=redacted)})"
     # A redacted context masks what stands on code lines too; such lines give no hits.
     on_hit_line = "size(found) > 0" + (f" AND NOT {_looks_like_code('get(lines, i)', options)}" if redacted else "")
+    if own is not None:
+        on_hit_line += " AND i BETWEEN at.lo AND at.hi"
     masked = (
         f"flatten(transform(secrets, (found, i) -> CASE WHEN {on_hit_line} THEN transform(found, m -> "
         f"struct(i AS line_idx, m.rule_ord AS rule_ord, m.match_ord AS match_ord, {_mask('m.raw')} AS masked)) "
@@ -287,4 +291,8 @@ def content_hits(
         ),
     )
     body = _let("lines", _text_lines("t"), _let("secrets", secrets, in_context))
-    return _apply(text, "t", f"CASE WHEN {_may_match('t', rules)} THEN {body} END")
+    gated = f"CASE WHEN {_may_match('t', rules)} THEN {body} END"
+    if own is None:
+        return _apply(text, "t", gated)
+    at = F.struct(text.alias("t"), own["lo"].alias("lo"), own["hi"].alias("hi"))
+    return _apply(at, "at", _let("t", "at.t", gated))

@@ -6,7 +6,7 @@ findings are the only rows that are ever shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,16 +19,17 @@ KEY = ("repo", "path", "rule_id", "masked")
 IN_ENTRY = ("line_idx", "rule_ord", "match_ord")
 
 
-def dedupe_findings(hits: DataFrame) -> DataFrame:
-    """The first hit of each (repository, rule, mask, path).
+def dedupe_findings(hits: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The first hit of each (repository, rule, mask, path), or other ``key``.
 
     One aggregation, whose map side keeps one row per key: a key with very many
     hits does not travel, and there is one exchange.
     """
     order = ("entry_seq", *IN_ENTRY)
-    rest = [c for c in hits.columns if c not in (*KEY, *order)]
+    order = tuple(c for c in order if c not in key)
+    rest = [c for c in hits.columns if c not in (*key, *order)]
     first = F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("_first")
-    return hits.groupBy(*KEY).agg(first).select(*KEY, "_first.*").select(*hits.columns)
+    return hits.groupBy(*key).agg(first).select(*key, "_first.*").select(*hits.columns)
 
 
 def cap_per_entry(findings: DataFrame, n: int | None = None) -> DataFrame:

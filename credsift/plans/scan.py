@@ -14,18 +14,16 @@ from credsift.operators.entries import cap_entries, scannable
 from credsift.operators.findings import cap_per_entry, cap_total, dedupe_and_cap, dedupe_findings, scan_stats
 from credsift.operators.history import attach_commit_meta, usable_blobs, walk
 from credsift.operators.matching import rule_value
+from credsift.operators.parts import PLACE, part_hits
 from credsift.options import ScanOptions
 from credsift.rules import DEFAULT_RULES, Rule
 from credsift.schemas import FINDING_COLUMNS
 from credsift.session import materialise
 
-_PLACE = ("repo", "entry_seq", "path", "commit", "commit_message", "commit_author", "commit_date")
-
-
 def explode_hits(rows: DataFrame, hits: Column, rules: Sequence[Rule], *more: str) -> DataFrame:
     """One row per hit, with the place it was found and ``more`` columns of the row."""
-    return rows.select(*_PLACE, *more, F.explode(hits).alias("_h")).select(
-        *_PLACE, *more, "_h.*", rule_value(rules, "rule_id", F.col("_h.rule_ord")).alias("rule_id")
+    return rows.select(*PLACE, *more, F.explode(hits).alias("_h")).select(
+        *PLACE, *more, "_h.*", rule_value(rules, "rule_id", F.col("_h.rule_ord")).alias("rule_id")
     )
 
 
@@ -78,6 +76,17 @@ def scan_entries(
     return as_findings(keep_findings(entry_hits(entries, rules, options), options), rules)
 
 
+def scan_parts(
+    parts: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, options: ScanOptions = ScanOptions()
+) -> DataFrame:
+    """Findings in parts of entries: `split_entries` of large texts, or ranges of large files.
+
+    They are those of `scan_entries` on the whole texts.  Limits on the bytes of
+    a file belong to where the parts are made.
+    """
+    return as_findings(keep_findings(part_hits(parts, rules, options), options), rules)
+
+
 class RepositoryScan(NamedTuple):
     findings: DataFrame
     stats: DataFrame

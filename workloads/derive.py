@@ -250,6 +250,26 @@ FROM (SELECT *, md5(concat('commit', cast(o_orderkey AS string))) AS hash,
       FROM {orders}) AS o
 """
 
+# Twenty long histories.  Every fifth commit is on a side line that the main line merges now and
+# then; two refs, of which neither reaches the last tenth.
+LONG_COMMITS = """
+SELECT repo, seq, side, hash, committer_when, n,
+       lag(hash) OVER (PARTITION BY repo, side ORDER BY seq) AS parent,
+       CASE WHEN seq % 35 = 1 THEN lag(hash) OVER (PARTITION BY repo ORDER BY seq) END AS merged
+FROM (SELECT concat('h', cast(o_custkey % 20 AS string)) AS repo, hash, o_orderdate AS committer_when, seq,
+             seq % 5 = 0 AS side, count(*) OVER (PARTITION BY o_custkey % 20) AS n
+      FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderdate, hash) AS seq
+            FROM (SELECT *, md5(concat('long', cast(o_orderkey AS string))) AS hash FROM {orders}) AS h) AS o) AS c
+"""
+
+LONG_REFS = f"""
+SELECT repo, 'refs/heads/main' AS name, max_by(hash, seq) AS hash FROM ({LONG_COMMITS}) AS m
+WHERE NOT side AND seq * 10 <= n * 9 GROUP BY repo
+UNION ALL
+SELECT repo, 'refs/heads/old' AS name, max_by(hash, seq) AS hash FROM ({LONG_COMMITS}) AS s
+WHERE side AND seq * 2 <= n GROUP BY repo
+"""
+
 _BLOB = """md5(concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', cast(l_partkey AS string),
            '-', cast(l_suppkey AS string), '-', cast(cast(l_quantity AS int) AS string)))"""
 

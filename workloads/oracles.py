@@ -49,6 +49,11 @@ ENTRIES = {
         "SELECT '' AS repo, conv_id * 1048576 + turn AS entry_seq, "
         f"concat(cast(conv_id AS varchar), '/', cast(turn AS varchar)) AS path, text FROM ({TURNS}) AS t"
     ),
+    "large_files": (
+        "SELECT '' AS repo, row_number() OVER (ORDER BY folder) AS entry_seq, folder AS path, text FROM ("
+        "SELECT concat(source, '-', cast(doc_id % 8 AS varchar)) AS folder, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text "
+        f"FROM ({DOCUMENTS}) AS d GROUP BY 1) AS f"
+    ),
     "plain_documents": "SELECT '' AS repo, doc_id AS entry_seq, cast(doc_id AS varchar) AS path, text FROM documents",
 }
 
@@ -224,6 +229,23 @@ usable AS (SELECT * FROM blobs WHERE NOT ends_in_nul)
 """
 
 
+# The same without blobs: parent and child trees side by side, one aggregation per path.
+DIFF = f"""
+WITH commits AS MATERIALIZED ({COMMITS}),
+trees AS MATERIALIZED ({TREE_FILES}),
+roles AS (
+  SELECT t.repo, c.hash AS commit, t.path, t.blob AS new_blob, NULL AS old_blob
+  FROM trees AS t JOIN commits AS c ON c.repo = t.repo AND c.hash = t.commit_hash
+  UNION ALL
+  SELECT t.repo, c.hash, t.path, NULL, t.blob FROM trees AS t JOIN commits AS c ON c.repo = t.repo AND c.parent = t.commit_hash),
+sides AS (SELECT repo, commit, path, max(new_blob) AS new_blob, max(old_blob) AS old_blob FROM roles GROUP BY repo, commit, path),
+diff AS (
+  SELECT repo, commit, path, old_blob, new_blob,
+         CASE WHEN old_blob IS NULL THEN 'A' WHEN new_blob IS NULL THEN 'D' ELSE 'M' END AS status
+  FROM sides WHERE old_blob IS DISTINCT FROM new_blob)
+"""
+
+
 def _files(side: str) -> str:
     return f""",
 ranks AS (SELECT repo, hash, row_number() OVER (PARTITION BY repo ORDER BY committer_when DESC, hash) AS rank FROM reached),
@@ -260,6 +282,19 @@ SELECT repo, hash, cast(min(depth) AS int) AS depth FROM ways GROUP BY repo, has
 """
 
 
+# Ways of different lengths to one commit are all followed; the least one counts.
+REACHABLE_LONG = f"""
+WITH RECURSIVE commits AS MATERIALIZED ({derive.for_oracle(derive.LONG_COMMITS)}),
+edges AS MATERIALIZED (SELECT repo, hash AS child, parent AS hash FROM commits WHERE parent IS NOT NULL
+  UNION SELECT repo, hash, merged FROM commits WHERE merged IS NOT NULL),
+ways AS (
+  SELECT repo, hash, 0 AS depth FROM ({derive.for_oracle(derive.LONG_REFS)}) AS r
+  UNION
+  SELECT w.repo, e.hash, w.depth + 1 FROM ways AS w JOIN edges AS e ON e.repo = w.repo AND e.child = w.hash)
+SELECT repo, hash, cast(min(depth) AS int) AS depth FROM ways GROUP BY repo, hash
+"""
+
+
 def _history_scan(side: str) -> str:
     ctes = scan("SELECT repo, entry_seq, path, text, commit, from_history FROM placed").strip()
     ctes = ctes.removeprefix("WITH ").replace("raws AS MATERIALIZED", "raws AS MATERIALIZED", 1)
@@ -363,6 +398,10 @@ FROM (SELECT f.repo, count(DISTINCT path) AS files FROM files AS f LEFT JOIN las
 LEFT JOIN (SELECT repo, count(*) AS found FROM kept GROUP BY repo) AS k USING (repo)""",
         "scan_documents": document_findings,
         "scan_documents_limited": findings(ENTRIES["documents"], per_entry=50, total=1000, line_bytes=4096, file_bytes=1 << 20),
+        "scan_documents_in_parts": document_findings,
+        "scan_files_in_ranges": findings(ENTRIES["large_files"]).replace(
+            "SELECT k.repo, k.rule_id AS type, k.severity, k.path AS file,", "SELECT k.path AS folder, k.rule_id AS type, k.severity,"
+        ),
         "scan_documents_as_coded": findings(ENTRIES["documents"], line_filter="as_coded"),
         "scan_pages": findings(ENTRIES["pages"]),
         "scan_conversations": findings(ENTRIES["turns"]),
@@ -371,6 +410,7 @@ LEFT JOIN (SELECT repo, count(*) AS found FROM kept GROUP BY repo) AS k USING (r
         "latest_commits": f"SELECT repo, hash, cast(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY committer_when DESC, hash) AS rank FROM ({COMMITS})) WHERE rank <= 5",
         "reachable_commits": reachable(1 << 30),
         "reachable_commits_limited": reachable(5),
+        "reachable_commits_long": REACHABLE_LONG,
         "history_entries": WALK + _files("new_blob") + """
 SELECT p.repo, p.entry_seq, p.path, p.commit, strlen(text) AS bytes FROM placed AS p WHERE from_history""",
         "head_entries": WALK + _files("new_blob") + """
@@ -381,9 +421,9 @@ FROM placed AS p JOIN commits AS c ON c.repo = p.repo AND c.hash = p.commit WHER
 SELECT concat('source=', source) AS folder, line, count(*) AS n
 FROM (SELECT source, unnest(string_split(string_agg(concat(text, chr(10), '--', chr(10)), ''), chr(10))) AS line FROM documents GROUP BY source)
 GROUP BY ALL""",
-        "tree_diff": WALK + "SELECT repo, commit, path, status, old_blob, new_blob FROM diff",
-        "tree_diff_introducing": WALK + "SELECT repo, commit, path, new_blob AS blob FROM diff WHERE new_blob IS NOT NULL",
-        "tree_diff_replacing": WALK + "SELECT repo, commit, path, old_blob AS blob FROM diff WHERE old_blob IS NOT NULL",
+        "tree_diff": DIFF + "SELECT repo, commit, path, status, old_blob, new_blob FROM diff",
+        "tree_diff_introducing": DIFF + "SELECT repo, commit, path, new_blob AS blob FROM diff WHERE new_blob IS NOT NULL",
+        "tree_diff_replacing": DIFF + "SELECT repo, commit, path, old_blob AS blob FROM diff WHERE old_blob IS NOT NULL",
         "history_union_head": WALK + _files("new_blob") + "SELECT repo, commit, path, blob, from_history, entry_seq FROM ordered",
         "repository_entries": WALK + _files("new_blob") + f"""
 SELECT p.repo, p.entry_seq, p.path, p.commit, {TRIMMED_MESSAGE} AS commit_message, author_name AS commit_author, from_history,

@@ -16,10 +16,12 @@ from credsift.operators import entries as entry_ops
 from credsift.operators import findings as finding_ops
 from credsift.operators import history, matching, rates
 from credsift.options import SERVICE_LIMITS, ScanOptions
-from credsift.plans.scan import entry_hits, scan_entries, scan_repo_history
+from credsift.operators.parts import split_entries
+from credsift.plans.scan import entry_hits, scan_entries, scan_parts, scan_repo_history
 from credsift.rules import DEFAULT_RULES, INLINE_TOKEN_RULE
 from credsift.session import shared_folder
 from credsift.sources.entries import entries_from_files, entries_from_table, entries_from_turns, rules_table
+from credsift.sources.ranges import parts_from_files
 from credsift.sources.requests import read_requests
 from credsift.sources.sinks import scan_report, write_findings
 from credsift.streaming.rates import rate_limit_stream
@@ -202,7 +204,7 @@ def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text files, one folder per source, written from the documents and read as entries line by line."""
     path = scratch(spark, "files")
     docs = table(spark, sf_dir, "documents").select("source", "text")
-    docs.repartition("source").write.partitionBy("source").option("lineSep", "\n--\n").text(path)
+    docs.repartition("source", F.xxhash64("text") % 16).write.partitionBy("source").option("lineSep", "\n--\n").text(path)
     lines = entry_ops.split_lines(entries_from_files(spark, path, glob="part-*"))
     return lines.groupBy(F.split("path", "/")[0].alias("folder"), "line").agg(F.count(F.lit(1)).alias("n"))
 
@@ -323,6 +325,26 @@ def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_entries(document_entries(spark, sf_dir)).select(*FINDING)
 
 
+@query
+def scan_documents_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as scan_documents, every text in parts of about 200 bytes."""
+    return scan_parts(split_entries(document_entries(spark, sf_dir), part_bytes=200)).select(*FINDING)
+
+
+@query
+def scan_files_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, eight a source, each the texts of its documents one after the other, read in ranges of 20 kB."""
+    path = scratch(spark, "large-files")
+    lines = derived(spark, sf_dir, derive.PLANTED_DOCUMENTS).select(
+        F.concat_ws("-", "source", F.col("doc_id") % 8).alias("folder"), "doc_id", "text"
+    )
+    in_order = lines.repartition("folder").sortWithinPartitions("folder", "doc_id")
+    in_order.select("folder", "text").write.partitionBy("folder").text(path)
+    found = scan_parts(parts_from_files(spark, path, range_bytes=20_000))
+    folder = F.regexp_extract("file", "folder=([^/]*)/", 1)
+    return found.select(folder.alias("folder"), "type", "severity", "line", "matched_value", "context")
+
+
 @query
 def scan_documents_as_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_entries(document_entries(spark, sf_dir), options=ScanOptions(line_filter="as_coded")).select(*FINDING)
@@ -399,6 +421,19 @@ def reachable_commits_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.reachable_commits(refs, commits, 5)
 
 
+def long_histories(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """refs and commits of few, long, branched histories with commits that no ref reaches."""
+    raw = derived(spark, sf_dir, derive.LONG_COMMITS)
+    parents = F.filter(F.array("parent", "merged"), lambda p: p.isNotNull())
+    refs = derived(spark, sf_dir, derive.LONG_REFS).withColumn("type", F.lit("hash"))
+    return refs, raw.select("repo", "hash", parents.alias("parents"), "committer_when")
+
+
+@query
+def reachable_commits_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.reachable_commits(*long_histories(spark, sf_dir))
+
+
 @query
 def first_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.first_parent(reached(spark, sf_dir)[0])
