@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,38 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+# Folders of intermediate tables by session, in the order they were made.
+_folders: dict[str, list[str]] = {}
+_listed: dict[str, str] = {}
+
+
+def table_folder(spark: SparkSession, name: str, listed_as: str | None = None) -> str:
+    """A new folder for an intermediate table in the shared folder; ``listed_as``: its name in the catalogue."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    _folders.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    if listed_as:
+        _listed[folder] = listed_as
+    return folder
+
+
+def folders_made(spark: SparkSession) -> list[str]:
+    """The folders of the intermediate tables that this session has made and not released."""
+    return list(_folders.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Delete intermediate tables that no result still to be computed reads."""
+    made = _folders.get(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in folders:
+        if folder in made:  # nothing but tables made here is ever deleted
+            made.remove(folder)
+            if folder in _listed:
+                spark.sql(f"DROP TABLE IF EXISTS {_listed.pop(folder)}")
+            path = hadoop.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a table in the shared folder, and go on from that.
 
@@ -56,6 +89,6 @@ def materialise(df: DataFrame) -> DataFrame:
     checkpoint the table is columnar and its size is known, so that a small one
     is broadcast by Spark's own threshold.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    path = table_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
