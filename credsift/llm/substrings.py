@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsift.llm.words import Words, carried, parts, rolling, words_of
-from credsift.session import materialise, shared_folder
+from credsift.session import materialise, table_folder
 
 WINDOW = 50
 PLACE_BITS = np.uint64(28)
@@ -140,7 +140,7 @@ def remove_repeats(
     name = f"texts_{uuid4().hex}"
     (
         rows.repartition(n_parts, "id", "tag").write.bucketBy(n_parts, "id", "tag")
-        .option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+        .option("path", table_folder(spark, "texts", name)).option("compression", "zstd").saveAsTable(name)
     )
     store = spark.table(name)
 
