@@ -106,3 +106,23 @@ def test_write_new_findings(spark, arriving, tmp_path):
     # a second reader of the same files with a log of its own finds everything in the table
     write_new_findings(arriving(), table, str(tmp_path / "log2")).awaitTermination()
     assert first == 8 == spark.read.parquet(table).count()
+
+
+def test_repeats_across_batches_keep_the_first(spark, entries, tmp_path):
+    """A key that comes back in later batches, and twice in one, is written once, with its first place."""
+    later = "\n".join(["x"] * 5)
+    df = entries(
+        ("r", 0, "p", f"a\n{KEY_LINE}"), ("r", 1, "p", KEY_LINE), ("r", 2, "q", f"{later}\n{KEY_LINE}"), ("r", 3, "p", KEY_LINE),
+        ("s", 4, "p", KEY_LINE), ("r", 5, "q", KEY_LINE),
+    )
+    files_of(df, str(tmp_path / "in"), 2)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    table, log = str(tmp_path / "table"), str(tmp_path / "log")
+    for _ in range(2):
+        write_new_findings(stream, table, log, groups=4).awaitTermination()
+    rows = spark.read.parquet(table).collect()
+    assert sorted((r.repo, r.file, r.line) for r in rows) == [("r", "p", 2), ("r", "q", 6), ("s", "p", 1)]
+    # more input to the same log: only what is new
+    files_of(entries(("r", 6, "p", KEY_LINE), ("r", 8, "z", KEY_LINE)), str(tmp_path / "in"), 1)
+    write_new_findings(stream, table, log, groups=4).awaitTermination()
+    assert sorted((r.repo, r.file) for r in spark.read.parquet(table).collect()) == [("r", "p"), ("r", "q"), ("r", "z"), ("s", "p")]

@@ -160,6 +160,17 @@ SELECT doc_id, source, lang,
 FROM {_with_plants('documents', 'doc_id', 'cast(doc_id AS string)')}
 """
 
+# The same few paths and values again and again: a value comes back in later entries of its path,
+# and neighbouring entries share some of their five key ids, so that a cap cuts what a later one still has.
+_SHARED = "concat(" + ", chr(10), ".join(
+    f"concat('id AKIA', upper(substr(md5(concat(cast(doc_id % 30 + {i} AS string), 's')), 1, 16)), ' end')" for i in range(5)
+) + ")"
+REPEATED_DOCUMENTS = f"""
+SELECT doc_id, source, concat(source, '/', cast(doc_id % 5 AS string)) AS path,
+       concat(text, chr(10), planted, chr(10), {_SHARED}) AS text
+FROM {_with_plants('documents', '(doc_id % 60)', 'cast(doc_id % 60 AS string)')}
+"""
+
 PLANTED_PAGES = f"""
 SELECT page_id, url, concat(html, chr(10), planted) AS html
 FROM {_with_plants('pages', 'page_id', 'cast(page_id AS string)')}

@@ -49,6 +49,7 @@ ENTRIES = {
         "SELECT '' AS repo, conv_id * 1048576 + turn AS entry_seq, "
         f"concat(cast(conv_id AS varchar), '/', cast(turn AS varchar)) AS path, text FROM ({TURNS}) AS t"
     ),
+    "repeated": f"SELECT source AS repo, doc_id AS entry_seq, path, text FROM ({derive.for_oracle(derive.REPEATED_DOCUMENTS)}) AS d",
     "large_files": (
         "SELECT '' AS repo, row_number() OVER (ORDER BY folder) AS entry_seq, folder AS path, text FROM ("
         "SELECT concat(source, '-', cast(doc_id % 8 AS varchar)) AS folder, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS text "
@@ -310,6 +311,38 @@ JOIN commits AS c ON c.repo = p.repo AND c.hash = p.commit
 """
 
 
+def _full_history_findings(side: str) -> str:
+    descriptions = " ".join(f"WHEN {q(r.rule_id)} THEN {q(r.description)}" for r in DEFAULT_RULES)
+    return _history_scan(side) + redacted() + f"""
+SELECT k.repo, sha256(concat_ws(chr(1), k.repo, k.rule_id, k.masked, k.path, p.commit, cast(k.line_idx + 1 AS varchar))) AS id,
+       k.rule_id AS type, k.severity, CASE k.rule_id {descriptions} END AS description, k.path AS file,
+       cast(k.line_idx + 1 AS int) AS line, p.commit, {truncated(TRIMMED_MESSAGE)} AS commit_message, c.author_name AS commit_author,
+       strftime(c.author_when, '%Y-%m-%d') AS commit_date, k.masked AS matched_value, x.context
+FROM kept AS k JOIN placed AS p ON p.repo = k.repo AND p.entry_seq = k.entry_seq
+JOIN commits AS c ON c.repo = p.repo AND c.hash = p.commit
+LEFT JOIN contexts AS x ON x.repo = k.repo AND x.entry_seq = k.entry_seq AND x.line_idx = k.line_idx
+"""
+
+
+# Entry after entry of each path: of its values, in order, those not reported yet, as many as the cap allows.
+def carry_over(cap: int) -> str:
+    fresh = f"list_filter(e.keys, lambda k: NOT list_contains(w.reported, k))[1:{cap}]"
+    return scan(ENTRIES["repeated"]).replace("WITH entries", "WITH RECURSIVE entries", 1) + f""",
+once AS (SELECT repo, path, entry_seq, concat(rule_id, '|', masked) AS key, line_idx, rule_ord, match_ord FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo, path, entry_seq, rule_id, masked ORDER BY line_idx, rule_ord, match_ord) AS nth FROM hits)
+  WHERE nth = 1),
+e AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY entry_seq) AS i FROM (
+    SELECT repo, path, entry_seq, list(key ORDER BY line_idx, rule_ord, match_ord) AS keys FROM once GROUP BY repo, path, entry_seq)),
+w AS (
+  SELECT repo, path, entry_seq, i, keys[1:{cap}] AS new, keys[1:{cap}] AS reported FROM e WHERE i = 1
+  UNION ALL
+  SELECT e.repo, e.path, e.entry_seq, e.i, {fresh}, list_concat(w.reported, {fresh})
+  FROM w JOIN e ON e.repo = w.repo AND e.path = w.path AND e.i = w.i + 1)
+SELECT repo, path, entry_seq, unnest(new) AS value FROM w
+"""
+
+
 HISTORY_STATS = f""",
 per_repo AS (
   SELECT r.repo, r.commits AS total_commits_scanned, coalesce(f.files, 0) AS total_files_scanned,
@@ -379,6 +412,13 @@ FROM (SELECT request_id, deadline_exceeded OR contains(message, 'timeout') AS la
         "dedupe_findings": scan(ENTRIES["documents"]) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx FROM firsts",
         "cap_per_entry": scan(ENTRIES["documents"], per_entry=10) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx FROM capped",
         "dedupe_and_cap": scan(ENTRIES["documents"], per_entry=10) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx FROM capped",
+        "dedupe_repeats": scan(ENTRIES["repeated"]) + "SELECT repo, path, rule_id, masked, cast(line_idx AS int) AS line_idx, entry_seq FROM firsts",
+        "dedupe_and_cap_carry_over": carry_over(3),
+        "non_empty_matches": f"""
+SELECT doc_id, raw, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(line, '[0-9]*')) AS raw FROM ({plain_lines}))
+WHERE length(raw) > 0 GROUP BY ALL""",
+        "write_new_findings_repeats": scan(ENTRIES["repeated"]) + "SELECT DISTINCT repo, rule_id AS type, path AS file, masked AS matched_value FROM hits",
+        "scan_repo_history_full": _full_history_findings("new_blob"),
         "cap_total": scan(ENTRIES["turns"], per_entry=50, total=100) + "SELECT path, rule_id, masked FROM kept",
         "cap_entries": f"SELECT repo, entry_seq, path FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY entry_seq) AS nth FROM ({ENTRIES['documents']})) WHERE nth <= 7",
         "line_context_raw": """

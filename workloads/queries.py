@@ -18,7 +18,8 @@ from credsift.operators import history, matching, rates
 from credsift.options import SERVICE_LIMITS, ScanOptions
 from credsift.operators.parts import split_entries
 from credsift.plans.scan import entry_hits, scan_entries, scan_parts, scan_repo_history
-from credsift.rules import DEFAULT_RULES, INLINE_TOKEN_RULE
+from credsift.rules import DEFAULT_RULES, INLINE_TOKEN_RULE, Rule
+from credsift.schemas import FINDING_COLUMNS
 from credsift.session import shared_folder
 from credsift.sources.entries import entries_from_files, entries_from_table, entries_from_turns, rules_table
 from credsift.sources.ranges import parts_from_files
@@ -49,6 +50,10 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entries_from_table(derived(spark, sf_dir, derive.REPEATED_DOCUMENTS), "path", "text", "doc_id", repo_col="source")
+
+
 def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_from_turns(derived(spark, sf_dir, derive.PLANTED_PAGES), "pages")
 
@@ -289,6 +294,27 @@ def dedupe_and_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finding_ops.dedupe_and_cap(hits, 10).select(*HIT)
 
 
+@query
+def dedupe_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that many entries share: the first entry with a value reports it."""
+    return finding_ops.dedupe_findings(entry_hits(repeated_entries(spark, sf_dir))).select(*HIT, "entry_seq")
+
+
+@query
+def dedupe_and_cap_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the cap of an entry cuts is reported by a later entry of its path."""
+    kept = finding_ops.dedupe_and_cap(entry_hits(repeated_entries(spark, sf_dir)), 3)
+    return kept.select("repo", "path", "entry_seq", F.concat_ws("|", "rule_id", "masked").alias("value"))
+
+
+@query
+def non_empty_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule that matches the empty string at nearly every place of a line."""
+    lines = entry_ops.split_lines(entries_from_table(table(spark, sf_dir, "documents"), "source", "text", "doc_id"))
+    found = matching.match_rules(lines, (Rule("digits", "medium", "[0-9]*"),), anchored=False)
+    return found.groupBy(F.col("entry_seq").alias("doc_id"), "raw").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def cap_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = entry_hits(turn_entries(spark, sf_dir))
@@ -504,6 +530,13 @@ def scan_repo_history_replacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_repo_history(*repositories(spark, sf_dir), options=options).findings.select(*_COMMIT_FINDING)
 
 
+@query
+def scan_repo_history_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twelve columns of a finding."""
+    found = scan_repo_history(*repositories(spark, sf_dir)).findings
+    return found.select("repo", *FINDING_COLUMNS).withColumn("commit_date", F.date_format("commit_date", "yyyy-MM-dd"))
+
+
 @query
 def scan_repo_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_repo_history(*repositories(spark, sf_dir)).stats
@@ -593,6 +626,15 @@ def write_new_findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["write_new_findings"] = QUERIES.pop("write_new_findings_table")
 
 
+@query
+def write_new_findings_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that come back in later batches are in the table once."""
+    path, log = scratch(spark, "new-repeats"), scratch(spark, "new-repeats-log")
+    arriving = _stream(spark, repeated_entries(spark, sf_dir), "repeated")
+    write_new_findings(arriving, path, log, groups=32).awaitTermination()
+    return spark.read.parquet(path).select("repo", "type", "file", "matched_value")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings over the documents in triage order."""
     return finding_ops.triage_order(scan_entries(document_entries(spark, sf_dir)))
