@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from credsift.functions.filters import is_binary, skip_path
 from credsift.functions.text import trim_all
 from credsift.operators.entries import cap_entries
+from credsift.operators.ranks import ranked
 from credsift.operators.reach import commit_edges, least_depths
 from credsift.options import ATTRIBUTIONS, ScanOptions
 
@@ -105,23 +106,43 @@ def attach_blob(rows: DataFrame, blobs: DataFrame, options: ScanOptions = ScanOp
     return rows.join(usable_blobs(blobs, options).select("repo", "blob", "content"), ["repo", "blob"])
 
 
-def _path_rank(rank: Column) -> Column:
-    w = Window.partitionBy("repo", "from_history", "commit").orderBy("path")
-    return (rank * F.lit(PATH_RANKS) + F.row_number().over(w)).cast("long")
+def ref_ranks(refs: DataFrame, commits: DataFrame) -> DataFrame:
+    """``repo, hash, ref_rank``: the first hash-type ref, by name, that reaches each commit.
+
+    Ranks spread from the tips like depths do, over edges of no length.
+    """
+    by_name = Window.partitionBy("repo").orderBy("name", "hash")
+    tips = refs.where(F.col("type") == "hash").withColumn("depth", F.row_number().over(by_name))
+    tips = tips.select("repo", F.col("hash").alias("node"), "depth")
+    nodes = commits.select("repo", F.col("hash").alias("node"), F.col("committer_when").alias("at")).dropDuplicates(["repo", "node"])
+    found = least_depths(nodes, commit_edges(commits).withColumn("weight", F.lit(0)), tips)
+    return found.select("repo", F.col("node").alias("hash"), F.col("depth").alias("ref_rank"))
+
+
+def commit_order(commits: DataFrame) -> DataFrame:
+    """``repo, commit, rank``: ref after ref (if ``commits`` has a ``ref_rank``), the newest by committer time first."""
+    order = [F.col("committer_when").desc(), F.col("hash").asc()]
+    if "ref_rank" in commits.columns:
+        order.insert(0, F.col("ref_rank").asc())
+    slim = commits.select("repo", "hash", "committer_when", *[c for c in ("ref_rank",) if c in commits.columns])
+    return ranked(slim, ["repo"], order, "rank").select("repo", F.col("hash").alias("commit"), "rank")
+
+
+def _path_rank(files: DataFrame, rank: Column) -> DataFrame:
+    numbered = ranked(files, ["repo", "from_history", "commit"], [F.col("path").asc()], "_path")
+    return numbered.withColumn("entry_seq", (rank * F.lit(PATH_RANKS) + F.col("_path")).cast("long")).drop("_path")
 
 
 def entry_order(files: DataFrame, commits: DataFrame) -> DataFrame:
-    """``entry_seq``: commits from the newest by committer time, paths in order, then the HEAD tree.
+    """``entry_seq``: commits in `commit_order`, paths in order, then the HEAD tree.
 
     The number is put together from the rank of the commit in its repository and
-    that of the path in its commit, so no task sees all files of a repository.
+    that of the path in its commit; neither is worked out by one task for a
+    whole repository or commit.
     """
-    newest_first = Window.partitionBy("repo").orderBy(F.col("committer_when").desc(), "hash")
-    ranked = commits.select(
-        "repo", F.col("hash").alias("commit"), F.row_number().over(newest_first).alias("_rank")
-    )
-    rank = F.when(F.col("from_history"), F.col("_rank").cast("long")).otherwise(F.lit(HEAD_RANK).cast("long"))
-    return files.join(ranked, ["repo", "commit"], "left").withColumn("entry_seq", _path_rank(rank)).drop("_rank")
+    met = files.join(commit_order(commits), ["repo", "commit"], "left")
+    rank = F.when(F.col("from_history"), F.col("rank")).otherwise(F.lit(HEAD_RANK).cast("long"))
+    return _path_rank(met, rank).drop("rank")
 
 
 def history_files(
@@ -151,9 +172,10 @@ def walk(
     refs: DataFrame, commits: DataFrame, tree_files: DataFrame, options: ScanOptions = ScanOptions()
 ) -> tuple[DataFrame, DataFrame]:
     """Reachable commits, and all file versions to scan with their place in the scan."""
-    reached = commits.join(
-        reachable_commits(refs, commits, options.max_commits_per_ref), ["repo", "hash"], "left_semi"
-    )
+    reached = commits.join(ref_ranks(refs, commits), ["repo", "hash"])
+    if options.max_commits_per_ref is not None:
+        near = reachable_commits(refs, commits, options.max_commits_per_ref)
+        reached = reached.join(near, ["repo", "hash"], "left_semi")
     files = history_union_head(
         history_files(reached, tree_files, options.attribution), head_files(refs, tree_files)
     )
@@ -194,5 +216,5 @@ def head_entries(
     refs: DataFrame, commits: DataFrame, tree_files: DataFrame, blobs: DataFrame, options: ScanOptions = ScanOptions()
 ) -> DataFrame:
     """The files of HEAD with their content and the HEAD commit's metadata."""
-    files = head_files(refs, tree_files).withColumn("entry_seq", _path_rank(F.lit(HEAD_RANK)))
+    files = _path_rank(head_files(refs, tree_files), F.lit(HEAD_RANK).cast("long"))
     return attach_commit_meta(attach_blob(files, blobs, options), commits).select(*_ENTRY)

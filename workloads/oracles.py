@@ -296,6 +296,19 @@ SELECT repo, hash, cast(min(depth) AS int) AS depth FROM ways GROUP BY repo, has
 """
 
 
+COMMIT_ORDER_REFS = f"""
+WITH RECURSIVE commits AS MATERIALIZED ({derive.for_oracle(derive.LONG_COMMITS)}),
+edges AS MATERIALIZED (SELECT repo, hash AS child, parent AS hash FROM commits WHERE parent IS NOT NULL
+  UNION SELECT repo, hash, merged FROM commits WHERE merged IS NOT NULL),
+reach AS (
+  SELECT repo, hash, name FROM ({derive.for_oracle(derive.LONG_REFS)}) AS r
+  UNION
+  SELECT w.repo, e.hash, w.name FROM reach AS w JOIN edges AS e ON e.repo = w.repo AND e.child = w.hash)
+SELECT repo, hash AS commit, row_number() OVER (PARTITION BY repo ORDER BY name, committer_when DESC, hash) AS rank
+FROM (SELECT repo, hash, min(name) AS name FROM reach GROUP BY repo, hash) AS f JOIN commits USING (repo, hash)
+"""
+
+
 def _history_scan(side: str) -> str:
     ctes = scan("SELECT repo, entry_seq, path, text, commit, from_history FROM placed").strip()
     ctes = ctes.removeprefix("WITH ").replace("raws AS MATERIALIZED", "raws AS MATERIALIZED", 1)
@@ -451,6 +464,7 @@ LEFT JOIN (SELECT repo, count(*) AS found FROM kept GROUP BY repo) AS k USING (r
         "reachable_commits": reachable(1 << 30),
         "reachable_commits_limited": reachable(5),
         "reachable_commits_long": REACHABLE_LONG,
+        "commit_order_refs": COMMIT_ORDER_REFS,
         "history_entries": WALK + _files("new_blob") + """
 SELECT p.repo, p.entry_seq, p.path, p.commit, strlen(text) AS bytes FROM placed AS p WHERE from_history""",
         "head_entries": WALK + _files("new_blob") + """

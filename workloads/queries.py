@@ -460,6 +460,13 @@ def reachable_commits_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.reachable_commits(*long_histories(spark, sf_dir))
 
 
+@query
+def commit_order_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits of one ref after those of the other, each where the first one reaches it."""
+    refs, commits = long_histories(spark, sf_dir)
+    return history.commit_order(commits.join(history.ref_ranks(refs, commits), ["repo", "hash"]))
+
+
 @query
 def first_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.first_parent(reached(spark, sf_dir)[0])
