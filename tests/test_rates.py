@@ -1,4 +1,5 @@
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -91,3 +92,41 @@ def test_events_without_key_or_time(spark):
     assert sorted((r.k, r.s, r.n, r.allowed) for r in got if r.k and r.s) == [("a", 5, 1, True), ("a", 6, 2, False)]
     rest = [r for r in got if not (r.k and r.s)]
     assert len(rest) == 4 and all(r.n is None and r.window_start is None and r.allowed for r in rest)
+
+
+def test_state_expires(spark, tmp_path):
+    """A key is forgotten once nothing of it has arrived for as long as asked: its count starts again."""
+    source, out, log_dir = (str(tmp_path / n) for n in ("in", "out", "log"))
+    schema = "ip string, id long, ts timestamp"
+
+    def arrive(*rows):
+        spark.createDataFrame([(k, i, T0) for k, i in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        flagged = rate_limit_stream(spark.readStream.schema(schema).parquet(source), "ip", "ts", "id", 1, 2, forget_after_seconds=1)
+        (flagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", log_dir)
+         .trigger(availableNow=True).start().awaitTermination())
+
+    arrive(("a", 1), ("a", 2), ("a", 3))
+    arrive(("a", 4))  # still known: the window it opened goes on
+    for i in (10, 11):  # time passes with other keys only
+        time.sleep(2)
+        arrive(("b", i))
+    arrive(("a", 5))
+    got = {r.id: (r.n, r.allowed) for r in spark.read.parquet(out).where("ip = 'a'").collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, False), 4: (4, False), 5: (1, True)}
+
+
+def test_files_out_of_time_order(spark, tmp_path):
+    """Later files with earlier events: they count into the window that is open, and none is lost."""
+    df = log(spark, [("a", 100), ("a", 101), ("a", 40), ("a", 90), ("a", 170)], "timestamp")
+    source = str(tmp_path / "in")
+    for ids in ((0, 1), (2, 3), (4,)):
+        df.where(F.col("id").isin(*ids)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    (rate_limit_stream(stream, "ip", "ts", "id", 60, 3).writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination())
+    got = {r.id: (r.window_start, r.n, r.allowed) for r in spark.read.parquet(out).collect()}
+    opened, again = T0 + timedelta(seconds=100), T0 + timedelta(seconds=170)
+    assert got == {
+        0: (opened, 1, True), 1: (opened, 2, True), 2: (opened, 3, True), 3: (opened, 4, False), 4: (again, 1, True)
+    }
