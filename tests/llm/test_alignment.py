@@ -1,6 +1,7 @@
 """Tokenizer alignment against a plain walk over the byte ends."""
 
 from collections import Counter
+from functools import lru_cache
 from hashlib import sha256
 
 import pytest
@@ -17,15 +18,19 @@ MODELS = [public_tokenizers.path(m) for m in ("byte_bpe_50k.json", "piece_bpe_32
 SCHEMA = "doc_id long, text string"
 
 
+@lru_cache
+def _tokenizers():
+    first = Tokenizer.from_file(MODELS[0])
+    first.encode_special_tokens = True
+    return first, sentencepiece.SentencePieceProcessor(model_file=MODELS[1]), {ch: b for b, ch in _alphabet().items()}
+
+
 def coded(text):
     """[(id, bytes)] of both tokenizers, or None where their bytes are not those of the text."""
     if not text:
         return None
-    first = Tokenizer.from_file(MODELS[0])
-    first.encode_special_tokens = True
-    letters = {ch: b for b, ch in _alphabet().items()}
+    first, second, letters = _tokenizers()
     a = [(t, bytes(letters[c] for c in first.id_to_token(t))) for t in first.encode(" " + text, add_special_tokens=False).ids]
-    second = sentencepiece.SentencePieceProcessor(model_file=MODELS[1])
     b = []
     for t in second.encode(text):
         piece = second.id_to_piece(t)

@@ -10,7 +10,9 @@ import pytest
 
 import __spark_entry__ as entry_point
 from credsift.llm.queries import QUERIES, SQL
+from tests.llm.test_alignment import expected as aligned
 from tests.llm.test_dialogues import expected
+from tests.llm.test_identifiers import PLAIN, plain
 
 TABLES = Path("/root/testdata/sf0.001")
 
@@ -93,3 +95,23 @@ def damaged(conv, turn, role, text):
     role = "user" if kind == 4 else role
     text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
     return [(conv, turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+
+
+def test_whole_documents_aligned(spark, duck):
+    """op11 against two plain pointers over the bytes of every document."""
+    rows = QUERIES["op11_align_tokens"](spark, str(TABLES)).collect()
+    want = aligned(duck.execute("SELECT doc_id, text FROM documents").fetchall())
+    assert sorted(map(tuple, rows)) == sorted(want)
+
+
+def test_whole_documents_identified(spark, duck):
+    """op12 against plain patterns: counts and digest of the fixed forms, and all spans in order."""
+    texts = dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
+    for r in QUERIES["op12_find_identifiers"](spark, str(TABLES)).collect():
+        base = plain(texts[r["doc_id"]])
+        assert [r[f"n_{kind}"] for kind in PLAIN] == [sum(s[0] == kind for s in base) for kind in PLAIN]
+        written = [":".join(map(str, s)) for s in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(written).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(written) <= set(spans) and len(set(spans)) == len(spans)
+        assert spans == sorted(spans, key=lambda s: (list(PLAIN).index(s.split(":")[0]), int(s.split(":")[1])))
