@@ -12,7 +12,7 @@ def _stars(links: DataFrame, larger: bool) -> DataFrame:
     """Hooks neighbours to the least node of a neighbourhood: the larger ones, or the smaller ones and itself."""
     turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = links.unionByName(turned) if larger else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = materialise(around.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")))
+    least = around.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
     hooked = around.join(least, "a")
     if larger:
         hooked = hooked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from credsift.llm.graph import connected_components
-from credsift.llm.words import Words, mix64, parts, seeds, words_of
+from credsift.llm.words import Words, carried, mix64, parts, seeds, words_of
 from credsift.session import materialise
 
 SHINGLE = 5
@@ -20,7 +20,10 @@ SIMILARITY = 75  # percent
 #: Elements that one step of a sketch hashes at least.
 STEP = 2048
 #: Shingles and rows of a block of sets, and columns that a task counts at a time.
-CELL_SHINGLES, CELL_ROWS, CELL_COLUMNS = 250_000, 2048, 2048
+CELL_SHINGLES, CELL_ROWS, CELL_COLUMNS = 250_000, 1024, 2048
+#: Bins by which the sketches of a pair may fall short of its similarity: a pair at
+#: 0.75 is further off once in 100 million, far more seldom than it shares no band.
+SLACK = BINS // 4
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -75,46 +78,58 @@ def bands(least: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return mix64(table.sum(axis=1, dtype=np.uint64) + seeds(14, len(table)))
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Size and 128-bit digest of every set."""
+    sums = np.array([(len(s), s.sum(dtype=np.uint64), mix64(s).sum(dtype=np.uint64)) for s in sets], np.uint64)
+    return [pa.array(column) for column in sums.reshape(-1, 3).T.view(np.int64)]
+
+
+def _kinds(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "text")
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """(id, n, d1, d2, bands): size, 128-bit digest and band keys of every row's set."""
+    """(n, d1, d2, bands): size, 128-bit digest and band keys of every row's set, after the columns but ``text``."""
+    along = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
                 sets = list(shingle_sets(words_of(part.column("text"), fold=True)))
                 keys = [bands(sketch(s)) if len(s) else np.zeros(0, np.uint64) for s in sets]
-                digests = np.array([(s.sum(dtype=np.uint64), mix64(s).sum(dtype=np.uint64)) for s in sets], np.uint64)
                 offsets = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
                 flat = np.concatenate(keys).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].view(np.int64)),
-                     pa.array(digests[:, 1].view(np.int64)), pa.ListArray.from_arrays(offsets, flat)],
-                    ["id", "n", "d1", "d2", "bands"],
+                    [*map(part.column, along), *_digests(sets), pa.ListArray.from_arrays(offsets, flat)],
+                    [*along, "n", "d1", "d2", "bands"],
                 )
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(run, f"{_kinds(docs)}, n long, d1 long, d2 long, bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles): the whole set of every row."""
+def full_sets(texts: DataFrame) -> DataFrame:
+    """(n, d1, d2, shingles, sketch): the whole set of every text that has words, and a byte per bin of its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text"):
-                sets = list(shingle_sets(words_of(part.column("text"), fold=True)))
-                offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(offsets, flat)], ["id", "shingles"])
+                sets = [s for s in shingle_sets(words_of(part.column("text"), fold=True)) if len(s)]
+                if sets:
+                    offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
+                    flat = np.concatenate(sets).view(np.int64)
+                    marks = [mix64(sketch(s)).astype(np.uint8).tobytes() for s in sets]
+                    yield pa.RecordBatch.from_arrays(
+                        [*_digests(sets), pa.ListArray.from_arrays(offsets, flat), pa.array(marks, pa.binary())],
+                        ["n", "d1", "d2", "shingles", "sketch"],
+                    )
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, shingles array<long>")
+    return texts.select("text").mapInArrow(run, "n long, d1 long, d2 long, shingles array<long>, sketch binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     return (
         pairs.join(left, "a").join(right, "b")
@@ -124,180 +139,223 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> Da
     )
 
 
-def cell_links(percent: int):
-    """Links between the rows of two blocks, as few as keep together what they link."""
-
-    def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-        flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-        both = np.intersect1d(flat_a, flat_b)
-        counts = np.zeros((len(a), len(b)), np.float32)
-        sides = []
-        for flat, rows in ((flat_a, a), (flat_b, b)):
-            row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            at = np.searchsorted(both, flat)
-            hit = both[np.minimum(at, len(both) - 1)] == flat if len(both) else np.zeros(len(flat), bool)
-            order = np.argsort(at[hit], kind="stable")
-            sides.append((row[hit][order], at[hit][order]))
-        for lo in range(0, len(both), CELL_COLUMNS):
-            parts, wide = [], min(CELL_COLUMNS, len(both) - lo)
-            for rows, (row, at) in zip((a, b), sides):
-                x, y = np.searchsorted(at, (lo, lo + wide))
-                table = np.zeros((len(rows), wide), np.float32)
-                table[row[x:y], at[x:y] - lo] = 1
-                parts.append(table)
-            counts += parts[0] @ parts[1].T
-        return counts
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        links: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            sets = [[x.values.to_numpy() for x in side.column("shingles")] for side in (left, right)]
-            ids = [side.column("id").to_pylist() for side in (left, right)]
-            part = [side.column("component").to_numpy(zero_copy_only=False) for side in (left, right)]
-            sizes = [np.array([len(x) for x in side]) for side in sets]
-            shared = common(*sets)
-            near = shared * 100 >= (sizes[0][:, None] + sizes[1][None, :] - shared) * percent
-            near &= part[0][:, None] != part[1][None, :]
-            root: dict = {}
-
-            def find(x):
-                while root.setdefault(x, x) != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                x, y = find(part[0][i]), find(part[1][j])
-                if x != y:
-                    root[x] = y
-                    links.append((ids[0][i], ids[1][j]))
-        kind = left.schema.field("id").type
-        return pa.table([pa.array([a for a, _ in links], kind), pa.array([b for _, b in links], kind)], names=["a", "b"])
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``."""
+    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(flat_a, flat_b)
+    counts = np.zeros((len(a), len(b)), np.float32)
+    sides = []
+    for flat, rows in ((flat_a, a), (flat_b, b)):
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        at = np.searchsorted(both, flat)
+        hit = both[np.minimum(at, len(both) - 1)] == flat if len(both) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((row[hit][order], at[hit][order]))
+    for lo in range(0, len(both), CELL_COLUMNS):
+        tables, wide = [], min(CELL_COLUMNS, len(both) - lo)
+        for rows, (row, at) in zip((a, b), sides):
+            x, y = np.searchsorted(at, (lo, lo + wide))
+            table = np.zeros((len(rows), wide), np.float32)
+            table[row[x:y], at[x:y] - lo] = 1
+            tables.append(table)
+        counts += tables[0] @ tables[1].T
+    return counts
+
+
+def cell_links(cell: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Components of one cell that a pair of its sets links, as few as keep together what they link.
+
+    The rows of block i outside the main component are held against those of
+    block j: first by sketches and sizes, then, where these allow a link between
+    two components that are not linked yet, by full sets.
+    """
+    first, second = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+    block, part = cell.column("block").to_numpy(), cell.column("component").to_numpy()
+    x = np.flatnonzero((block == first) & cell.column("outside").to_numpy())
+    y = np.flatnonzero(block == second)
+    if not len(x) or not len(y):
+        return []
+    marks = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(len(cell), -1)
+    lists = cell.column("shingles").combine_chunks()
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    sets = [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    sizes = np.diff(offsets).astype(np.int64)
+    least = marks.shape[1] * percent / 100 - SLACK
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    links = []
+    step = max(1, (1 << 23) // (len(y) * marks.shape[1]))
+    for lo in range(0, len(x), step):
+        rows = x[lo : lo + step]
+        near = (marks[rows][:, None, :] == marks[y][None]).sum(axis=2, dtype=np.int32) >= least
+        near &= part[rows][:, None] != part[y][None, :]
+        low, high = np.minimum.outer(sizes[rows], sizes[y]), np.maximum.outer(sizes[rows], sizes[y])
+        near &= low * 100 >= high * percent
+        at, to = np.nonzero(near)
+        many = len(at) > 4 * (len(rows) + len(y))
+        shared = common([sets[r] for r in rows], [sets[r] for r in y]) if many else None
+        for p, q in zip(at.tolist(), to.tolist()):
+            a, b = int(rows[p]), int(y[q])
+            one, other = find(int(part[a])), find(int(part[b]))
+            if one == other:
+                continue
+            n = int(shared[p, q]) if many else len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if n * 100 >= (int(sizes[a] + sizes[b]) - n) * percent:
+                root[one] = other
+                links.append((int(part[a]), int(part[b])))
+    return links
+
+
+def cells_linked(percent: int):
+    """Runs ``cell_links`` over rows that are sorted by cell; a task holds one cell and one batch."""
+
+    def cuts(batch: pa.RecordBatch) -> list[int]:
+        keys = np.stack([batch.column(c).to_numpy() for c in CELL])
+        return [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(batch)]
+
+    def answer(cell: list[pa.RecordBatch]) -> pa.RecordBatch:
+        links = cell_links(pa.Table.from_batches(cell), percent)
+        return pa.RecordBatch.from_arrays([pa.array([link[k] for link in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            edges = cuts(batch)
+            for a, b in zip(edges[:-1], edges[1:]):
+                key = tuple(batch.column(c)[a].as_py() for c in CELL)
+                if held and key != name:
+                    yield answer(held)
+                    held = []
+                name = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield answer(held)
 
+    return run
 
-def with_company(family: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """The rows of ``family`` that may be alike to another of their family.
 
-    A set with more than 100 - percent of its shingles to itself has too few left
-    to share.  Members that are linked already share enough and stay.
-    """
-    own = (
-        family.select("family", "id").join(sets, "id").select("family", "id", F.explode("shingles").alias("shingle"))
-        .groupBy("family", "shingle").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("holders"))
-        .where("holders = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    )
-    alone = (
-        materialise(own).join(sets, "id").where((F.size("shingles") - F.col("own")) * 100 < F.size("shingles") * percent)
-        .select("id")
-    )
-    return family.join(materialise(alone), "id", "left_anti")
+#: What names a cell: a bucket and two of its blocks.
+CELL = ("bucket", "i", "j")
 
 
-def family_links(family: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """(a, b): links inside families between members of different components.
+def bucket_links(members: DataFrame, components: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
+    """(a, b): components that a pair of one bucket links, from all pairs of every bucket that are in two.
 
-    ``family``: (id, family, component).  The members outside a family's largest
-    component are held against all its members, block by block: the sets of
-    two blocks meet in one task, which counts all their intersections at once
-    and reports links, not pairs.  Blocks hold members of like set sizes and a
-    bounded number of shingles and of rows; blocks whose sizes are too far apart
-    to be alike do not meet.  Members whose shingles are mostly theirs alone can
-    have no link and are not held against any.
+    ``members``: (bucket, node, n).  Of buckets with the same members one is
+    taken.  The members outside a bucket's largest component are held against
+    all its members.  A bucket of more than ``CELL_ROWS`` rows or
+    ``CELL_SHINGLES`` shingles is dealt into blocks, those outside and those of
+    the largest component apart; a cell is one block outside and one other, so a
+    task holds two blocks whatever the size of the bucket.
     """
+    placed = members.join(components, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    placed = materialise(placed)
+    prints = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (1, 2)]
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"), *prints)
     mixed = (
-        family.groupBy("family").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("family")
+        sizes.groupBy("bucket").agg(
+            F.max(F.struct("rows", "component", "shingles")).alias("main"), F.count(F.lit(1)).alias("components"),
+            F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"),
+        ).where("components > 1").groupBy("h1", "h2", "rows", "shingles").agg(F.min(F.struct("bucket", "main")).alias("b"))
     )
-    family = materialise(family.join(materialise(mixed), "family", "left_semi"))
-    family = materialise(with_company(family, sets, percent))
-    sizes = family.groupBy("family", "component").count()
-    main = sizes.groupBy("family").agg(F.max(F.struct("count", "component"))["component"].alias("main"))
-    width = F.floor(F.log(F.size("shingles").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    placed = family.join(materialise(main), "family").join(sets, "id").withColumn("width", width)
-    held = materialise(
-        placed.groupBy("family", "width").agg(F.sum(F.size("shingles")).alias("all"), F.count(F.lit(1)).alias("rows"))
-        .select("family", "width", F.ceil(F.greatest(F.col("all") / CELL_SHINGLES, F.col("rows") / CELL_ROWS)).cast("int").alias("blocks"))
-    )
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    placed = materialise(
-        placed.join(held, ["family", "width"]).withColumn("block", block)
-        .select("family", "width", "block", "id", "component", (F.col("component") != F.col("main")).alias("outside"), "shingles")
+
+    def blocks(rows, shingles):
+        return F.ceil(F.greatest(rows / CELL_ROWS, shingles / CELL_SHINGLES)).cast("int")
+
+    few = blocks(F.col("rows"), F.col("shingles")) <= 1
+    out = blocks(F.col("rows") - F.col("b.main.rows"), F.col("shingles") - F.col("b.main.shingles"))
+    mixed = materialise(mixed.select(
+        "b.bucket", F.col("b.main.component").alias("main"), F.when(few, 1).otherwise(out).alias("out"),
+        F.when(few, 0).otherwise(blocks(F.col("b.main.rows"), F.col("b.main.shingles"))).alias("in"),
+    ))
+    outside, key = F.col("component") != F.col("main"), F.xxhash64("node", F.lit(3))
+    block = F.when(outside | (F.col("in") == 0), F.pmod(key, F.col("out"))).otherwise(F.col("out") + F.pmod(key, F.col("in")))
+    last = F.when(F.col("block") < F.col("out"), F.col("out") + F.col("in")).otherwise(F.col("out")) - 1
+    celled = (
+        placed.join(mixed, "bucket").withColumn("outside", outside).withColumn("block", block.cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "outside", "node", "component")
     )
-    names = ("family", "width", "block")
-    left = placed.where("outside").select(*names).distinct()
-    right = placed.select("family", *(F.col(c).alias(f"other_{c}") for c in names[1:])).distinct()
-    cells = materialise(left.join(right, "family").where("abs(width - other_width) <= 1"))
-    key = [*names, "other_width", "other_block"]
-    asked = placed.where("outside").join(cells, [*names]).select(*key, "id", "component", "shingles")
-    others = placed.withColumnsRenamed({"width": "other_width", "block": "other_block"})
-    others = others.join(cells, ["family", "other_width", "other_block"])
-    others = others.select(*(F.col(c).alias(c) for c in (*key, "id", "component", "shingles")))
-    kind = family.schema["id"].dataType.simpleString()
-    return asked.groupBy(*key).cogroup(others.groupBy(*key)).applyInArrow(cell_links(percent), f"a {kind}, b {kind}")
+    dealt = celled.join(sets, "node").select(*CELL, "block", "outside", "component", "shingles", "sketch")
+    dealt = dealt.repartition(*CELL).sortWithinPartitions(*CELL)
+    return dealt.mapInArrow(cells_linked(percent), "a long, b long").distinct()
 
 
 def linked_components(members: DataFrame, sets: DataFrame, percent: int = SIMILARITY) -> DataFrame:
-    """(node, component) of all links between members of common buckets.
+    """(node, component) of all links between members of common buckets; nodes without a link are left out.
 
     First every member of a bucket is held against the bucket's least member:
     one pair each, however large the bucket, and most groups of near copies are
-    one component then.  Buckets that hang together are a family; in families
-    that still hold several components the rest is compared in blocks.  A pair
-    of a bucket is left out only if both are in one component already.
+    one component then.  In buckets that still hold several components all
+    other pairs are compared in blocks.  A pair of a bucket is left out only if
+    both are in one component already.
     """
-    least = members.groupBy("bucket").agg(F.min("id").alias("a"))
-    pairs = materialise(
-        members.join(materialise(least), "bucket").where("id != a").select("a", F.col("id").alias("b")).distinct()
-    )
-    links = materialise(verified(pairs, sets, percent))
-    components = materialise(connected_components(links))
-    families = materialise(connected_components(pairs))
-    family = families.select(F.col("node").alias("id"), F.col("component").alias("family")).join(
-        components.select(F.col("node").alias("id"), "component"), "id", "left"
-    ).select("id", "family", F.coalesce("component", "id").alias("component"))
-    more = materialise(family_links(family, sets, percent))
+    least = members.groupBy("bucket").agg(F.min("node").alias("a"))
+    pairs = materialise(members.join(least, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct())
+    components = materialise(connected_components(verified(pairs, sets, percent)))
+    more = materialise(bucket_links(members, components, sets, percent))
     if more.isEmpty():
         return components
-    return connected_components(links.unionByName(more))
+    joined = materialise(connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("whole")))
+    known = components.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    alone = joined.select(F.col("component").alias("node"), F.col("whole").alias("component")).join(components, "node", "left_anti")
+    return known.unionByName(alone)
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = SIMILARITY, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, percent: int = SIMILARITY, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()
 ) -> DataFrame:
     """Classes of documents linked by 100 * common >= percent * united shingles.
 
-    Documents of equal sets are one node, named by the least key, so copies cost
-    no pairs.  Nodes that share a band key (``BINS`` / ``BAND_ROWS`` bands; a
-    pair at 0.75 has none in common once in 190,000) are candidates, and full
-    sets confirm them.
+    Documents of equal sets are one node, so copies cost no pairs; a key that
+    stands with several texts is in a node for each.  Nodes that share a
+    band key (``BINS`` / ``BAND_ROWS`` bands; a pair at 0.75 has none in common once
+    in 190,000) are candidates, and full sets confirm them.
 
     Returns key, n_shingles, component_id (the least key of the class), kept
-    (whether the row has that key).  Null and empty texts, or ones without
-    words, have an empty set and are classes of their own.  Rows that repeat a
-    key with the same text share its answer.  A null key is
-    linked like others but never names a class that has another key.
+    (whether the row has that key) and the columns named in ``carry``.  Null and
+    empty texts, or ones without words, have an empty set and are classes of
+    their own.  Rows that repeat a key with the same text share its answer; with
+    different texts each has its own.  A null key is linked like others but
+    never names a class that has another key.
     """
-    rows = docs.selectExpr(f"`{key}` as id", f"`{text}` as text")
+    there, _, back = carried(docs, carry)
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *there)
     made = materialise(sketched(rows))
     worded = made.where("n > 0")
+    digest = ["d1", "d2", "n"]
+    # written once, so that the numbers of the nodes stay as they are
     classes = materialise(
-        worded.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    )
-    buckets = classes.where("rep is not null").select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    shared = materialise(
-        buckets.groupBy("bucket").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("bucket")
+        worded.groupBy(*digest).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id())
     )
-    members = materialise(buckets.join(shared, "bucket", "left_semi"))
-    wanted = members.select("id").distinct()
-    sets = materialise(full_sets(rows.join(materialise(wanted), "id", "left_semi").dropDuplicates(["id"])))
-    components = linked_components(members, sets, percent).select(F.col("node").alias("rep"), "component")
-    named = materialise(
-        classes.join(components, "rep", "left").where("component is not null or copies > 1")
-        .select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+    buckets = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("bucket")
+    members = materialise(buckets.join(materialise(shared), "bucket", "left_semi"))
+    nodes = members.select("node").distinct()
+    wanted = materialise(classes.join(materialise(nodes), "node", "left_semi").select("node", *digest, "rep"))
+    reps = wanted.select("rep").distinct()
+    texts = rows.select("id", "text").join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
+    sets = materialise(full_sets(texts).dropDuplicates(digest).join(wanted, digest).select("node", "shingles", "sketch"))
+    linked = linked_components(members, sets, percent).join(wanted, "node").select("component", *digest, "rep")
+    linked = materialise(linked)
+    names = linked.groupBy("component").agg(F.min("rep").alias("name"))
+    named = (
+        linked.join(names, "component").select(*digest, "name")
+        .unionByName(classes.where("copies > 1").select(*digest, F.col("rep").alias("name")))
+        .groupBy(*digest).agg(F.min("name").alias("name"))
     )
-    answer = worded.join(named, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    alone = made.where("n = 0").select("id", "n", F.col("id").alias("component"))
+    answer = worded.drop("bands").join(materialise(named), digest, "left").withColumn("name", F.coalesce("name", "id"))
+    alone = made.where("n = 0").drop("bands").withColumn("name", F.col("id"))
     return answer.unionByName(alone).select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-        F.col("id").eqNullSafe(F.col("component")).alias("kept"),
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("name").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("name")).alias("kept"), *back,
     )

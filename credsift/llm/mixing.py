@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credsift.llm.words import carried
 from credsift.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,6 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], share: float, max_r
 def mix_sources(
     docs: DataFrame, size: Column, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     max_repeats: int = 2, seed: str = "mix", key: str = "doc_id", source: str = "source",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """How often each row of ``docs`` goes into the mix.
 
@@ -68,15 +70,17 @@ def mix_sources(
     So no source, however large, is one task's work.
 
     Returns one row per row of ``docs``: key, size, source_size, target, taken
-    (size times copies), copies.  Rows of size 0 are never copied.  Null keys,
+    (size times copies), copies and the columns named in ``carry``.  Rows of size 0 are never copied.  Null keys,
     null sources and repeated rows are rows like others; an empty table gives
     an empty one; equal input gives equal output.
     """
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    there, _, back = carried(docs, carry)
+    along = [f"carried_{i}" for i in range(len(carry))]
     rows = materialise(
         docs.select(
             F.col(key).alias("key"), F.col(source).alias("source"), size.cast("long").alias("size"),
-            F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"),
+            F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long").alias("hash"), *there,
         )
     )
     targets = materialise(
@@ -86,7 +90,7 @@ def mix_sources(
     bits = max(1, (n_rows // ROWS_PER_RANGE).bit_length())
     rows = rows.withColumn("range", F.shiftright("hash", HASH_BITS - bits)).alias("r").join(
         targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))
-    ).select("key", "source_rank", "source_size", "target", "size", "hash", "range")
+    ).select("key", "source_rank", "source_size", "target", "size", "hash", "range", *along)
 
     earlier = Window.partitionBy("source_rank").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("source_rank", "range").agg(F.sum("size").alias("range_size")).select(
@@ -131,5 +135,5 @@ def mix_sources(
         copied = [f.isNotNull() & (p < bound) for f, p in zip(finish, place)]
     copies = sum((F.when(c, 1).otherwise(0) for c in copied), F.lit(0))
     return queued.withColumn("copies", copies.cast("int")).select(
-        F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
+        F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *back
     )

@@ -110,3 +110,30 @@ def test_large_family_of_short_texts_that_are_alike_but_not_linked(spark):
     rows += [(70_000, f"a0 page not found here b0 {tail} x"), (70_001, f"a0 page not found here b0 {tail} y")]
     got = {r["doc_id"]: r["component_id"] for r in near(spark, rows)}
     assert got == {i: min(i, 70_000) for i, _ in rows}
+
+
+def test_one_id_with_several_texts(spark):
+    """Every text of an id is linked for itself, null ids too."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (5, a + " more"), (6, b + " more"), (None, b + " less"), (None, "c " + a), (8, "d e")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"], r["kept"]) for r in near(spark, rows))
+    assert got == [(0, 37, 1, False), (0, 37, 1, False), (1, 36, 1, True), (1, 36, 1, True), (5, 37, 1, False), (6, 37, 1, False), (8, 1, 8, True)]
+
+
+def test_carried_columns_and_clashing_names(spark):
+    df = spark.createDataFrame([(2, "a b c d e f", 7, "x"), (3, "a b c d e f", 8, "y")], "doc_id long, text string, n int, bucket string")
+    got = minhash.near_duplicates(df, carry=("n", "bucket")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [(2, 2, 2, True, 7, "x"), (3, 2, 2, False, 8, "y")]
+
+
+@pytest.mark.parametrize("rows", [1024, 3])
+def test_pairs_that_the_least_member_does_not_link(spark, monkeypatch, rows):
+    """A chain: neighbours are alike, the ends are not, and every order of ids gives one class."""
+    monkeypatch.setattr(minhash, "CELL_ROWS", rows)
+    rnd = random.Random(rows)
+    words = [f"w{i}" for i in range(140)]
+    order = list(range(12))
+    rnd.shuffle(order)
+    texts = [(order[k], " ".join(words[4 * k : 4 * k + 80])) for k in range(12)] + [(100 + k, " ".join(words[k : k + 60])) for k in (0, 40, 80)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near(spark, texts)}
+    assert got == by_hand(texts)
