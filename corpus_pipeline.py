@@ -8,7 +8,8 @@ intermediate tables of the stage before it.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +49,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of every group of near copies, once; rows without an id stay."""
-    copies = minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.join(materialise(copies), "doc_id", "left_anti")
-    return left.withColumn("same", F.xxhash64("text")).dropDuplicates(["doc_id", "same"]).select(*COLUMNS)
+    """Keeps the document of the smallest id of every group of near copies, once; rows without an id stay.
+
+    An id that stands with several texts is judged by each of them.
+    """
+    known = docs.withColumn("same", F.xxhash64("text"))
+    copies = minhash.near_duplicates(known, carry=("same",)).where("not kept and doc_id is not null").select("doc_id", "same").distinct()
+    return known.join(materialise(copies), ["doc_id", "same"], "left_anti").dropDuplicates(["doc_id", "same"]).select(*COLUMNS)
 
 
 @stage
@@ -71,12 +75,17 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats every document as often as the mix takes it; documents that it does not take go."""
+    """Repeats every document as often as the mix takes it; documents that it does not take go.
+
+    Rows that are equal in id, text and source are taken as often as the one of them that is taken most.
+    """
+    known = docs.withColumn("same", F.xxhash64("text"))
+    names = ("doc_id", "same", "source")
     taken = (
-        mixing.mix_sources(docs, mixing.word_count(F.col("text"))).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-        .where("copies > 0").withColumnRenamed("doc_id", "taken_id")
+        mixing.mix_sources(known, mixing.word_count(F.col("text")), carry=("same", "source")).groupBy(*names)
+        .agg(F.max("copies").alias("copies")).where("copies > 0").withColumnsRenamed({c: f"taken_{c}" for c in names})
     )
-    both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    both = known.join(taken, reduce(and_, (F.col(c).eqNullSafe(F.col(f"taken_{c}")) for c in names)))
     return both.withColumn("pass", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
