@@ -97,3 +97,14 @@ def test_odd_documents(spark, tmp_path):
         for _, stage in corpus_pipeline.STAGES:
             docs = materialise(stage(spark, docs, str(tmp_path)))
         assert {r["doc_id"] for r in docs.collect()} <= {1, 3} and (docs.count() > 0) == bool(given)
+
+
+def test_one_id_with_several_texts(spark, tmp_path):
+    """Near copies and the mix judge rows: a text neither goes with its namesake nor is repeated like it."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, "x y z", "en", "t", 5), (3, "", "en", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, a), (2, b), (3, ""), (3, "x y z")]
+    mixed = corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()
+    assert not [r for r in mixed if not r["text"]] and {r["text"] for r in mixed} >= {a, b}
