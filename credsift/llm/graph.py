@@ -12,10 +12,11 @@ def _stars(links: DataFrame, larger: bool) -> DataFrame:
     """Hooks neighbours to the least node of a neighbourhood: the larger ones, or the smaller ones and itself."""
     turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
     around = links.unionByName(turned) if larger else links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = around.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    least = materialise(around.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least")))
     hooked = around.join(least, "a")
     if larger:
-        hooked = hooked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+        # links that repeat here go in the next half of the round
+        return hooked.where("b > a and b != least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
         hooked = hooked.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(
             least.select("a", F.col("least").alias("b"))
@@ -39,10 +40,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         hooked = materialise(_stars(materialise(_stars(links, larger=True)), larger=False))
         # done once no node has two neighbours below it and no neighbour below has one itself
-        roots = hooked.select(F.col("b").alias("a")).distinct()
-        many = hooked.groupBy("a").count().where("count > 1").limit(1)
-        deep = hooked.join(roots, "a", "left_semi").limit(1)
-        if many.unionByName(deep.select("a", F.lit(1).cast("long").alias("count"))).isEmpty():
+        ends = hooked.select(F.explode(F.array(F.struct("a", F.lit(1).alias("up")), F.struct(F.col("b").alias("a"), F.lit(0).alias("up")))).alias("e"))
+        nodes = ends.groupBy("e.a").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("least"))
+        if nodes.where("up > 1 or up = 1 and least = 0").isEmpty():
             break
         links = hooked
     return hooked.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -299,7 +299,7 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int = SIMILA
     both are in one component already.
     """
     least = members.groupBy("bucket").agg(F.min("node").alias("a"))
-    pairs = materialise(members.join(least, "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct())
+    pairs = materialise(members.join(materialise(least), "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct())
     components = materialise(connected_components(verified(pairs, sets, percent)))
     more = materialise(bucket_links(members, components, sets, percent))
     if more.isEmpty():
@@ -342,14 +342,14 @@ def near_duplicates(
     members = materialise(buckets.join(materialise(shared), "bucket", "left_semi"))
     nodes = members.select("node").distinct()
     wanted = materialise(classes.join(materialise(nodes), "node", "left_semi").select("node", *digest, "rep"))
-    reps = wanted.select("rep").distinct()
+    reps = materialise(wanted.select("rep").distinct())
     texts = rows.select("id", "text").join(reps, F.col("id").eqNullSafe(F.col("rep")), "left_semi")
     sets = materialise(full_sets(texts).dropDuplicates(digest).join(wanted, digest).select("node", "shingles", "sketch"))
     linked = linked_components(members, sets, percent).join(wanted, "node").select("component", *digest, "rep")
     linked = materialise(linked)
     names = linked.groupBy("component").agg(F.min("rep").alias("name"))
     named = (
-        linked.join(names, "component").select(*digest, "name")
+        linked.join(materialise(names), "component").select(*digest, "name")
         .unionByName(classes.where("copies > 1").select(*digest, F.col("rep").alias("name")))
         .groupBy(*digest).agg(F.min("name").alias("name"))
     )
