@@ -12,6 +12,7 @@ from credsift.functions.matching import may_match, redact_text, rule_matches
 from credsift.functions.text import fold_case
 from credsift.options import ScanOptions
 from credsift.rules import DEFAULT_RULES, Rule
+from credsift.session import materialise
 
 
 def rule_value(rules: Sequence[Rule], field: str, rule_ord: Column) -> Column:
@@ -41,7 +42,9 @@ def match_rules(lines: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, anchore
         lines = prefilter(lines, "line", rules)
     else:
         rules = tuple(Rule(r.rule_id, r.severity, r.pattern, r.description, (), r.shipped) for r in rules)
-    found = lines.select("*", F.explode(rule_matches(F.col("line"), rules)).alias("_m"))
+    # a pattern that matches the empty string does so at every place: those go before they are rows
+    matches = F.filter(rule_matches(F.col("line"), rules), lambda m: F.length(m["raw"]) > 0)
+    found = lines.select("*", F.explode(matches).alias("_m"))
     return found.select(
         *lines.columns,
         F.col("_m.rule_ord").alias("rule_ord"),
@@ -49,7 +52,7 @@ def match_rules(lines: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, anchore
         rule_value(rules, "severity", F.col("_m.rule_ord")).alias("severity"),
         F.col("_m.match_ord").alias("match_ord"),
         F.col("_m.raw").alias("raw"),
-    ).where(F.length("raw") > 0)
+    )
 
 
 # Length of the anchor starts that lines and rules are joined on.
@@ -64,7 +67,8 @@ def match_rules_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
     the other.  Of the anchors of a rule that a line holds, the first one makes
     the pair, so no pair comes twice.  A rule without anchors, or with one that
     is shorter, stands under the empty piece, which every line has.  Whether the
-    rules are broadcast is left to Spark, which knows their size.
+    rules are broadcast is left to Spark, so they are written first: of a table
+    whose size it does not know, it deals every piece with its line to tasks.
     """
     folded = F.transform(F.coalesce("anchors", F.array().cast("array<string>")), lambda a: F.lower(a))
     usable = (F.size("_anchors") > 0) & F.forall("_anchors", lambda a: F.length(a) >= ANCHOR_START)
@@ -73,6 +77,7 @@ def match_rules_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
         .withColumn("_anchor", F.explode(F.when(usable, F.col("_anchors")).otherwise(F.array(F.lit("")))))
         .withColumn("_start", F.substring("_anchor", 1, ANCHOR_START))
     )
+    by_start = materialise(by_start)
     pieces = F.regexp_extract_all("_folded", F.lit(f"(?s)(?=(.{{{ANCHOR_START}}}))"), F.lit(1))
     held = F.get(F.filter("_anchors", lambda a: F.col("_folded").contains(a)), F.lit(0))
     met = (

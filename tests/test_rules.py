@@ -169,3 +169,17 @@ def test_one_pattern_evaluation_per_rule(spark):
     df = spark.createDataFrame([("x",)], "line string")
     plan = df.select(F.explode(rule_matches(F.col("line")))).select("col.*")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("AIza[0-9A-Za-z") == 1
+
+
+def test_rules_join_deals_no_line_with_its_pieces(spark):
+    lines = spark.range(3).selectExpr("id", "'password = \"abcdefgh12\"' AS line")
+    plan = match_rules_join(lines, rules_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_empty_matches_are_never_rows(spark):
+    lines = spark.range(1).selectExpr("id", "'a1b22' AS line")
+    found = match_rules(lines, (Rule("digits", "medium", "[0-9]*"),), anchored=False)
+    assert sorted((r.match_ord, r.raw) for r in found.collect()) == [(1, "1"), (3, "22")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" in next(line for line in plan.splitlines() if "Generate explode" in line)
