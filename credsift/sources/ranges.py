@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES = 128 << 20
+#: A task reads ranges of about this many bytes, one after the other, fewer if there are not many.
+TASK_BYTES = 16 << 20
+TASKS = 64
 #: Bytes read at a time while a line end is looked for.
 STEP = 1 << 16
 
@@ -26,7 +29,7 @@ class Range:
 
 
 class Ranges(InputPartition):
-    """What one task reads: a range of a large file, or several small files."""
+    """What one task reads: ranges of files, each a row of its own."""
 
     def __init__(self, ranges: list[Range]) -> None:
         self.ranges = ranges
@@ -60,22 +63,21 @@ class LineRangeReader(DataSourceReader):
         self.root, self.range_bytes = root, max(1, range_bytes)
 
     def partitions(self) -> list[InputPartition]:
-        """Only the listing is looked at: large files in several ranges, small ones together."""
+        """Only the listing is looked at.  Ranges bound a row; a task takes several, so their number costs no tasks."""
         files, folder = file_system(self.root)
         listed = files.get_file_info(fs.FileSelector(folder, recursive=True))
+        found = sorted((i for i in listed if i.type == fs.FileType.File and not hidden(i.path, folder)), key=lambda i: i.path)
+        task_bytes = max(self.range_bytes, min(TASK_BYTES, sum(i.size for i in found) // TASKS))
         tasks, held, size = [], [], 0
-        for info in sorted((i for i in listed if i.type == fs.FileType.File and not hidden(i.path, folder)), key=lambda i: i.path):
-            starts = range(0, max(1, info.size), self.range_bytes)
-            ranges = [Range(info.path, k, at, min(at + self.range_bytes, info.size), info.size) for k, at in enumerate(starts)]
-            if len(ranges) > 1:
-                tasks += [[r] for r in ranges]
-                continue
-            if size + info.size > self.range_bytes and held:
-                tasks.append(held)
-                held, size = [], 0
-            held += ranges
-            size += info.size
-        return [Ranges(t) for t in [*tasks, *([held] if held else [])]]
+        for info in found:
+            for k, at in enumerate(range(0, max(1, info.size), self.range_bytes)):
+                end = min(at + self.range_bytes, info.size)
+                if size + end - at > task_bytes and held:
+                    tasks.append(Ranges(held))
+                    held, size = [], 0
+                held.append(Range(info.path, k, at, end, info.size))
+                size += end - at
+        return [*tasks, *([Ranges(held)] if held else [])]
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         files, folder = file_system(self.root)

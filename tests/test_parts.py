@@ -89,3 +89,10 @@ def test_ranges_hold_every_byte_once(size):
         for (_, content, after), (before, following, _) in zip(found, found[1:]):
             assert before == content.split(b"\n")[-1] and after == following.split(b"\n")[0]
         assert found[0][0] is None and found[-1][2] is None
+
+
+def test_tasks_take_several_ranges(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("0123456\n" * 8_192)
+    parts = parts_from_files(spark, str(tmp_path), range_bytes=16)
+    assert parts.count() == 4_096
+    assert parts.rdd.getNumPartitions() <= 65
