@@ -102,3 +102,28 @@ def test_tables_stay_small(spark, monkeypatch):
 def test_nothing(spark, monkeypatch):
     assert found(spark, {}, [], 8, monkeypatch) == {}
     assert found(spark, {"a": [[], [0]]}, [("a", "t", "symbolic", 1)], 8, monkeypatch) == {}
+
+
+def test_no_table_has_a_row_per_commit(spark, monkeypatch):
+    """Blocks are rows, and edges inside them are dealt to no task by themselves."""
+    sizes, write = [], reach.materialise
+
+    def counted(df):
+        table = write(df)
+        sizes.append(table.count())
+        return table
+
+    monkeypatch.setattr(reach, "materialise", counted)
+    history = {"a": [[p for p in (i - 1, i - 3 if i % 7 == 0 else -1) if p >= 0] for i in range(3_200)]}
+    refs = [("a", "main", "hash", 3_199)]
+    assert found(spark, history, refs, 256, monkeypatch) == search(history, refs)
+    assert max(sizes) <= 3_200 // 20
+
+
+def test_commit_in_several_rows(spark):
+    """It has the parents of all its rows, wherever their times put them."""
+    refs, commits = tables(spark, {"a": [[], [], [0], [2], [3]]}, [("a", "x", "hash", 4)])
+    again = tables(spark, {"a": [[], [], [1], []]}, [])[1].where("size(parents) > 0")
+    late = again.withColumn("committer_when", again.committer_when + timedelta(days=9))
+    got = {r.hash: r.depth for r in reachable_commits(refs, commits.unionByName(late).unionByName(commits)).collect()}
+    assert got == {"a-4": 0, "a-3": 1, "a-2": 2, "a-0": 3, "a-1": 3}
