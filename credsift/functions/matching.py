@@ -113,8 +113,16 @@ def _masked_line(line: str, found: str) -> str:
     """The line with every place of every value in ``found`` masked.
 
     Places that overlap are masked as one, so no part of a value stays because
-    another value was masked first.
+    another value was masked first.  Places of a single value do not overlap
+    and are replaced one by one; bytes that are no text are left to the long way.
     """
+    value = f"get({found}, 0).raw"
+    single = f"size({found}) > 0 AND is_valid_utf8({line}) AND forall({found}, f -> f.raw = {value})"
+    return f"if({single}, replace({line}, {value}, {_mask(value)}), {_masked_places(line, found)})"
+
+
+def _masked_places(line: str, found: str) -> str:
+    """The same for any values: their places put in order, joined where they overlap, and masked."""
     literal = r"concat('\\Q', replace(v, '\\E', '\\E\\\\E\\Q'), '\\E')"
     between = f"transform(split({line}, {literal}, -1), part -> length(part))"
     # what stands before the i-th place: i + 1 parts between places, i values
@@ -266,7 +274,8 @@ def content_hits(
     redacted = options.context == "redacted"
     secrets = f"transform(lines, line -> {_line_secrets('line', rules, options, code_lines=redacted)})"
     # A redacted context masks what stands on code lines too; such lines give no hits.
-    on_hit_line = "size(found) > 0" + (f" AND NOT {_looks_like_code('get(lines, i)', options)}" if redacted else "")
+    # a line without secrets is NULL, and NULL AND x would look at x: the line filter is for hit lines only
+    on_hit_line = "coalesce(size(found), 0) > 0" + (f" AND NOT {_looks_like_code('get(lines, i)', options)}" if redacted else "")
     if own is not None:
         on_hit_line += " AND i BETWEEN at.lo AND at.hi"
     masked = (

@@ -283,3 +283,30 @@ def hidden(line, values):
         out += line[at:s] + ("*" * len(value) if len(value) <= 8 else masked(value))
         at = e
     return out + line[at:]
+
+
+def test_line_filter_looks_at_hit_lines_only(spark, monkeypatch):
+    """A line without secrets has a NULL where others have a list; the filter is not tried on it."""
+    monkeypatch.setattr(
+        matching, "_looks_like_code", lambda line, _: f"if(contains({line}, 'AKIA'), false, cast(raise_error('looked at') AS boolean))"
+    )
+    text = "clean\nAWS_KEY=AKIA" + "Q" * 16 + "\nalso clean"
+    hits = spark.createDataFrame([(text,)], "t string").select(matching.content_hits(F.col("t")).alias("h")).first().h
+    assert [h.line_idx for h in hits] == [1]
+
+
+def test_single_values_are_replaced(spark):
+    """Replacing the places of one value gives what joining and masking all places gives."""
+    rows = [
+        ("key=abcabcabcX", ["abc"]), ("aaaaa", ["aa"]), ("aaaaaa", ["aa", "aa"]), ("a.c(b)$ a.c(b)$", ["a.c(b)$"]),
+        (r"x\E y\Qz x\E", [r"x\E"]), ("ключ🔑🔑 ключ🔑🔑", ["ключ🔑🔑"]), ("0123456789abcdef" * 40, ["789abcdef0"]),
+        ("abcdef", ["bcd", "cde"]), ("abc abd", ["abc", "abd"]), ("nothing", []),
+    ]
+    df = spark.createDataFrame([(line, [(v,) for v in values]) for line, values in rows], "line string, found array<struct<raw: string>>")
+    short, long = (F.expr(f("line", "found")) for f in (matching._masked_line, matching._masked_places))
+    got = df.select("line", short.alias("short"), long.alias("long")).collect()
+    assert [r.short for r in got] == [r.long for r in got] and [r.line for r in got if r.short == r.line] == ["nothing"]
+    # bytes that are no text go the long way
+    raw = df.limit(1).select(F.expr("cast(X'6162FF6162' AS string)").alias("line"), F.expr("array(struct('ab' AS raw))").alias("found"))
+    pair = raw.select(short.cast("binary").alias("short"), long.cast("binary").alias("long")).first()
+    assert pair.short == pair.long
