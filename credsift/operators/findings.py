@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,24 +73,40 @@ def dedupe_and_cap(hits: DataFrame, n: int | None = None) -> DataFrame:
 def _reported_in_turn(n: int):
     """Keeps, of rows in scan order, the keys that are new at their entry and within its cap."""
 
+    def unseen(batch: pa.RecordBatch, reported: set[tuple[str, str]]) -> np.ndarray:
+        """Rows whose key is not reported yet: each distinct key is looked up once."""
+        codes, values = [], []
+        for c in ("rule_id", "masked"):
+            column = batch.column(c).dictionary_encode(null_encoding="encode")
+            codes.append(column.indices.to_numpy().astype(np.int64))
+            values.append(column.dictionary.to_pylist())
+        keys, at = np.unique(codes[0] * len(values[1]) + codes[1], return_inverse=True)
+        new = [(values[0][r], values[1][m]) not in reported for r, m in zip(*(x.tolist() for x in divmod(keys, len(values[1]))))]
+        return np.flatnonzero(np.array(new, bool)[at])
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path_key = entry_key = None
         reported: set[tuple[str, str]] = set()
         taken = 0
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("repo", "path", "entry_seq", "rule_id", "masked"))
-            keep = []
-            for repo, path, entry, rule, masked in zip(*columns):
+            rows = batch
+            at = np.arange(len(batch))
+            # rows are sorted: if the last one is of the path in work, all are, and reported keys change nothing
+            if len(batch) and path_key == tuple(batch.column(c)[-1].as_py() for c in ("repo", "path")):
+                at = unseen(batch, reported)
+                rows = batch.take(pa.array(at))
+            columns = (rows.column(c).to_pylist() for c in ("repo", "path", "entry_seq", "rule_id", "masked"))
+            keep = np.zeros(len(batch), bool)
+            for i, (repo, path, entry, rule, masked) in zip(at, zip(*columns)):
                 if (repo, path) != path_key:
                     path_key, entry_key, reported, taken = (repo, path), entry, set(), 0
                 elif entry != entry_key:
                     entry_key, taken = entry, 0
-                new = taken < n and (rule, masked) not in reported
-                if new:
+                if taken < n and (rule, masked) not in reported:
                     reported.add((rule, masked))
                     taken += 1
-                keep.append(new)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                    keep[i] = True
+            yield batch.filter(pa.array(keep))
 
     return fold
 

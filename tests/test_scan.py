@@ -4,15 +4,18 @@ import random
 import time
 from dataclasses import asdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from credsift.functions import matching
+from credsift.operators import findings
 from credsift.operators.entries import cap_entries, scannable, split_lines
 from credsift.operators.findings import cap_total, dedupe_and_cap, new_findings, triage_order, triage_summary
 from credsift.options import SERVICE_LIMITS, ScanOptions
 from credsift.plans.scan import entry_hits, scan_entries
 from credsift.rules import DEFAULT_RULES, Rule, select_rules
+from workloads import queries
 
 SERVICE = asdict(SERVICE_LIMITS)
 
@@ -310,3 +313,31 @@ def test_single_values_are_replaced(spark):
     raw = df.limit(1).select(F.expr("cast(X'6162FF6162' AS string)").alias("line"), F.expr("array(struct('ab' AS raw))").alias("found"))
     pair = raw.select(short.cast("binary").alias("short"), long.cast("binary").alias("long")).first()
     assert pair.short == pair.long
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fold_over_many_batches(seed):
+    """Reported keys are passed over by the batch; what is kept is that of a plain walk over the rows."""
+    rng = random.Random(seed)
+    rows = sorted(
+        ((rng.choice("rs"), rng.choice("pq"), rng.randrange(40), rng.choice("abc"), rng.choice(["x", "y", "z", None]), i) for i in range(900)),
+        key=lambda r: (*r[:3], r[5]),
+    )
+    names = ["repo", "path", "entry_seq", "rule_id", "masked", "i"]
+    kinds = pa.schema([*((n, pa.int64() if n in ("entry_seq", "i") else pa.string()) for n in names)])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows[a:a + 17]), kinds)], schema=kinds) for a in range(0, len(rows), 17)]
+    got = [i for b in findings._reported_in_turn(2)(iter(batches)) for i in b.column("i").to_pylist()]
+    want, reported, taken = [], set(), {}
+    for repo, path, entry, rule, masked_, i in rows:
+        if taken.get((repo, path, entry), 0) < 2 and (repo, path, rule, masked_) not in reported:
+            reported.add((repo, path, rule, masked_))
+            taken[repo, path, entry] = taken.get((repo, path, entry), 0) + 1
+            want.append(i)
+    assert got == want and len(got) < 200
+
+
+def test_carry_over_folds_what_it_returns(spark):
+    """Rows that go through the fold carry no context nor columns of commits."""
+    plan = queries.dedupe_and_cap_carry_over(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    fold = next(line for line in plan.splitlines() if "MapInArrow" in line)
+    assert "masked" in fold and "context" not in fold and "commit" not in fold
