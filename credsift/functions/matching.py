@@ -268,8 +268,9 @@ def content_hits(
     ``array<struct<line_idx, rule_ord, match_ord, masked, context, entry_hits>>``,
     ``entry_hits`` being the number of them; NULL for a text that cannot hold any.  With ``first_per_key`` only the first hit of
     each (rule, mask) is kept, so what leaves the row is bounded by the distinct
-    secrets in it.  With ``own``, a struct of the first and last line ``lo, hi``,
-    other lines serve as context only.
+    secrets in it.  With ``own``, a struct of the first and last line ``lo, hi``
+    and these lines as a text ``t``, other lines serve as context only and do not
+    pass the gate.
     """
     redacted = options.context == "redacted"
     secrets = f"transform(lines, line -> {_line_secrets('line', rules, options, code_lines=redacted)})"
@@ -300,8 +301,7 @@ def content_hits(
         ),
     )
     body = _let("lines", _text_lines("t"), _let("secrets", secrets, in_context))
-    gated = f"CASE WHEN {_may_match('t', rules)} THEN {body} END"
     if own is None:
-        return _apply(text, "t", gated)
-    at = F.struct(text.alias("t"), own["lo"].alias("lo"), own["hi"].alias("hi"))
-    return _apply(at, "at", _let("t", "at.t", gated))
+        return _apply(text, "t", f"CASE WHEN {_may_match('t', rules)} THEN {body} END")
+    at = F.struct(text.alias("t"), own["lo"].alias("lo"), own["hi"].alias("hi"), own["t"].alias("own"))
+    return _apply(at, "at", f"CASE WHEN {_may_match('at.own', rules)} THEN {_let('t', 'at.t', body)} END")

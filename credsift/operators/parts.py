@@ -86,7 +86,7 @@ def part_hits(parts: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, options:
     )
     lines = F.regexp_count(F.col("content").cast("string"), F.lit("\n")) + 1
     first = F.when(F.col("before").isNull(), 0).otherwise(1)
-    own = F.struct(first.alias("lo"), (first + lines - 1).alias("hi"))
+    own = F.struct(first.alias("lo"), (first + lines - 1).alias("hi"), F.col("content").cast("string").alias("t"))
     found = parts.where(~skip_path(F.col("path"))).select(
         *PLACE, "part", lines.cast("long").alias("_lines"), first.alias("_shift"), is_binary(F.col("content")).alias("_binary"),
         content_hits(text.cast("string"), rules, options, own=own).alias("_hits"),

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from credsift.functions import matching
 from credsift.operators.parts import split_entries
 from credsift.options import ScanOptions
 from credsift.plans.scan import scan_entries, scan_parts
@@ -96,3 +97,13 @@ def test_tasks_take_several_ranges(spark, tmp_path):
     parts = parts_from_files(spark, str(tmp_path), range_bytes=16)
     assert parts.count() == 4_096
     assert parts.rdd.getNumPartitions() <= 65
+
+
+def test_parts_are_gated_by_their_own_lines(spark, monkeypatch):
+    """A part whose neighbours alone hold secrets is not searched: they are lines of other parts."""
+    none = "cast(array() AS array<struct<rule_ord: int, match_ord: int, raw: string>>)"
+    monkeypatch.setattr(matching, "_line_secrets", lambda line, *_, **__: f"if({line} = 'clean', raise_error('searched'), {none})")
+    text = f"id {secret(random.Random(4))}"
+    own = F.struct(F.lit(1).alias("lo"), F.lit(1).alias("hi"), F.lit("clean").alias("t"))
+    df = spark.createDataFrame([(f"{text}\nclean\n{text}",)], "t string")
+    assert df.select(matching.content_hits(F.col("t"), own=own).alias("h")).first().h is None
