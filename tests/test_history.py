@@ -1,6 +1,7 @@
 """History on a hand-built repository, and the end-to-end scan."""
 
 import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -187,3 +188,42 @@ def test_long_and_branched_histories(spark):
     for bound in (None, 1, 7):
         got = {int(r.hash): r.depth for r in history.reachable_commits(refs, commits, bound).collect()}
         assert got == {h: d for h, d in depth.items() if bound is None or d < bound}
+
+
+def test_tree_diff_against_sets(spark):
+    """Random trees of branched histories, lying together by repository or not, with rows no diff can use."""
+    rnd = random.Random(9)
+    pairs, files, want = [], [], set()
+    for r in range(12):
+        trees = {}
+        for c in range(25):
+            parent = rnd.choice([None, *trees]) if c % 6 else None
+            tree = {p: b for p, b in trees.get(parent, {}).items() if rnd.random() > 0.1}
+            tree |= {f"p{rnd.randrange(9)}": f"b{rnd.randrange(5)}" for _ in range(rnd.randrange(4))}
+            trees[f"c{c}"], old = tree, trees.get(parent, {})
+            pairs.append((f"r{r}", f"c{c}", parent))
+            files += [(f"r{r}", f"c{c}", p, b) for p, b in tree.items()]
+            want |= {(f"r{r}", f"c{c}", p, old.get(p), tree.get(p)) for p in {*old, *tree} if old.get(p) != tree.get(p)}
+        files.append((f"r{r}", "not reached", "p", "b"))
+    files += [(None, "c1", "p", "b"), ("r1", None, "p", "b")]
+    pairs += [(None, "c1", None), ("r1", None, None)]
+    rows = spark.createDataFrame(files, schemas.TREE_FILES)
+    given = spark.createDataFrame(pairs, "repo string, commit string, parent string")
+    for trees in (rows, rows.repartition("repo"), rows.repartition(3, "repo"), rows.repartition("repo", "commit")):
+        diff = history.tree_diff(trees, given).collect()
+        assert len(diff) == len(want)
+        assert {(r.repo, r.commit, r.path, r.old_blob, r.new_blob) for r in diff} == want
+
+
+def dealt_by(df):
+    """The columns of each exchange by hash in the plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [re.findall(r"(\w+)#\d+", keys) for keys in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)]
+
+
+def test_trees_that_lie_together_are_not_dealt(repo):
+    _, commits, tree_files, _ = repo
+    pairs = history.first_parent(commits)
+    diff = history.tree_diff(tree_files.repartition("repo"), pairs)
+    # the trees, the commits they serve, and nothing but what the pairs ask for
+    assert sorted(dealt_by(diff)) == sorted([["repo"], ["repo"], *dealt_by(pairs)])
