@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from credsift import schemas
 from credsift.operators import history
+from credsift.operators.together import handed
 from credsift.options import ScanOptions
 from credsift.plans.scan import scan_entries, scan_repo_history
+from credsift.session import folders_made
 from credsift.sources.sinks import scan_report, write_report
 
 KEY_ID = "AKIA" + "".join(random.Random(4).choices("BCDFGHJKLMNPQRSTVWXZ23456789", k=16))
@@ -227,3 +229,24 @@ def test_trees_that_lie_together_are_not_dealt(repo):
     diff = history.tree_diff(tree_files.repartition("repo"), pairs)
     # the trees, the commits they serve, and nothing but what the pairs ask for
     assert sorted(dealt_by(diff)) == sorted([["repo"], ["repo"], *dealt_by(pairs)])
+
+
+def test_files_that_lie_together_are_not_dealt(spark, repo):
+    refs, commits, tree_files, _ = repo
+    n = len(folders_made(spark))
+    files = history.walk(refs, commits, tree_files.repartition("repo"))[1]
+    assert not any({"path", "blob", "tree"} & set(keys) for keys in dealt_by(files))
+    assert not any("path" in spark.read.parquet(f).columns for f in folders_made(spark)[n:])
+    assert sorted(files.collect()) == sorted(history.walk(refs, commits, tree_files)[1].collect())
+
+
+def test_handed(spark):
+    rows = spark.createDataFrame([(1, "a", 7), (1, "a", 8), (1, None, 9), (2, "b", 10)], "k int, j string, v int")
+    given = spark.createDataFrame([(1, "a", "x"), (1, "a", None), (1, None, "y"), (3, "b", "z")], "k int, j string, w string")
+    for left in (rows, rows.repartition("k")):
+        met = handed(left, given.repartition("k"), ["k", "j"], "found")
+        assert met.columns == ["k", "j", "v", "found"]
+        got = sorted((r.v, sorted((f.w for f in r.found), key=str)) for r in met.collect())
+        assert got == [(7, [None, "x"]), (8, [None, "x"]), (9, []), (10, [])]
+    # dealt as they were asked to be, and not once more
+    assert dealt_by(handed(rows.repartition("k"), given.repartition("k"), ["k", "j"], "found")) == [["k"], ["k"]]
