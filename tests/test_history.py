@@ -240,6 +240,14 @@ def test_files_that_lie_together_are_not_dealt(spark, repo):
     assert sorted(files.collect()) == sorted(history.walk(refs, commits, tree_files)[1].collect())
 
 
+@pytest.mark.parametrize("entries", [history.repository_entries, history.history_entries, history.head_entries])
+def test_contents_that_lie_together_are_not_dealt(repo, entries):
+    refs, commits, tree_files, blobs = repo
+    together = entries(refs, commits, tree_files.repartition("repo"), blobs.repartition("repo"))
+    assert not any("blob" in keys for keys in dealt_by(together))
+    assert sorted(together.collect()) == sorted(entries(*repo).collect())
+
+
 def test_handed(spark):
     rows = spark.createDataFrame([(1, "a", 7), (1, "a", 8), (1, None, 9), (2, "b", 10)], "k int, j string, v int")
     given = spark.createDataFrame([(1, "a", "x"), (1, "a", None), (1, None, "y"), (3, "b", "z")], "k int, j string, w string")
