@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credsift.functions.matching import content_hits
 from credsift.functions.text import decode_text, finding_id, truncate_text
 from credsift.operators.entries import cap_entries, scannable
 from credsift.operators.findings import cap_per_entry, cap_total, dedupe_and_cap, dedupe_findings, scan_stats
-from credsift.operators.history import attach_commit_meta, usable_blobs, walk
+from credsift.operators.history import commit_meta, usable_blobs, walk
 from credsift.operators.matching import rule_value
 from credsift.operators.parts import PLACE, part_hits
+from credsift.operators.together import handed
 from credsift.options import ScanOptions
 from credsift.rules import DEFAULT_RULES, Rule
 from credsift.schemas import FINDING_COLUMNS
@@ -87,6 +88,25 @@ def scan_parts(
     return as_findings(keep_findings(part_hits(parts, rules, options), options), rules)
 
 
+def blob_hits(files: DataFrame, usable: DataFrame, rules: Sequence[Rule], options: ScanOptions) -> DataFrame:
+    """Files whose blob is among ``usable``, with the ``hits`` in it; blobs that no file has are not scanned.
+
+    Blobs are rows beside the files they are in, and windows over both tell
+    a blob that it has files, and files the hits of their blob.
+    """
+    texts = usable.dropna(subset=["repo", "blob"]).select("repo", "blob", "content")
+    same = Window.partitionBy("repo", "blob")
+    met = (
+        files.withColumn("_file", F.lit(True)).unionByName(texts, allowMissingColumns=True)
+        .withColumn("_files", F.count("_file").over(same)).withColumn("_texts", F.count("content").over(same))
+        .where("_files > 0 and _texts > 0")
+    )
+    hits = F.when(F.col("_file").isNull(), content_hits(decode_text(F.col("content")), rules, options))
+    found = met.select(*files.columns, "_file", hits.alias("_hits"))
+    handed = found.withColumn("hits", F.first("_hits", ignorenulls=True).over(same))
+    return handed.where("_file").select(*files.columns, "hits")
+
+
 class RepositoryScan(NamedTuple):
     findings: DataFrame
     stats: DataFrame
@@ -103,19 +123,29 @@ def scan_repo_history(
     """Scan of all reachable file versions and the HEAD tree of every repository.
 
     A file version is a blob, and many commits and HEAD share it.  Each blob is
-    scanned once, where it is read, and only its hits are joined to the places
-    it occurs; contents are never shuffled.  The joined table holds masks and
-    hashes only.  It is written to the shared folder, as findings and
-    statistics both need it and the scan should run once.
+    scanned once, and only its hits are handed to the places it occurs.  All
+    steps up to the findings ask for rows of a repository together and no more:
+    files and blobs that lie together are not dealt on the way, and contents
+    never move.  What findings and statistics are made of is written to the
+    shared folder, so that the scan runs once: the hits that are kept, and a
+    row without a rule for each path.
     """
     reached, files = walk(refs, commits, tree_files, options)
-    scanned = (
-        usable_blobs(blobs, options).join(files.select("repo", "blob").distinct(), ["repo", "blob"], "left_semi")
-        .select("repo", "blob", content_hits(decode_text(F.col("content")), rules, options).alias("hits"))
-    )
-    placed = materialise(cap_entries(files.join(scanned, ["repo", "blob"]).drop("blob"), options.max_entries))
-    hits = explode_hits(
-        attach_commit_meta(placed.where(F.size("hits") > 0), commits), F.col("hits"), rules
-    )
-    findings = as_findings(keep_findings(hits, options), rules)
-    return RepositoryScan(findings, scan_stats(placed, reached, findings, options.max_findings))
+    placed = cap_entries(blob_hits(files, usable_blobs(blobs, options), rules, options), options.max_entries)
+    met = handed(placed, commit_meta(commits).repartition("repo"), ["repo", "commit"], "_metas")
+    known = met.withColumn("_meta", F.get("_metas", F.lit(0))).select(*placed.columns, "_meta", "_meta.*")
+    path = F.array(F.lit(None).cast(placed.schema["hits"].dataType.elementType))
+    hits = F.when(F.col("_meta").isNotNull() & F.col("hits").isNotNull(), F.concat(path, "hits")).otherwise(path)
+    kept = materialise(_keep_beside_paths(explode_hits(known, hits, rules), options))
+    findings = as_findings(kept.where("rule_id is not null"), rules)
+    paths = kept.where("rule_id is null")
+    return RepositoryScan(findings, scan_stats(paths, reached, findings, options.max_findings))
+
+
+def _keep_beside_paths(rows: DataFrame, options: ScanOptions) -> DataFrame:
+    """`keep_findings` of the rows that are hits; of those without a rule, the first of each path."""
+    if options.max_findings_per_entry is None and options.max_findings is None:
+        return dedupe_findings(rows)
+    rows = materialise(rows)
+    hits = keep_findings(rows.where("rule_id is not null"), options)
+    return hits.unionByName(dedupe_findings(rows.where("rule_id is null")))
